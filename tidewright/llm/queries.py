@@ -33,6 +33,18 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .relative_lz import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import shingle_components
+
+    return shingle_components(table(spark, sf_dir, "documents"))
+
+
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_along_curve
 
@@ -51,6 +63,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_secret_scan, op3_decontamination, op4_importance_resampling, op8_curve_packing, op9_byte_shards, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_secret_scan, op3_decontamination, op4_importance_resampling, op5_relative_lz, op7_shingle_join, op8_curve_packing, op9_byte_shards, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
