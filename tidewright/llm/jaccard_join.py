@@ -31,7 +31,7 @@ class Join:
     """Similarity is percent / 100 of the union.
 
     counted_share: tokens whose hash lies in this share of all hashes are counted over all documents (sets of up to
-    small_set tokens count all theirs). rare: the most sets that hold a rare token. whole_set: sets of up to so many
+    small_set tokens count all theirs, where it only matters that no other set has them). rare: the most sets that hold a rare token. whole_set: sets of up to so many
     tokens use frequent tokens singly. class_tokens: of a class of frequent tokens, on average. block: sets verified
     together.
     """
@@ -45,6 +45,11 @@ class Join:
     class_tokens: int = 3
     block: int = 192
 
+    @property
+    def counted_below(self) -> int:
+        """Counted tokens, as bigint, are from 0 to below this."""
+        return int(self.counted_share * (1 << 64))
+
     def one_sided(self, n: np.ndarray) -> np.ndarray:
         """The most tokens of a set of n that a linked set may lack."""
         return n - -(-self.percent * n // 100)
@@ -95,12 +100,6 @@ def _sets(how: Join) -> Callable:
     return work
 
 
-def _counted(tokens: np.ndarray, n: np.ndarray, how: Join, margin: bool) -> np.ndarray:
-    """Which tokens are counted. With a margin also those of slightly larger sets, as a small set's partners."""
-    small = n <= (how.small_set * 100 // how.percent + 1 if margin else how.small_set)
-    return small | (tokens < np.uint64(int(how.counted_share * (1 << 63)) << 1))
-
-
 def _tokens(how: Join) -> Callable:
     """(token, sig) of counted tokens, of sets that may link with others at all."""
 
@@ -109,7 +108,8 @@ def _tokens(how: Join) -> Callable:
             tokens, first = shingles(raw, at, how.words)
             n = np.diff(first)
             each = np.repeat(n, n)
-            pick = (how.differing(each) > 0) & _counted(tokens, each, how, True)
+            # A small set's partners may be a little larger, so those show all their tokens too.
+            pick = (how.differing(each) > 0) & ((each <= how.small_set * 100 // how.percent + 1) | (tokens < how.counted_below))
             yield pa.RecordBatch.from_arrays([pa.array(K.signed(tokens[pick])), pa.array(np.repeat(_signature(tokens, first), n)[pick])], ["token", "sig"])
 
     return work
@@ -274,9 +274,11 @@ def _joined(docs: DataFrame, how: Join, id_col: str, text_col: str) -> tuple[Dat
     sets = written(texts.mapInArrow(_sets(how), f"doc {key}, row long, n long, sig long"))
     classes = sets.where("n > 0 and doc is not null").groupBy("sig", "n").agg(F.min(F.struct("doc", "row")).alias("r")).select("sig", "n", F.col("r.doc").alias("rep"), F.col("r.row").alias("row"))
     tokens = texts.where("doc is not null").select("text").mapInArrow(_tokens(how), "token long, sig long")
-    own = tokens.groupBy("token").agg(F.min("sig").alias("sig"), F.max("sig").alias("z")).where("sig = z").groupBy("sig").agg(F.count("*").alias("own"))
+    own = tokens.groupBy("token").agg(F.min("sig").alias("sig"), F.max("sig").alias("z")).where("sig = z")
+    own = own.groupBy("sig").agg(F.count("*").alias("every"), F.sum(F.col("token").between(0, how.counted_below - 1).cast("long")).alias("counted"))
     most = F.col("n") - F.ceil(F.col("n") * how.percent / 100)
-    able = classes.where((100 - how.percent) * F.col("n") >= how.percent).join(own, "sig", "left").where(F.coalesce("own", F.lit(0)) <= most)
+    unshared = F.coalesce(F.when(F.col("n") <= how.small_set, F.col("every")).otherwise(F.col("counted")), F.lit(0))
+    able = classes.where((100 - how.percent) * F.col("n") >= how.percent).join(own, "sig", "left").where(unshared <= most)
     candidates = written(texts.where("doc is not null").join(able.select(F.col("rep").alias("doc"), "row", "n"), ["doc", "row"]).dropDuplicates(["doc"]).select(F.col("doc").alias("rep"), "n", "text"))
 
     counted = candidates.mapInArrow(_rep_tokens(how), f"token long, rep {key}")
@@ -298,7 +300,7 @@ def _rep_tokens(how: Join) -> Callable:
         for rows, raw, at in K.slices(batches, "text"):
             tokens, first = shingles(raw, at, how.words)
             n = np.diff(first)
-            pick = _counted(tokens, np.repeat(n, n), how, True)
+            pick = tokens < how.counted_below
             yield pa.RecordBatch.from_arrays([pa.array(K.signed(tokens[pick])), rows.column("rep").take(pa.array(np.repeat(np.arange(len(n)), n)[pick]))], ["token", "rep"])
 
     return work

@@ -39,6 +39,12 @@ def op5_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .page_template import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import shingle_components
 
@@ -63,6 +69,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_secret_scan, op3_decontamination, op4_importance_resampling, op5_relative_lz, op7_shingle_join, op8_curve_packing, op9_byte_shards, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_secret_scan, op3_decontamination, op4_importance_resampling, op5_relative_lz, op6_template_extraction, op7_shingle_join, op8_curve_packing, op9_byte_shards, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
