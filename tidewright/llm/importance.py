@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .store import in_order
+from .store import in_order, written
 
 #: Classes of bytes: 0 white space, 1 words, 2 punctuation. A token is a run of one class.
 _CLASS = np.full(256, 2, np.uint8)
@@ -29,7 +29,8 @@ class Resampling:
 
     temperature: the log weight is this times the mean log ratio of a document's n-grams, so that length alone
     neither helps nor harms. target_labels: the most labelled documents the target model is fitted on, taken in
-    order of a hash of their ids. seed: of the Gumbel noise.
+    order of a hash of their ids. seed: of the Gumbel noise. missed: the share of target documents that may weigh too
+    little. prior_grams: so many n-grams of ratio 0 are added to each document, so that a few rare words decide little.
     """
 
     buckets: int = 1 << 16
@@ -37,6 +38,8 @@ class Resampling:
     temperature: float = 400.0
     target_labels: int = 20_000
     seed: int = 11
+    missed: float = 0.002
+    prior_grams: float = 30.0
 
 
 def _grams(raw: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +98,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, how: Resampling, id_col: str = "d
             grams, doc = _grams(raw, at, how.buckets)
             n = np.bincount(doc, minlength=rows.num_rows)
             total = np.bincount(doc, held.value[grams], minlength=rows.num_rows)
-            weight = np.round(how.temperature * total / np.maximum(n, 1), 6)
+            weight = np.round(how.temperature * total / (n + how.prior_grams), 6)
             ids = K.mix(rows.column("_noise").to_numpy().astype(np.int64).view(np.uint64))
             uniform = ((ids >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carried), pa.array(n), pa.array(weight), pa.array(weight - np.log(-np.log(uniform)))], [*carried, "n_grams", "log_weight", "gumbel_key"])
@@ -105,42 +108,41 @@ def weigh(docs: DataFrame, ratios: np.ndarray, how: Resampling, id_col: str = "d
     return noisy.mapInArrow(work, f"{fields}, n_grams long, log_weight double, gumbel_key double")
 
 
-def share_to_keep(labels: DataFrame, label_col: str = "quality") -> float:
-    """1 less the share of labelled documents with label 0; 1 without labels."""
-    row = labels.where(F.col(label_col).isNotNull()).agg(F.count("*").alias("n"), F.sum((F.col(label_col) == 0).cast("long")).alias("bad")).first()
-    return 1 - row.bad / row.n if row.n else 1.0
+def _scored(docs: DataFrame, labels: DataFrame, share: float | None, how: Resampling, id_col: str, text_col: str, target: str) -> tuple[DataFrame, np.ndarray, int]:
+    """Documents with weights and keys, the ratios, and how many documents to draw."""
+    ratios = log_ratios(docs, labels.where(target).select(id_col), how, id_col, text_col)
+    scored = written(weigh(docs, ratios, how, id_col, text_col).withColumn("_down", -F.col("gumbel_key")).withColumn("_one", F.lit(1).cast("long")))
+    if share is not None:
+        return scored, ratios, round(share * scored.count())
+    good = labels.where(target).select(id_col).distinct()
+    cut = scored.join(good, id_col, "left_semi").agg(F.percentile_approx("log_weight", how.missed, 100_000)).first()[0]
+    return scored, ratios, scored.count() if cut is None else scored.where(F.col("log_weight") >= cut).count()
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, how: Resampling = Resampling(), id_col: str = "doc_id", text_col: str = "text", target: str = "quality = 1", label_col: str = "quality") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, how: Resampling = Resampling(), id_col: str = "doc_id", text_col: str = "text", target: str = "quality = 1 and coalesce(toxic, 0) = 0") -> DataFrame:
     """One row per document: n_grams, log_weight, gumbel_key and selected.
 
-    The share `share` (by default what the labels call good) of all documents with the largest keys is selected, ties
-    by id; that is an exact top k over the whole table, found from prefix counts of range partitions.
+    The documents with the k largest keys are selected, ties by id; that is an exact top k over the whole table, found
+    from prefix counts of range partitions. k is the share `share` of all documents or, by default, the number of
+    documents that weigh no less than all but the share how.missed of the target documents.
 
     Null or empty text has no n-grams and weight 0. Null ids share one noise value. Repeated rows are weighed one by
-    one. Without target labels every weight is near 0, and the noise decides; an empty table gives no rows. Other
-    columns are not read. Texts are weighed whole.
+    one. Without target documents nothing is known against any, and all are selected; an empty table gives no rows.
+    Other columns are not read. Texts are weighed whole.
     """
-    share = share_to_keep(labels, label_col) if share is None else share
-    ratios = log_ratios(docs, labels.where(target).select(id_col), how, id_col, text_col)
-    scored = weigh(docs, ratios, how, id_col, text_col).withColumn("_down", -F.col("gumbel_key")).withColumn("_one", F.lit(1).cast("long"))
+    scored, _, k = _scored(docs, labels, share, how, id_col, text_col, target)
     ranked = in_order(scored, ["_down", id_col], {"_rank": "_one"})
-    k = round(share * docs.count())
     return ranked.select(id_col, "n_grams", "log_weight", "gumbel_key", (F.col("_rank") < k).alias("selected"))
 
 
-def select_documents(docs: DataFrame, labels: DataFrame, share: float | None = None, how: Resampling = Resampling(), id_col: str = "doc_id", text_col: str = "text", target: str = "quality = 1", label_col: str = "quality") -> DataFrame:
+def select_documents(docs: DataFrame, labels: DataFrame, share: float | None = None, how: Resampling = Resampling(), id_col: str = "doc_id", text_col: str = "text", target: str = "quality = 1 and coalesce(toxic, 0) = 0") -> DataFrame:
     """The selected documents themselves, with all their columns.
 
     Only the last selected row (its key and id) comes to the driver; documents are then weighed again and compared
     with it where they lie, which costs less than shuffling texts to a list of selected ids.
     """
-    share = share_to_keep(labels, label_col) if share is None else share
-    ratios = log_ratios(docs, labels.where(target).select(id_col), how, id_col, text_col)
-    scored = weigh(docs, ratios, how, id_col, text_col).select(id_col, (-F.col("gumbel_key")).alias("_down"), F.lit(1).cast("long").alias("_one"))
-    ranked = in_order(scored, ["_down", id_col], {"_rank": "_one"})
-    k = round(share * docs.count())
-    last = ranked.where(F.col("_rank") == k - 1).first() if k else None
+    scored, ratios, k = _scored(docs, labels, share, how, id_col, text_col, target)
+    last = in_order(scored, ["_down", id_col], {"_rank": "_one"}).where(F.col("_rank") == k - 1).first() if k else None
     if last is None:
         return docs.limit(0)
     again = weigh(docs, ratios, how, id_col, text_col, keep=docs.columns)
