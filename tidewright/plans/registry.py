@@ -19,12 +19,19 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return _SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["swings"](spark, sf_dir)
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from . import q_bars  # noqa: F401
