@@ -90,3 +90,8 @@ def normal_cdf(z: Column) -> Column:
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     erf = 1 - poly * F.exp(-x * x)
     return (1 + F.signum(z) * erf) / 2
+
+
+def correlation(x: str, y: str) -> Column:
+    """Correlation over a group; null, not an error, where one side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -249,7 +249,7 @@ def partial_correlation(rows: DataFrame, x: str, y: str, control: str, z: float
 def importance(rows: DataFrame, features: list[str], outcome: str) -> DataFrame:
     """Correlation of each feature with the outcome, 0 for a constant."""
     long = rows.unpivot([outcome], features, "feature", "value")
-    return long.groupBy("feature").agg(F.coalesce(F.nanvl(F.corr("value", outcome), F.lit(0.0)), F.lit(0.0)).alias("importance"))
+    return long.groupBy("feature").agg(F.coalesce(S.correlation("value", outcome), F.lit(0.0)).alias("importance"))
 
 
 def agreement(rows: DataFrame, arm: str, slot: list[str], choice: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewright.functions.scalar import correlation
+
 from .bars import in_time
 
 
@@ -149,7 +151,7 @@ def first_qualifying(rows: DataFrame, qualifies: Column, *order: str) -> DataFra
 def future_label_canary(rows: DataFrame, fields: list[str], outcome: str, bound: float = 0.95) -> DataFrame:
     """Fields that follow the outcome too closely to be known before it."""
     long = rows.unpivot([outcome], fields, "field", "value")
-    return long.groupBy("field").agg(F.abs(F.corr("value", outcome)).alias("r")).withColumn("leaks", F.coalesce(F.col("r") > bound, F.lit(False)))
+    return long.groupBy("field").agg(F.abs(correlation("value", outcome)).alias("r")).withColumn("leaks", F.coalesce(F.col("r") > bound, F.lit(False)))
 
 
 def parity(live: DataFrame, replay: DataFrame, key: list[str], value: str, quantum: float = 1e-4) -> DataFrame:

@@ -38,7 +38,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     bars = B.resample(ticks(spark, sf_dir), "15 minutes")
     w = B.in_time()
-    squeeze = lambda x: F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.round(x, 4)))
+    squeeze = lambda x: F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.round(x, 6)))
     prev = F.coalesce(F.lag("c").over(w), F.col("o"))
     out = bars.withColumn("p", squeeze(F.lit(0.5) + (prev - F.col("o")) / 250)).withColumn("market", squeeze(F.lit(0.5) + (prev - F.col("o")) / 400))
     return out.select("k", "t", F.col("o").alias("strike"), F.col("c").alias("final"), (F.col("c") >= F.col("o")).cast("int").alias("y"), "p", "market", "n")
@@ -68,8 +68,8 @@ def bars_sql(name: str, width: str) -> str:
 BARS = f"{TICKS}, {bars_sql('bars', '1 hour')}"
 WINDOWS = (
     f"{TICKS}, {bars_sql('quarters', '15 minutes')}, windows AS (SELECT k, t, o AS strike, c AS final, CAST(c >= o AS INTEGER) AS y, "
-    "greatest(0.01, least(0.99, round(0.5 + (coalesce(lag(c) OVER (PARTITION BY k ORDER BY t), o) - o) / 250, 4))) AS p, "
-    "greatest(0.01, least(0.99, round(0.5 + (coalesce(lag(c) OVER (PARTITION BY k ORDER BY t), o) - o) / 400, 4))) AS market, n FROM quarters)"
+    "greatest(0.01, least(0.99, round(0.5 + (coalesce(lag(c) OVER (PARTITION BY k ORDER BY t), o) - o) / 250, 6))) AS p, "
+    "greatest(0.01, least(0.99, round(0.5 + (coalesce(lag(c) OVER (PARTITION BY k ORDER BY t), o) - o) / 400, 6))) AS market, n FROM quarters)"
 )
 TRADES = (
     "trades AS (SELECT l_returnflag AS k, l_linestatus AS reason, l_shipdate AS t, l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part, l_suppkey AS supp, l_extendedprice AS entry, l_quantity AS qty, "
