@@ -2,7 +2,7 @@
 
 Both steps are joins and minima, so a node of any degree is spread over tasks: minima are partly aggregated before
 the shuffle, and Spark's adaptive execution splits the edges of a hub in the joins, whose other side has one row for
-the hub. Each round's edges go to the shared checkpoint folder.
+the hub. Each round's edges go to the shared folder.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import kept
+from .store import dropped, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -22,7 +22,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Null ends and loops are ignored. The number of rounds grows with the logarithm of the longest path.
     """
-    now = kept(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     for _ in range(most_rounds):
         if (seen := _digest(now)) == last or not seen[0]:
@@ -35,7 +35,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = kept(small.distinct())
+        now = written(small.distinct())
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

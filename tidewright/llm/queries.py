@@ -36,7 +36,7 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .relative_lz import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op6_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

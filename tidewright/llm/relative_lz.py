@@ -14,7 +14,6 @@ into the second index, and so the window is found there.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .store import written
+from .store import dropped, written
+from .textkit import packed, unpacked
 
 ANCHOR_WORDS = 5
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -65,64 +65,110 @@ class Blocks:
         return K.signed(K.mix((total[z] - total[a]) * back[a] + (z - a).astype(np.uint64)))
 
 
+#: Anchors that a task looks at together, to find those that it can tell are shared.
+_TOGETHER = 1_000_000
+
+
 def _anchors(width: int) -> Callable:
+    """(anchor, doc, known) of each block. Of anchors that several documents met by a task share, every row is known
+    to be shared, and one more row stands for all of them; so an anchor has at most one row that is not known for
+    each run of _TOGETHER anchors, however many documents hold it."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, at in K.slices(batches, "text"):
-            b = Blocks(raw, at, width)
-            yield pa.RecordBatch.from_arrays([pa.array(b.anchor), rows.column("doc").take(pa.array(b.text[b.at]))], ["anchor", "doc"])
+        from itertools import chain
+
+        held: list[tuple[np.ndarray, pa.Array]] = []
+        for item in chain(K.slices(batches, "text"), [None]):
+            if item is not None:
+                rows, raw, at = item
+                b = Blocks(raw, at, width)
+                held.append((b.anchor, rows.column("doc").take(pa.array(b.text[b.at]))))
+            if held and (item is None or sum(len(a) for a, _ in held) >= _TOGETHER):
+                anchor = np.concatenate([a for a, _ in held])
+                doc = pa.chunked_array([d for _, d in held]).combine_chunks().take(pa.array(order := np.argsort(anchor, kind="stable")))
+                anchor = anchor[order]
+                new = np.ones(len(anchor), bool)
+                new[1:] = anchor[1:] != anchor[:-1]
+                several = np.diff(np.append(np.flatnonzero(new), len(anchor)))[np.cumsum(new) - 1] > 1
+                first, more = np.flatnonzero(new), np.flatnonzero(several)
+                for k, known in ((first, False), (more, True)):
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[k]), doc.take(pa.array(k)), pa.array(np.full(len(k), known))], ["anchor", "doc", "known"])
+                held = []
 
     return work
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by known and anchor, those known and those whose neighbour has the same anchor."""
+    before: pa.RecordBatch | None = None  # the last row seen, whose next neighbour is not
+    paired = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([before, batch] if before is not None else [batch]).combine_chunks()
+        anchor, known = rows.column("anchor").to_numpy(), rows.column("known").to_numpy()
+        same = (anchor[1:] == anchor[:-1]) & ~known[1:]
+        keep = known.copy()
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] |= paired
+        before, paired = rows.slice(rows.num_rows - 1).to_batches()[0], bool(keep[-1])
+        yield from rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1])).select(["anchor", "doc"]).to_batches()
+    if before is not None and paired:
+        yield before.select(["anchor", "doc"])
+
+
+def _given(b: Blocks, anchors: pa.Array) -> np.ndarray:
+    """The blocks whose anchor is in the list given for their text."""
+    own = lambda anchor, text: K.mix(anchor.view(np.uint64) + K.mix(text.astype(np.uint64)))
+    flat = anchors.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(anchors)), anchors.value_lengths().to_numpy(zero_copy_only=False))
+    return np.flatnonzero(np.isin(own(b.anchor, b.text[b.at]), own(flat, owner))) if len(b.at) else b.at
+
+
 def _blocks(width: int) -> Callable:
     """Blocks of texts whose anchors are among those given for the document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, at in K.slices(batches, "text"):
+        for rows, raw, at in K.slices(unpacked(batches), "text"):
             b = Blocks(raw, at, width)
-            wanted, content = rows.column("shared").to_pylist(), b.content() if len(b.at) else b.at
-            text = b.text[b.at]
-            picked = [np.flatnonzero(np.isin(b.anchor[lo:hi], wanted[t])) + lo for t, lo, hi in _by_text(text, rows.num_rows)]
-            k = np.concatenate(picked) if picked else np.zeros(0, np.int64)
-            start = b.begin[b.at[k]] - b.first[text[k]]
-            yield pa.RecordBatch.from_arrays([pa.array(b.anchor[k]), pa.array(content[k]), rows.column("doc").take(pa.array(text[k])), rows.column("row").take(pa.array(text[k])), pa.array(start), pa.array(b.count[k])], ["anchor", "content", "doc", "row", "start", "n"])
+            k = _given(b, rows.column("shared"))
+            content = b.content()[k] if len(k) else k
+            text = b.text[b.at[k]]
+            doc, row = rows.column("doc").take(pa.array(text)), rows.column("row").take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([pa.array(b.anchor[k]), pa.array(content), doc, row, pa.array(b.begin[b.at[k]] - b.first[text]), pa.array(b.count[k])], ["anchor", "content", "doc", "row", "start", "n"])
 
     return work
 
 
 def _windows(width: int) -> Callable:
-    """Single windows of the blocks given for the document, with a hash of 128 bits."""
+    """Single windows of the blocks whose anchors are given for the document, with a hash of 128 bits."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, at in K.slices(batches, "text"):
+        for rows, raw, at in K.slices(unpacked(batches), "text"):
             b = Blocks(raw, at, width)
-            wanted, content = rows.column("wanted").to_pylist(), b.content() if len(b.at) else b.at
-            text, picked = b.text[b.at], []
-            for t, lo, hi in _by_text(text, rows.num_rows):
-                pairs = {(w["anchor"], w["content"]) for w in wanted[t]}
-                picked += [k for k in range(lo, hi) if (int(b.anchor[k]), int(content[k])) in pairs]
-            k = np.array(picked, np.int64)
+            k = _given(b, rows.column("wanted"))
             w = np.repeat(b.at[k], b.count[k]) + np.arange(b.count[k].sum()) - np.repeat(np.cumsum(b.count[k]) - b.count[k], b.count[k])
             begin = b.begin[w] if len(w) else np.zeros(0, np.int64)
             high, low = (K.signed(K.window_hashes(b.words, width, s)[begin]) if len(w) else begin for s in (0, 1))
-            t = b.text[w] if len(w) else begin
-            yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), rows.column("doc").take(pa.array(t)), rows.column("row").take(pa.array(t)), pa.array(begin - b.first[t])], ["high", "low", "doc", "row", "start"])
+            text = b.text[w] if len(w) else begin
+            doc, row = rows.column("doc").take(pa.array(text)), rows.column("row").take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), doc, row, pa.array(begin - b.first[text])], ["high", "low", "doc", "row", "start"])
 
     return work
 
 
-def _by_text(text: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
-    edges = np.searchsorted(text, np.arange(n + 1))
-    return ((t, int(edges[t]), int(edges[t + 1])) for t in range(n) if edges[t + 1] > edges[t])
+#: A run of windows as one number: its start times this, and their count.
+_RUN = 1 << 20
 
 
 def _remove(width: int, carried: list[str]) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, out = batch.column("row").to_pylist(), []
-            for row, text, found in zip(ids, batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                words = (text or "").encode().split()
-                spans = [(f["start"], f["n"]) for f in found or () if f["row"] == row]
+        for batch in unpacked(batches):
+            out = []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                words = text.encode().split()
+                spans = [divmod(f, _RUN) for f in found or ()]
                 steps = np.zeros(len(words) + 1, np.int32)
                 for a, n in spans:
                     steps[a] += 1
@@ -130,43 +176,51 @@ def _remove(width: int, carried: list[str]) -> Callable:
                 gone = np.cumsum(steps[:-1]) > 0
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if spans else b" ".join(words)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(), [{"start": int(a), "end": int(z)} for a, z in zip(edge[::2], edge[1::2], strict=True)]))
-            n, r, h, kept, spans = zip(*out, strict=True) if out else ((),) * 5
+                out.append((len(words), int(gone.sum()), kept.decode(), [{"start": int(a), "end": int(z)} for a, z in zip(edge[::2], edge[1::2], strict=True)]))
+            n, r, kept, spans = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(h, pa.string()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                [*carried, "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
+                [*(batch.column(c) for c in carried), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                [*carried, "n_words", "n_removed", "kept_text", "spans"],
             )
 
     return work
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: n_words, n_removed, kept_sha256, kept_text (words joined by one space) and spans.
+    """One row per document: n_words, n_removed, kept_text (words joined by one space) and spans.
 
     spans are the word ranges removed: words in windows of `width` words that also start in a document with a smaller
     id. Windows are judged on the input, not on what is left.
 
-    Shuffles: anchors (about one word in five) with ids, once summed by anchor before the shuffle and once joined with
-    the shared ones; texts once, by id; then rows for shared blocks alone. A passage in very many documents is one
-    row of each index, and Spark splits its documents in the joins.
+    Shuffles: one row for each anchor (about one word in five) and task; texts, compressed, once for each step that
+    reads them; then rows for shared blocks alone. A passage in very many documents is one row of each index, and
+    Spark splits its documents in the joins. Each step is written to the shared folder, so that the shuffle files of
+    the steps before can go.
 
     Null or empty text has no words. A null id is neither smaller nor larger than another: such rows lose nothing and
     take nothing from others. Rows with equal ids don't count as earlier than each other; each is judged by its own
     text. An empty table gives no rows. Other columns are not read. Texts are parsed whole.
     """
     key = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    anchors = texts.where("doc is not null").select("doc", "text").mapInArrow(_anchors(width), f"anchor long, doc {key}")
-    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("anchor")
-    wanted = written(anchors.join(shared, "anchor", "left_semi").groupBy("doc").agg(F.collect_set("anchor").alias("shared")))
-    blocks = texts.join(wanted, "doc").mapInArrow(_blocks(width), f"anchor long, content long, doc {key}, row long, start long, n long")
-    index = blocks.groupBy("anchor", "content").agg(F.min("doc").alias("first"))
-    whole = blocks.join(index, ["anchor", "content"]).where("doc > first").select("doc", "row", "start", "n")
+    plain = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    texts = plain.mapInArrow(packed, f"doc {key}, row long, z binary")
+    anchors = plain.where("doc is not null").select("doc", "text").mapInArrow(_anchors(width), f"anchor long, doc {key}, known boolean")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = anchors.repartition(partitions, F.when(F.col("known"), F.xxhash64("doc")).otherwise(F.col("anchor"))).sortWithinPartitions("known", "anchor")
+    wanted = written(dealt.mapInArrow(_shared, f"anchor long, doc {key}").groupBy("doc").agg(F.collect_list("anchor").alias("shared")))
+    blocks = written(texts.join(wanted, "doc").mapInArrow(_blocks(width), f"anchor long, content long, doc {key}, row long, start long, n long"))
+    dropped(wanted)
+    index = written(blocks.groupBy("anchor", "content").agg(F.min("doc").alias("first")))
+    whole = written(blocks.join(index, ["anchor", "content"]).where("doc > first").select("doc", "row", "start", "n"))
+    dropped(blocks)
     mixed = index.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    unmatched = index.join(mixed, "anchor", "left_semi").groupBy(F.col("first").alias("doc")).agg(F.collect_list(F.struct("anchor", "content")).alias("wanted"))
-    windows = texts.join(unmatched, "doc").mapInArrow(_windows(width), f"high long, low long, doc {key}, row long, start long")
-    earliest = windows.groupBy("high", "low").agg(F.min("doc").alias("first"))
+    unmatched = written(index.join(mixed, "anchor", "left_semi").groupBy(F.col("first").alias("doc")).agg(F.collect_list("anchor").alias("wanted")))
+    dropped(index)
+    windows = written(texts.join(unmatched, "doc").mapInArrow(_windows(width), f"high long, low long, doc {key}, row long, start long"))
+    dropped(unmatched)
+    earliest = windows.groupBy("high", "low").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("high", "low", "first")
     single = windows.join(earliest, ["high", "low"]).where("doc > first").select("doc", "row", "start", F.lit(1).cast("long").alias("n"))
-    found = whole.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("row", "start", "n")).alias("found"))
-    parsed = texts.join(found, "doc", "left").mapInArrow(_remove(width, ["doc"]), f"doc {key}, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start: long, end: long>>")
+    found = written(whole.unionByName(single).groupBy("doc", "row").agg(F.collect_list(F.col("start") * _RUN + F.col("n")).alias("found")))
+    dropped(whole, windows)
+    parsed = texts.join(found, ["doc", "row"], "left").mapInArrow(_remove(width, ["doc"]), f"doc {key}, n_words long, n_removed long, kept_text string, spans array<struct<start: long, end: long>>")
     return parsed.withColumnRenamed("doc", id_col)

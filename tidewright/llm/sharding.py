@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import in_order, kept
+from .store import in_order, written
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
@@ -22,7 +22,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit(1).cast("long").alias("_one"))
     placed = in_order(rows, [id_col, "text_crc32", "size"], {"_before": "size", "_rank": "_one"})
-    placed = kept(placed)
+    placed = written(placed)
     total = placed.agg(F.sum("size")).first()[0] or 1
     middle = F.col("_before") + F.floor(F.col("size") / 2)
     placed = placed.withColumn("shard", F.least(F.floor(middle * shards / F.lit(total)), F.lit(shards - 1)).cast("int"))

@@ -25,18 +25,44 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: later reads take only the columns that they need."""
+#: Folders of tables that written() made and that are not dropped yet.
+_WRITTEN: set[str] = set()
+
+
+def written(df: DataFrame, scratch: bool = True) -> DataFrame:
+    """df as a Parquet table in the shared folder: later reads take only the columns that they need.
+
+    Spark drops the shuffle files of a finished job once the driver's garbage is collected, so that is asked for.
+    A scratch table lasts until it is dropped, or until release().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    if scratch:
+        _WRITTEN.add(path)
+        out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.discard(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            _delete(t.sparkSession, path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df without its lineage, for small intermediate results."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def release(spark: SparkSession) -> None:
+    """Deletes all scratch tables; results that still read them must have been written elsewhere."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
 
 
 def in_order(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:

@@ -12,9 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 #: Bytes of text worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -133,3 +134,22 @@ def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[at[1:]] - total[at[:-1]]
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, row, text) with the text compressed to z, to be shuffled."""
+    zip_ = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        z = [zip_.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(z, pa.binary())], ["doc", "row", "z"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """z back to text, in small batches."""
+    unzip = zstandard.ZstdDecompressor()
+    for batch in batches:
+        step = 256  # rows, so that few texts are unpacked at once
+        for k in range(0, batch.num_rows, step):
+            part = batch.slice(k, step)
+            at = part.schema.get_field_index("z")
+            yield part.set_column(at, "text", pa.array([unzip.decompress(z).decode() for z in part.column(at).to_pylist()], pa.large_string()))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import kept
+from .store import written
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,7 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: tup
     # A closing slash that the node lacks may decide on a rule, so both forms are judged.
     _, slashed = rule_of(host, F.concat(F.regexp_extract("node", r"^[^/?]*([^?]*)", 1), F.lit("/")), rules)
     judged = classes.withColumn("_v", F.coalesce(verdict, slashed)).groupBy("component").agg(F.bool_or(F.col("_v") == "allow").alias("_allow"), F.bool_or(F.col("_v") == "block").alias("_block"))
-    aliases = kept(classes.join(judged, "component").select(F.col("node").alias("_node"), "component", F.when(F.coalesce("_allow", F.lit(False)), "allow").when(F.coalesce("_block", F.lit(False)), "block").alias("_alias")))
+    aliases = written(classes.join(judged, "component").select(F.col("node").alias("_node"), "component", F.when(F.coalesce("_allow", F.lit(False)), "allow").when(F.coalesce("_block", F.lit(False)), "block").alias("_alias")))
     rows = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), node_of(F.col(url_col)).alias("_node"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("_own", verdict)
