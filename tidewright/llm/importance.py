@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .store import in_order, written
+from .store import dropped, in_order, written
 
 #: Classes of bytes: 0 white space, 1 words, 2 punctuation. A token is a run of one class.
 _CLASS = np.full(256, 2, np.uint8)
@@ -110,12 +110,14 @@ def weigh(docs: DataFrame, ratios: np.ndarray, how: Resampling, id_col: str = "d
 
 def _scored(docs: DataFrame, labels: DataFrame, share: float | None, how: Resampling, id_col: str, text_col: str, target: str) -> tuple[DataFrame, np.ndarray, int]:
     """Documents with weights and keys, the ratios, and how many documents to draw."""
-    ratios = log_ratios(docs, labels.where(target).select(id_col), how, id_col, text_col)
+    good = labels.where(target).select(id_col).distinct()
+    # The model is fitted on one half of the target documents and the cut on the other, which the model doesn't know.
+    half = F.pmod(F.xxhash64(F.lit("half"), F.col(id_col)), F.lit(2)) == 0
+    ratios = log_ratios(docs, good.where(half), how, id_col, text_col)
     scored = written(weigh(docs, ratios, how, id_col, text_col).withColumn("_down", -F.col("gumbel_key")).withColumn("_one", F.lit(1).cast("long")))
     if share is not None:
         return scored, ratios, round(share * scored.count())
-    good = labels.where(target).select(id_col).distinct()
-    cut = scored.join(good, id_col, "left_semi").agg(F.percentile_approx("log_weight", how.missed, 100_000)).first()[0]
+    cut = scored.join(good.where(~half), id_col, "left_semi").agg(F.percentile_approx("log_weight", how.missed, 100_000)).first()[0]
     return scored, ratios, scored.count() if cut is None else scored.where(F.col("log_weight") >= cut).count()
 
 
@@ -145,6 +147,7 @@ def select_documents(docs: DataFrame, labels: DataFrame, share: float | None = N
     last = in_order(scored, ["_down", id_col], {"_rank": "_one"}).where(F.col("_rank") == k - 1).first() if k else None
     if last is None:
         return docs.limit(0)
+    dropped(scored)
     again = weigh(docs, ratios, how, id_col, text_col, keep=docs.columns)
     down, same_or_before = -F.col("gumbel_key"), F.col(id_col).isNull() if last[id_col] is None else F.col(id_col).isNull() | (F.col(id_col) <= F.lit(last[id_col]))
     return again.where((down < last["_down"]) | ((down == last["_down"]) & same_or_before)).select(*docs.columns)
