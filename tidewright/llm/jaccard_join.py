@@ -18,12 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
 from .components import components
-from .store import in_order, kept, written
+from .store import dropped, in_order, written
+from .textkit import packed, unpacked
 
 
 @dataclass(frozen=True)
@@ -31,18 +33,16 @@ class Join:
     """Similarity is percent / 100 of the union.
 
     counted_share: tokens whose hash lies in this share of all hashes are counted over all documents (sets of up to
-    small_set tokens count all theirs, where it only matters that no other set has them). rare: the most sets that hold a rare token. whole_set: sets of up to so many
-    tokens use frequent tokens singly. class_tokens: of a class of frequent tokens, on average. block: sets verified
-    together.
+    small_set tokens count all theirs, where it only matters that no other set has them). rare: the most sets that hold a rare token. combined: (from this size of set, tokens of a
+    class of frequent tokens on average); smaller sets use them singly. block: sets verified together.
     """
 
     words: int = 4
     percent: int = 85
     counted_share: float = 0.2
     small_set: int = 120
-    rare: int = 32
-    whole_set: int = 128
-    class_tokens: int = 3
+    rare: int = 3
+    combined: tuple[tuple[int, int], ...] = ((12, 2), (40, 3), (128, 4))
     block: int = 192
 
     @property
@@ -119,7 +119,7 @@ def _signatures(how: Join) -> Callable:
     """(key, rep): the prefix of each set, from its counted tokens that are unique or rare, and the rest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, at in K.slices(batches, "text"):
+        for rows, raw, at in K.slices(unpacked(batches), "text"):
             tokens, first = shingles(raw, at, how.words)
             keys, reps = [], []
             for k in range(rows.num_rows):
@@ -140,23 +140,29 @@ def _prefix(tokens: np.ndarray, n: np.int64, unique: np.ndarray, rare: np.ndarra
     need = int(how.differing(n)) + 1 - len(unique)
     if need <= 0:
         return np.zeros(0, np.uint64)
-    out = [K.mix(rare[:need])]
-    if need > len(rare):
+    # A rare token is written for each size class that a linked set may be in, so that only such sets meet.
+    sizes = how.size_class(n), how.size_class(n) + 1
+    out = [K.mix(rare[:need] ^ K.mix(np.uint64([size + 1]))) for size in sizes]
+    rest = need - len(rare)
+    if rest > 0:
         frequent = tokens[~np.isin(tokens, np.concatenate([unique, rare]))]
-        for size in (how.size_class(n), how.size_class(n) + 1):
+        for size in sizes:
             largest = (100 / how.percent) ** (size + 1)
-            if largest <= how.whole_set:
-                own = frequent[: need - len(rare)]
-                out.append(K.mix(own))
-                continue
-            classes = np.uint64(max(1, int(largest / how.class_tokens)))
-            which = (K.mix(frequent) >> np.uint64(8)) % classes
-            order = np.argsort(which, kind="stable")
-            which, own = which[order], K.mix(frequent[order] + np.uint64(1))
-            starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else np.zeros(0, np.int64)
-            if len(starts):
-                combined = np.add.reduceat(own, starts)
-                out.append(K.mix(combined[: need - len(rare)] + K.mix(which[starts][: need - len(rare)] + np.uint64(int(size) << 32))))
+            tokens_each = max((c for least, c in how.combined if largest >= least), default=0)
+            if not tokens_each:
+                keys = K.mix(frequent)
+            else:
+                classes = np.uint64(max(1, int(largest / tokens_each)))
+                which = (K.mix(frequent) >> np.uint64(8)) % classes
+                order = np.argsort(which, kind="stable")
+                which, own = which[order], K.mix(frequent[order] + np.uint64(1))
+                starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else np.zeros(0, np.int64)
+                keys = K.mix(np.add.reduceat(own, starts) + K.mix(which[starts] + np.uint64(int(size) << 32))) if len(starts) else which
+            out.append(keys[:rest])
+            if len(keys) < rest:
+                # Too few classes hold tokens. A partner with enough of them is found all the same, as all of this
+                # set's signatures are written; two sets that both have too few meet by single tokens.
+                out.append(K.mix(tokens[: int(how.differing(n)) + 1] + np.uint64(2)))
     return np.unique(np.concatenate(out))
 
 
@@ -206,10 +212,11 @@ def forest(links: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _verify(how: Join, one_side: bool) -> Callable:
-    """Links inside a group of rows (rep, text, side, component); with one_side only those across sides."""
+    """Links inside a group of rows (rep, z, side, component); with one_side only those across sides."""
 
     def work(group: pa.Table) -> pa.Table:
-        raw, at = K.utf8(group.column("text"))
+        unzip = zstandard.ZstdDecompressor()
+        raw, at = K.utf8(pa.array([unzip.decompress(z).decode() for z in group.column("z").to_pylist()], pa.large_string()))
         tokens, first = shingles(raw, at, how.words)
         links = linked([tokens[first[k] : first[k + 1]] for k in range(group.num_rows)], how.percent)
         side = group.column("side").to_numpy()
@@ -223,84 +230,85 @@ def _verify(how: Join, one_side: bool) -> Callable:
     return work
 
 
-def _links(candidates: DataFrame, groups: DataFrame, how: Join, key: str) -> DataFrame:
-    """Links among candidates (rep, n, text, free) by their groups (node, component).
+def _links(candidates: DataFrame, texts: DataFrame, groups: DataFrame, how: Join) -> DataFrame:
+    """Links among candidates (rep, n, free) by their groups (node, component).
 
     Each group is laid out by size of set and cut into blocks. First, every block is verified together with the
     group's pivots, the sets with the smallest share of tokens of their own, which are near the middle of their group.
     Then sets that this left outside the group's largest class are verified against all blocks that hold sets of
     fitting sizes. So the work grows with the size of a group, and with the product of its stragglers and its size.
     """
-    members = candidates.join(groups, F.col("rep") == F.col("node")).select("rep", "n", "text", "free", F.col("component").alias("g"), F.lit(1).cast("long").alias("_one"))
-    members = written(members)
-    light = members.select("rep", "n", "free", "g", "_one")
-    by_size = in_order(light, ["g", "n", "rep"], {"_rank": "_one"})
+    one = F.lit(1).cast("long").alias("_one")
+    light = written(candidates.join(groups, F.col("rep") == F.col("node")).select("rep", "n", "free", F.col("component").alias("g"), one))
     sizes = light.groupBy("g").agg(F.count("*").alias("size"))
-    placed = by_size.join(by_size.groupBy("g").agg(F.min("_rank").alias("_first")), "g").join(sizes, "g")
-    placed = placed.withColumn("blk", F.floor((F.col("_rank") - F.col("_first")) / how.block))
-    by_share = in_order(light.join(sizes, "g").where(F.col("size") > how.block), ["g", "free", "rep"], {"_rank": "_one"})
+    by_size = written(in_order(light, ["g", "n", "rep"], {"_rank": "_one"}))
+    ends = by_size.groupBy("g").agg(F.min("_rank").alias("_first"), F.count("*").alias("size"))
+    placed = by_size.join(ends, "g").withColumn("blk", F.floor((F.col("_rank") - F.col("_first")) / how.block))
+    by_share = written(in_order(light.join(sizes, "g").where(F.col("size") > how.block).drop("size"), ["g", "free", "rep"], {"_rank": "_one"}))
     pivots = by_share.join(by_share.groupBy("g").agg(F.min("_rank").alias("_first")), "g").where(F.col("_rank") - F.col("_first") < how.block // 3).select("rep", F.lit(True).alias("pivot"))
-    placed = kept(placed.join(pivots, "rep", "left").select("rep", "n", "g", "size", "blk", F.coalesce("pivot", F.lit(False)).alias("pivot")))
-    with_text = members.select("rep", "text").join(placed, "rep")
-    schema = f"a {key}, b {key}"
-    rows = with_text.select("rep", "text", "g", F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / how.block))).otherwise(F.array("blk")).alias("blks"))
-    rows = rows.select("rep", "text", "g", F.explode("blks").alias("blk"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("component"))
-    links = kept(rows.groupBy("g", "blk").applyInArrow(_verify(how, False), schema))
-
-    found = kept(components(links))
-    state = placed.where(F.col("size") > how.block).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = written(placed.join(pivots, "rep", "left").select("rep", "n", "g", "size", "blk", F.coalesce("pivot", F.lit(False)).alias("pivot")))
+    dropped(light, by_size, by_share)
+    everywhere = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / how.block))
+    rows = placed.select("rep", "g", F.explode(F.when(F.col("pivot"), everywhere).otherwise(F.array("blk"))).alias("blk"))
+    rows = rows.join(texts, "rep").select("rep", "z", "g", "blk", F.lit(0).alias("side"), F.lit(0).cast("long").alias("component"))
+    links = written(rows.groupBy("g", "blk").applyInArrow(_verify(how, False), "a long, b long"))
+
+    state = placed.where(F.col("size") > how.block).join(components(links).select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    state = written(state)
     main = state.groupBy("g", "component").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-    state = kept(state.join(main, "g"))
-    strays = in_order(state.where("component <> main").select("g", "n", "rep", F.lit(1).cast("long").alias("_one")), ["g", "n", "rep"], {"_rank": "_one"})
-    strays = kept(strays.join(strays.groupBy("g").agg(F.min("_rank").alias("_first")), "g").select("rep", "g", "n", F.floor((F.col("_rank") - F.col("_first")) / how.block).alias("sblk")))
-    if not strays.take(1):
-        return links
+    strays = written(in_order(state.join(main, "g").where("component <> main").select("g", "n", "rep", one), ["g", "n", "rep"], {"_rank": "_one"}))
+    strays = strays.join(strays.groupBy("g").agg(F.min("_rank").alias("_first")), "g").select("rep", "g", "n", F.floor((F.col("_rank") - F.col("_first")) / how.block).alias("sblk"))
     ranges = state.groupBy("g", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     stray_ranges = strays.groupBy("g", "sblk").agg(F.min("n").alias("slo"), F.max("n").alias("shi"))
     fits = (F.col("lo") * how.percent <= F.col("shi") * 100) & (F.col("slo") * how.percent <= F.col("hi") * 100)
-    pairs = kept(ranges.join(stray_ranges, "g").where(fits).select("g", "blk", "sblk"))
-    text = members.select("rep", "text")
+    pairs = written(ranges.join(stray_ranges, "g").where(fits).select("g", "blk", "sblk"))
     left = strays.join(pairs, ["g", "sblk"]).select("rep", "g", "blk", "sblk", F.lit(1).alias("side"))
     right = state.select("rep", "g", "blk").join(pairs, ["g", "blk"]).select("rep", "g", "blk", "sblk", F.lit(0).alias("side"))
-    both = left.unionByName(right).join(state.select("rep", "component"), "rep").join(text, "rep")
-    more = both.groupBy("g", "blk", "sblk").applyInArrow(_verify(how, True), schema)
-    return kept(links.unionByName(more.where("a <> b")))
+    both = left.unionByName(right).join(state.select("rep", "component"), "rep").join(texts, "rep")
+    more = both.select("rep", "z", "g", "blk", "sblk", "side", "component").groupBy("g", "blk", "sblk").applyInArrow(_verify(how, True), "a long, b long")
+    return written(links.unionByName(more.where("a <> b")))
 
 
 def _joined(docs: DataFrame, how: Join, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sets (doc, row, n, sig), classes (sig, n, rep) and links between reps."""
+    """Sets (doc, row, n, sig), classes (sig, n, doc) of equal sets, and links between classes by sig."""
     key = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     sets = written(texts.mapInArrow(_sets(how), f"doc {key}, row long, n long, sig long"))
-    classes = sets.where("n > 0 and doc is not null").groupBy("sig", "n").agg(F.min(F.struct("doc", "row")).alias("r")).select("sig", "n", F.col("r.doc").alias("rep"), F.col("r.row").alias("row"))
-    tokens = texts.where("doc is not null").select("text").mapInArrow(_tokens(how), "token long, sig long")
+    texts = texts.where("doc is not null")
+    classes = sets.where("n > 0 and doc is not null").groupBy("sig", "n").agg(F.min(F.struct("doc", "row")).alias("r")).select("sig", "n", F.col("r.doc").alias("doc"), F.col("r.row").alias("row"))
+    tokens = texts.select("text").mapInArrow(_tokens(how), "token long, sig long")
     own = tokens.groupBy("token").agg(F.min("sig").alias("sig"), F.max("sig").alias("z")).where("sig = z")
     own = own.groupBy("sig").agg(F.count("*").alias("every"), F.sum(F.col("token").between(0, how.counted_below - 1).cast("long")).alias("counted"))
     most = F.col("n") - F.ceil(F.col("n") * how.percent / 100)
     unshared = F.coalesce(F.when(F.col("n") <= how.small_set, F.col("every")).otherwise(F.col("counted")), F.lit(0))
-    able = classes.where((100 - how.percent) * F.col("n") >= how.percent).join(own, "sig", "left").where(unshared <= most)
-    candidates = written(texts.where("doc is not null").join(able.select(F.col("rep").alias("doc"), "row", "n"), ["doc", "row"]).dropDuplicates(["doc"]).select(F.col("doc").alias("rep"), "n", "text"))
+    able = written(classes.where((100 - how.percent) * F.col("n") >= how.percent).join(own, "sig", "left").where(unshared <= most).select(F.col("sig").alias("rep"), "n", "doc", "row"))
+    candidates = written(texts.mapInArrow(packed, f"doc {key}, row long, z binary").join(able.hint("merge"), ["doc", "row"]).select("rep", "n", "z").dropDuplicates(["rep"]))
+    dropped(able)
+
+    # As above over all tokens, now that most sets without partners are gone.
+    own = candidates.mapInArrow(_rep_tokens(how, True), "token long, rep long").groupBy("token").agg(F.min("rep").alias("rep"), F.max("rep").alias("z")).where("rep = z").groupBy("rep").agg(F.count("*").alias("own"))
+    before, candidates = candidates, written(candidates.join(own, "rep", "left").where(F.coalesce("own", F.lit(0)) <= most).drop("own"))
+    dropped(before)
 
-    counted = candidates.mapInArrow(_rep_tokens(how), f"token long, rep {key}")
+    counted = candidates.mapInArrow(_rep_tokens(how, False), "token long, rep long")
     sums = counted.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") <= how.rare)
     kinds = counted.join(sums, "token").groupBy("rep").agg(F.collect_list(F.when(F.col("sets") == 1, F.col("token"))).alias("unique"), F.collect_list(F.when(F.col("sets") > 1, F.col("token"))).alias("rare"))
-    kinds = written(kinds)
-    # As above, now that the sets without partners are gone.
-    candidates = written(candidates.join(kinds, "rep", "left").where(F.coalesce(F.size("unique"), F.lit(0)) <= most))
-    keys = written(candidates.mapInArrow(_signatures(how), f"key long, rep {key}"))
+    kinds = written(candidates.select("rep", "n").join(kinds, "rep", "left").where(F.coalesce(F.size("unique"), F.lit(0)) <= most))
+    keys = written(candidates.join(kinds.select("rep", "unique", "rare"), "rep").mapInArrow(_signatures(how), "key long, rep long"))
     leaders = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("z")).where("lead < z").select("key", "lead")
-    near = keys.join(leaders, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    near = written(keys.join(leaders, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
+    dropped(keys)
     groups = components(near)
-    share = candidates.select("rep", "n", "text", (F.coalesce(F.size("unique"), F.lit(0)) / F.col("n")).alias("free"))
-    return sets, classes, _links(share, groups, how, key)
+    share = kinds.select("rep", "n", (F.coalesce(F.size("unique"), F.lit(0)) / F.col("n")).alias("free"))
+    return sets, classes, _links(share, candidates.select("rep", "z"), groups, how)
 
 
-def _rep_tokens(how: Join) -> Callable:
+def _rep_tokens(how: Join, every: bool) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, at in K.slices(batches, "text"):
+        for rows, raw, at in K.slices(unpacked(batches), "text"):
             tokens, first = shingles(raw, at, how.words)
             n = np.diff(first)
-            pick = tokens < how.counted_below
+            pick = np.ones(len(tokens), bool) if every else tokens < how.counted_below
             yield pa.RecordBatch.from_arrays([pa.array(K.signed(tokens[pick])), rows.column("rep").take(pa.array(np.repeat(np.arange(len(n)), n)[pick]))], ["token", "rep"])
 
     return work
@@ -315,10 +323,13 @@ def shingle_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
     Other columns are not read. Texts are taken whole.
     """
     sets, classes, links = _joined(docs, how, id_col, text_col)
-    found = components(links).select(F.col("node").alias("rep"), "component")
-    named = classes.join(found, "rep", "left").select("sig", F.col("n").alias("_n"), F.coalesce("component", "rep").alias("component"))
-    out = sets.join(named, (sets.sig == named.sig) & (sets.n == F.col("_n")) & F.col("doc").isNotNull(), "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    found = components(links).select(F.col("node").alias("sig"), "component")
+    placed = classes.join(found, "sig", "left").select("sig", F.col("n").alias("_n"), "doc", F.coalesce("component", "sig").alias("component"))
+    names = placed.groupBy("component").agg(F.min("doc").alias("name"))
+    named = written(placed.join(names, "component").select(F.col("sig").alias("_sig"), "_n", "name"))
+    dropped(links)
+    out = sets.join(named, (F.col("sig") == F.col("_sig")) & (F.col("n") == F.col("_n")) & F.col("doc").isNotNull(), "left")
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "doc").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
