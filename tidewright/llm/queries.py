@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLE_SQL  # noqa: F401
 from .store import table
 
 
@@ -66,9 +67,7 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
-    return filter_urls(table(spark, sf_dir, "pages"))
+    return filter_urls(table(spark, sf_dir, "pages")).drop("component")
 
 
 QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_secret_scan, op3_decontamination, op4_importance_resampling, op5_relative_lz, op6_template_extraction, op7_shingle_join, op8_curve_packing, op9_byte_shards, op10_url_filter)}
-
-ORACLE_SQL: dict[str, str] = {}
