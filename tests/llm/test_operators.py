@@ -12,32 +12,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests_llm_data import PAGES, documents
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, n_words string, row string, z string"
 
 
-def documents(seed=0, n=120):
-    """Random texts with copies, near copies, shared passages, junk, odd white space, nulls and a very long text."""
-    r = random.Random(seed)
-    vocabulary = ["".join(r.choice("abcdefgé") for _ in range(r.randint(1, 9))) for _ in range(300)]
-    words = lambda k: [r.choice(vocabulary) for _ in range(k)]
-    passage = words(40)
-    texts = [None, "", "   \n\t", "one", "One two", "a b c", "A\u00a0b\u2003c \x1f d", "same line\nsame line\nsame line\n\nother", "x " * 30, "%%% ### a|b <c> & d"]
-    base = [words(r.randint(20, 200)) for _ in range(12)]
-    while len(texts) < n:
-        kind = r.random()
-        w = list(r.choice(base)) if kind < 0.6 else words(r.randint(5, 150))
-        if 0.15 < kind < 0.6:
-            for _ in range(r.randint(1, max(1, len(w) // 25))):
-                w[r.randrange(len(w))] = r.choice(vocabulary)
-        if kind > 0.9:
-            w[3:3] = passage
-        texts.append(" ".join(x + r.choice(["", "", ",", "."]) for x in w) if 0.6 < kind < 0.9 else " ".join(w))
-    texts.append(" ".join(words(20_000)))
-    r.shuffle(texts)
-    return list(enumerate(texts))
-
-
 def frame(spark, rows):
     return spark.createDataFrame([(d, t, "en", "clash", "clash", "clash") for d, t in rows], DOCS)
 
@@ -330,13 +310,7 @@ def test_byte_shards(spark, rows, docs, empty):
 def test_url_filter(spark):
     from tidewright.llm.url_filter import filter_urls
 
-    link = lambda u: f'<html><head><link rel="canonical" href="{u}"></head>'
-    refresh = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'
-    pages = [
-        (0, "http://A.Example.com/en/x?q#f", None), (1, "https://www.example.com/en/x", ""), (2, "http://b.net/es/1", ""), (3, "no scheme", None), (4, None, None),
-        (5, "http://alias.org/1", link("http://b.net/es/1")), (6, "http://alias.org/2", refresh("https://alias.org/1/")), (7, "http://both.org/1", link("http://c.net/fr/2") + refresh("http://d.com/2")),
-        (8, "http://notexample.com/en/", ""), (9, "x://com", ""), (10, "://net/fr/", ""), (11, "http://free.org/", link("/self")), (11, "http://free.org/", link("/self")), (12, "http://q.org?a/b://c", ""),
-    ]
+    pages = PAGES
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash"))).collect()}
     assert got[0] == ("a.example.com", "/en/x", "example.com/en/", "block")
     assert got[1] == ("www.example.com", "/en/x", "www.example.com/en/", "allow")

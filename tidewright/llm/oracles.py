@@ -54,9 +54,9 @@ def _rule(host: str, path: str) -> tuple[str, str]:
     return "CASE " + " ".join(f"WHEN {c} THEN '{x.host}{x.path}'" for c, x in fits) + " END", "CASE " + " ".join(f"WHEN {c} THEN '{x.verdict}'" for c, x in fits) + " END"
 
 
-_CANONICAL = r"'(?is)<link\b[^>]*\brel\s*=\s*[""'']?canonical\b[^>]*\bhref\s*=\s*[""'']?([^""''\s>]+)'".replace('""', '"')
-_CANONICAL_BEFORE = r"'(?is)<link\b[^>]*\bhref\s*=\s*[""'']?([^""''\s>]+)[""'']?[^>]*\brel\s*=\s*[""'']?canonical\b'".replace('""', '"')
-_REFRESH = r"'(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[""'']?refresh\b[^>]*\bcontent\s*=\s*[""'']?[^""''>]*?url\s*=\s*([^""''\s>;]+)'".replace('""', '"')
+_CANONICAL = r"""'(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)'"""
+_CANONICAL_BEFORE = r"""'(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b'"""
+_REFRESH = r"""'(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*([^"''\s>;]+)'"""
 
 
 def _node(url: str) -> str:
