@@ -1,7 +1,8 @@
 """A pipeline over the documents: quality classifier, near duplicates, benchmark decontamination, secrets, packing.
 
 Each stage takes the documents that its predecessor kept, as a Parquet table in the shared folder, and all but the
-last return the columns of documents.
+last return the columns of documents. A stage begins by deleting the scratch tables of those before it, whose results
+are written by then; `docs` must not be a scratch table.
 """
 
 from __future__ import annotations
@@ -14,33 +15,38 @@ from tidewright.llm.importance import select_documents
 from tidewright.llm.jaccard_join import Join, first_of_each
 from tidewright.llm.packing import pack_along_curve
 from tidewright.llm.secret_scan import redact_secrets
-from tidewright.llm.store import table, written
+from tidewright.llm.store import release, table, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling towards labelled documents of good quality; what it doesn't draw goes."""
+    release(spark)
     return select_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    release(spark)
     return first_of_each(docs, Join(words=5, percent=80, counted_share=0.27))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
+    release(spark)
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
     return found.where("n_hit = 0").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark."""
+    release(spark)
     clean = redact_secrets(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens along a space-filling curve."""
+    release(spark)
     return pack_along_curve(docs)
 
 
@@ -53,5 +59,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir), scratch=False)
     return docs
