@@ -71,7 +71,7 @@ def linucb(rows: DataFrame, features: list[str], arms: int, alpha: float = 0.5)
     return rows.groupBy("k").applyInPandas(work, f"k {kind}, t timestamp_ntz, arm int, reward double")
 
 
-def quantile_regression(rows: DataFrame, features: list[str], target: str, tau: float, steps: int = 600, rate: float = 0.05) -> DataFrame:
+def quantile_regression(rows: DataFrame, features: list[str], target: str, tau: float, steps: int = 600, rate: float = 0.5) -> DataFrame:
     """One row per key: weights of a linear quantile by subgradient steps over all its rows, and their pinball loss."""
     kind = rows.schema["k"].dataType.simpleString()
 
