@@ -29,7 +29,12 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["swings"](spark, sf_dir)
+    """Hourly bars with their true range average and swing marks."""
+    from tidewright.operators.folds import wilder_atr
+    from tidewright.operators.windows import swings
+    from tidewright.sources.tables import hourly
+
+    return wilder_atr(swings(hourly(spark, sf_dir)))
 
 
 def load() -> None:
