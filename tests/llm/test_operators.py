@@ -334,7 +334,7 @@ def test_page_template(spark):
     def page(n, body):
         return f'<!DOCTYPE html><html><head><title>t{n}</title><script>var a="</p><p>no";</script></head><body><nav><ul><li><a href="/{n}">menu{n}</a></ul></nav><!-- <p>no</p> --><div class="ad">buy {n}</div><div class="cookie-notice"><p>we use cookies</p></div>{body}<aside>side {n}</aside><footer>&copy; foot {n}</footer></body></html>'
 
-    body = "<article><h1>Head &amp; title&am</h1><p><b>One  two.<br><p>Three&nbsp;<i>four</i>five<ul><li>a<li>b</ul><form><input><p>form</p></form><section class='comments'><p>reader says</p></section></article>"
+    body = "<div class='site-header'>site</div><article><div class='article-header'><h1>Head &amp; title&am</h1></div><p><b>One  two.<br><p>Three&nbsp;<i>four</i>five<ul><li>a<li>b</ul><form><input><p>form</p></form><section class='comments'><p>reader says</p></section></article>"
     expected = "Head & title&am\n\nOne two.\n\nThree fourfive\n\na\n\nb"
     pages = [(i, f"http://h.org/{i}", page(i, body)) for i in range(6)]
     pages += [(10, "http://single.org/", page(0, body)), (11, "http://plain.org/", "<html><body><div id='menu'>m</div><div><p>Only</p> <p>text &lt;here&gt;</p></div></body>"), (12, None, None), (13, "x", ""), (14, "http://h.org/cut", page(9, "<article><p>cut off")), (14, "http://h.org/cut", page(9, "<article><p>cut off"))]

@@ -35,7 +35,7 @@ _ASIDE = frozenset("nav footer aside form menu dialog button select noscript tem
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "sidebar sidebars side nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead comment comments respond reply replies disqus discussion "
+    "sidebar sidebars side nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments respond reply replies disqus discussion "
     "share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager skip hidden".split()
 )
 
@@ -66,14 +66,15 @@ def number(*parts: str) -> int:
     return int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _labels(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """A name for the element, whether it is aside from the main text, and whether it holds an article."""
+def _labels(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """A name for the element, whether it is aside from the main text, holds an article, and is a header, which is
+    aside unless it is the article's own."""
     named = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
     words = set(re.split(r"[^a-z]+", named.get("class", "") + " " + named.get("id", ""))) - {""}
     aside = tag in _ASIDE or named.get("role") in _ASIDE_ROLES or tag not in ("body", "html", "article", "main") and bool(words & _ASIDE_NAMES)
     aside = aside or tag == "article" and bool(words & {"comment", "comments", "reply", "ad", "advert", "promo", "related", "sponsored"})
     name = tag + "".join(f".{c}" for c in named.get("class", "").split()[:3])
-    return name, aside, (tag in ("article", "main") or named.get("role") in ("main", "article")) and not aside
+    return name, aside, (tag in ("article", "main") or named.get("role") in ("main", "article")) and not aside, tag == "header" or bool(words & {"header", "masthead"})
 
 
 def blocks_of(page: str) -> tuple[list[Block], Counter[tuple[str, ...]]]:
@@ -141,10 +142,9 @@ def blocks_of(page: str) -> tuple[list[Block], Counter[tuple[str, ...]]]:
                     break
                 if stack[k][0] in _HOLDS_LISTS:
                     break
-        name, aside, article = _labels(tag, m[3] or m[6] or "")
+        name, aside, article, header = _labels(tag, m[3] or m[6] or "")
         above = stack[-1] if stack else ("", "", False, False)
-        if tag == "header" and not above[3]:
-            aside = True
+        aside = aside or header and not above[3] and tag not in ("body", "html", "article", "main")
         paths[(*(s[1] for s in stack if s[0] not in _INLINE), name)] += 1
         if tag not in _VOID and not (m[3] or m[6] or "").endswith("/"):
             stack.append((tag, name, above[2] or aside, above[3] or article))
