@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -59,11 +58,6 @@ class Windows:
         return ranges, names
 
 
-@lru_cache(maxsize=1)
-def _windows(items: tuple[tuple[str, bytes], ...], width: int) -> Windows:
-    return Windows(list(items), width)
-
-
 def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -90,16 +84,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == b)
         # Bounded: one block of block_bytes on average.
-        held = docs.sparkSession.sparkContext.broadcast(tuple(sorted({(r.item, r.body.encode()) for r in mine.toLocalIterator()})))
-        out = out.mapInArrow(_pass(held, width, text_col, carried, first=b == 0, last=b == blocks - 1), f"{kept_fields}, {_SCHEMA}")
+        block = tuple(sorted({(r.item, r.body.encode()) for r in mine.toLocalIterator()}))
+        mark = hashlib.sha256(repr((width, block)).encode()).hexdigest()
+        out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(block), mark, width, text_col, carried, first=b == 0, last=b == blocks - 1), f"{kept_fields}, {_SCHEMA}")
     return out.drop(*(c for c in [text_col] if c not in keep and c != id_col))
 
 
-def _pass(held, width: int, text_col: str, carried: list[str], first: bool, last: bool):
+def _pass(items, mark: str, width: int, text_col: str, carried: list[str], first: bool, last: bool):
     """Scans for one block of items; between passes `spans` holds word ranges."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = _windows(held.value, width)
+        windows = K.held(("windows", mark), lambda: Windows(list(items.value), width))
         for batch in batches:
             before = [] if first else list(zip(batch.column("item_ids").to_pylist(), batch.column("spans").to_pylist(), strict=True))
             rows = []

@@ -93,6 +93,7 @@ def _signature(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _sets(how: Join) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.let_go()
         for rows, raw, at in K.slices(batches, "text"):
             tokens, first = shingles(raw, at, how.words)
             yield pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("row"), pa.array(np.diff(first)), pa.array(_signature(tokens, first))], ["doc", "row", "n", "sig"])
@@ -104,6 +105,7 @@ def _tokens(how: Join) -> Callable:
     """(token, sig) of counted tokens, of sets that may link with others at all."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.let_go()
         for _, raw, at in K.slices(batches, "text"):
             tokens, first = shingles(raw, at, how.words)
             n = np.diff(first)
@@ -119,6 +121,7 @@ def _signatures(how: Join) -> Callable:
     """(key, rep): the prefix of each set, from its counted tokens that are unique or rare, and the rest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.let_go()
         for rows, raw, at in K.slices(unpacked(batches), "text"):
             tokens, first = shingles(raw, at, how.words)
             keys, reps = [], []
@@ -215,6 +218,7 @@ def _verify(how: Join, one_side: bool) -> Callable:
     """Links inside a group of rows (rep, z, side, component); with one_side only those across sides."""
 
     def work(group: pa.Table) -> pa.Table:
+        K.let_go()
         unzip = zstandard.ZstdDecompressor()
         raw, at = K.utf8(pa.array([unzip.decompress(z).decode() for z in group.column("z").to_pylist()], pa.large_string()))
         tokens, first = shingles(raw, at, how.words)
@@ -305,6 +309,7 @@ def _joined(docs: DataFrame, how: Join, id_col: str, text_col: str) -> tuple[Dat
 
 def _rep_tokens(how: Join, every: bool) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.let_go()
         for rows, raw, at in K.slices(unpacked(batches), "text"):
             tokens, first = shingles(raw, at, how.words)
             n = np.diff(first)

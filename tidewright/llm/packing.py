@@ -18,18 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as K
 from .store import written
 
 DIMENSIONS, BITS = 3, 10
 #: Words that a task remembers the ids of; on reaching it, it forgets them all.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 600_000
 #: Lone signs, of which one with a single id can stand between words that are encoded together.
 _SIGNS = "\u2020\u00b6\u00a7~^"
 #: A full stop or comma that the pre-tokenizer splits off, as it stands alone between a letter or digit and white space.
 _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\t\n]|$)")
 
 
-@lru_cache(maxsize=1)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -82,12 +82,6 @@ class WordTokens:
         return [b"".join([known[w] for w in words]) for words in split]
 
 
-@lru_cache(maxsize=1)
-def word_tokens(path: str) -> WordTokens:
-    """One for all tasks of a Python worker, so that words are learnt once."""
-    return WordTokens(path)
-
-
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Hilbert keys of integer points (rows) with coordinates below 2 ** bits."""
     x = [points[:, d].astype(np.int64) for d in range(points.shape[1])]
@@ -169,9 +163,7 @@ def pack_along_curve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _cut(tokenizer: str, carried: list[str], text_col: str, capacity: int, end_id: int) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from . import textkit as K
-
-        tokens = word_tokens(tokenizer)
+        tokens = K.held(("words", tokenizer), lambda: WordTokens(tokenizer))
         end, vocabulary = np.array([end_id], "<u4").tobytes(), tokens.of.get_vocab_size()
         for rows, raw, at in K.slices(batches, text_col):
             whole = raw.tobytes()

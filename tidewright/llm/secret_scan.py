@@ -11,11 +11,12 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import textkit as K
+
 #: The patterns, in the order of their kinds. The second is the least length, of the group named.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -38,7 +39,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-@lru_cache(maxsize=2)
 def token_counter(vocabulary: str) -> Callable[[str], int]:
     import public_tokenizers
     import tiktoken
@@ -83,7 +83,7 @@ def _scan(docs: DataFrame, make: Callable, id_col: str, text_col: str, schema: s
         vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(vocabulary)
+        count = K.held(("vocabulary", vocabulary), lambda: token_counter(vocabulary))
         for batch in batches:
             yield make(batch, count)
 

@@ -7,7 +7,8 @@ depend on their input only, so a retried task gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,23 @@ import zstandard
 #: Bytes of text worked on at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one object, so that work of another kind lets it go first."""
+    if _HELD.get("name") != name:
+        let_go()
+        _HELD.update(name=name, value=make())
+    return _HELD["value"]
+
+
+def let_go() -> None:
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: True for the bytes of words `[^\x20\x09-\x0D]+`.
