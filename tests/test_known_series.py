@@ -97,3 +97,15 @@ def test_weekdays(spark):
 def test_scalars(spark):
     x = spark.range(1).select(S.normal_cdf(F.lit(1.96)).alias("cdf"), S.fee_per_contract(F.lit(50.0)).alias("fee"), S.or_default(F.lit(0.0), 7.0).alias("d"), S.compact_timestamp(F.lit("20240102T0304")).cast("string").alias("ts"), S.session_label(F.lit(dt.datetime(2024, 7, 1, 13, 30))).alias("s")).first()
     assert x.cdf == pytest.approx(0.9750021, abs=1e-6) and (x.fee, x.d, x.ts, x.s) == (2.0, 7.0, "2024-01-02 03:04:00", "open")
+
+
+def test_document_events_read_whole_texts(spark, tmp_path):
+    from tidewright.plans.q_structure import document_events
+
+    texts = ["x " * 300 + "The SEC files a lawsuit", "bitcoin etf " + "y " * 300, "z " * 500]
+    spark.createDataFrame([("s", t) for t in texts], "source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.event: r.n for r in document_events(spark, str(tmp_path)).collect()}
+    from tidewright.operators.structure import EVENT_WORDS
+
+    expected = [next((name for name, words in EVENT_WORDS if any(w in t.lower() for w in words)), "none") for t in texts]
+    assert expected[0] != "none" and got == {e: expected.count(e) for e in expected}

@@ -85,7 +85,7 @@ add("candidate_scores", candidate_scores)
 
 def document_events(spark, d):
     x = T.table(spark, d, "documents")
-    return x.groupBy("source", Z.event_type(F.substring("text", 1, 200)).alias("event")).agg(F.count("*").alias("n"))
+    return x.groupBy("source", Z.event_type(F.col("text")).alias("event")).agg(F.count("*").alias("n"))
 
 
 _CASE = " ".join("WHEN " + " OR ".join(f"contains(lower(substring(text, 1, 200)), '{w}')" for w in words) + f" THEN '{name}'" for name, words in Z.EVENT_WORDS)
