@@ -352,3 +352,15 @@ def test_template_text_goes(spark):
     pages = [(i, f"http://h.org/{i}", f"<html><body><article><p>read our terms</p><p>{'shared passage' if i % 2 else f'own {i}'}</p></article></body></html>") for i in range(12)]
     got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: "shared passage" if i % 2 else f"own {i}" for i in range(12)}
+
+
+def test_compression_judges_the_rest_after_the_last_chunk(spark):
+    from tidewright.llm.compression import compression_bands
+
+    r = random.Random(1)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))[:n]
+    noise = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    texts = [prose(8192) + noise(8000), prose(16384) + noise(8191), prose(8192) + noise(3600), prose(24000), prose(9000), prose(8192), prose(24576) + noise(2000)]
+    got = {x.doc_id: (x.n_chunks, x.n_bad_chunks, x.in_band) for x in compression_bands(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: (2, 1, False), 1: (3, 1, False), 2: (2, 1, False), 3: (3, 0, True), 4: (2, 0, True), 5: (0, 0, True), 6: (4, 1, True)}
