@@ -26,7 +26,12 @@ KINDS = ("assign", "access", "hex", "random")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|0[xX][0-9a-fA-F]+")
 _HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+LEAST_LENGTH = 16
+_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
+#: Parts between joints: the sign of assignment, and those that keys of base64 and base64url may hold themselves.
+_PARTS = tuple(map(re.compile, (r"[^=]+", r"[^=/+]+", r"[^=/+_-]+")))
+#: For letters of one case, of which whole words have longer tokens in lower case.
+LOWER_RATIO, UPPER_RATIO = 1.85, 1.75
 
 _SCHEMA = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
@@ -55,20 +60,74 @@ def is_excluded(s: str) -> bool:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], count: Callable[[str], int], least_ratio: float, letters_ratio: float) -> list[tuple[int, int, int]]:
-    """Strings of 16 characters or more, outside the spans taken, with few characters for each token.
+    """Strings of LEAST_LENGTH characters or more, outside the spans taken, with few characters for each token.
 
     One with letters and digits needs a ratio below least_ratio. One of letters alone may be a long compound, so it
-    must mix cases after its first letter and stay below letters_ratio.
+    must mix cases after its first letter and stay below letters_ratio; one of a single case and without joints has
+    the limits LOWER_RATIO and UPPER_RATIO. A string that passes as a whole is split at its joints, one
+    kind after another, since words beside a random part raise the ratio: first the run of neighbouring parts that
+    costs most is tested, as a key may hold joints of its own, and then each part.
     """
     out = []
-    for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if is_excluded(s) or any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
+
+    def limit_of(s: str) -> float:
+        if len(s) < LEAST_LENGTH or is_excluded(s):
+            return 0
         letters, digits = any(c.isalpha() for c in s), any(c.isdigit() for c in s)
-        limit = least_ratio if letters and digits else letters_ratio if s[1:] != s[1:].lower() and s != s.upper() else 0
-        if limit and len(s) < limit * count(s):
-            out.append((m.start(), 3, m.end()))
+        if letters and digits:
+            return least_ratio
+        if s[1:] != s[1:].lower() and s != s.upper():
+            return letters_ratio
+        return 0 if not s.isalpha() else UPPER_RATIO if s == s.upper() else LOWER_RATIO
+
+    def is_random(s: str) -> bool:
+        limit = limit_of(s)
+        return limit > 0 and len(s) < limit * count(s)
+
+    def costliest(s: str, parts: list[tuple[int, int]]) -> tuple[int, int]:
+        """Of runs of neighbouring parts, the one whose tokens exceed those allowed by most; a joint is a token."""
+        best, sum_, begin, found = 0.0, 0.0, 0, (0, 0)
+        for a, b in parts:
+            if sum_ <= 0:
+                sum_, begin = 0.0, a
+            sum_ += least_ratio * (count(s[a:b]) + 1) - (b - a + 1)
+            if sum_ > best:
+                best, found = sum_, (begin, b)
+        return found
+
+    def test(first: int, last: int) -> None:
+        todo = [(first, last, 0, True)]
+        while todo:
+            start, end, level, whole = todo.pop()
+            s = text[start:end]
+            if len(s) < LEAST_LENGTH or is_excluded(s):
+                continue
+            if whole and is_random(s):
+                out.append((start, 3, end))
+                continue
+            while level < len(_PARTS) and _PARTS[level].fullmatch(s):
+                level += 1
+            if level == len(_PARTS):
+                continue
+            parts = [m.span() for m in _PARTS[level].finditer(s)]
+            a, b = costliest(s, parts) if level else (0, 0)
+            if is_random(s[a:b]):
+                out.append((start + a, 3, start + b))
+                todo += [(start, start + a, level, False), (start + b, end, level, False)]
+            else:
+                todo += [(start + a, start + b, level + 1, True) for a, b in parts]
+
+    k = 0
+    for m in _CANDIDATE.finditer(text):
+        start = m.start()
+        while k < len(taken) and taken[k][2] <= start:
+            k += 1
+        for a, _, b in taken[k:]:
+            if a >= m.end():
+                break
+            test(start, a)
+            start = max(start, b)
+        test(start, m.end())
     return out
 
 
