@@ -381,5 +381,21 @@ def test_secrets_beside_words_and_other_spans(spark):
     for text, (whole, secret) in zip(clean, texts.items(), strict=True):
         assert secret in whole and secret not in text and text.endswith(" end") and "[secret]" in text
         assert not any(secret[i : i + 8] in text for i in range(len(secret) - 7))
-    ordinary = ["production/configuration/database/credentials", "internationalisation", "CUSTOMER_ENVIRONMENT_CONFIGURATION", "id=123e4567-e89b-12d3-a456-426614174000x"[:-1].replace("id=", "identifier/of/request=")]
-    assert [r.text for r in redact_secrets(frame(spark, list(enumerate(ordinary[:3])))).orderBy("doc_id").collect()] == ordinary[:3]
+    ordinary = ["production/configuration/database/credentials", "internationalisation", "CUSTOMER_ENVIRONMENT_CONFIGURATION"]
+    assert [r.text for r in redact_secrets(frame(spark, list(enumerate(ordinary)))).orderBy("doc_id").collect()] == ordinary
+
+
+@pytest.mark.parametrize("case", ["copies", "one other", "same article", "with others"])
+def test_copies_are_no_template(spark, case):
+    from tidewright.llm.page_template import extract_main_text
+
+    page = lambda text, menu="menu": f"<html><body><nav>{menu}</nav><article><h1>Head</h1><p>{text}</p><p>more {text}</p></article></body></html>"
+    texts = ["copy"] * 12
+    if case == "one other":
+        texts[3] = "other"
+    if case == "with others":
+        texts = ["copy"] * 200 + [f"own {i}" for i in range(9)]
+    pages = [(i, f"http://h.org/{i}", page(t, f"menu {i}" if case == "same article" else "menu")) for i, t in enumerate(texts)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    head = "" if case == "with others" else "Head\n\n"
+    assert got == {i: f"{head}{t}\n\nmore {t}" for i, t in enumerate(texts)}

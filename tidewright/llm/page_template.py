@@ -1,7 +1,7 @@
 """HTML extraction by equivalence classes of tokens.
 
-Tokens of a page are its elements, told apart by the path that leads to them, and its blocks of text. Over all pages
-of a host, each token has an occurrence vector: how often it occurs in each page. Tokens with equal vectors form an
+Tokens of a page are its elements, told apart by the path that leads to them, and its blocks of text. Over all
+distinct pages of a host, each token has an occurrence vector: how often it occurs in each page. Tokens with equal vectors form an
 equivalence class. Large classes found in enough pages are valid if they nest: an element belongs to the template if
 the elements around it do. What the template does not cover are its slots, and slots in the article hold main text.
 """
@@ -42,15 +42,17 @@ _ASIDE_NAMES = frozenset(
 
 @dataclass(frozen=True)
 class Deduction:
-    """least_pages: of a host, for a template. structure_share: of the host's pages that hold a token of a class of
-    elements; since a page holds finitely many, these are few. text_share, text_pages: the share and least number of
-    pages for a block of text to count as template, wherever it stands. least_tokens: of a valid class.
+    """least_pages: distinct ones of a host, for a template. structure_share: of the host's distinct pages that hold a
+    token of a class of elements; since a page holds finitely many, these are few. text_share, text_bodies, text_pages:
+    for a block of text to count as template, wherever it stands, the share of distinct pages and the least number of
+    distinct bodies that hold it, and the least number of the host's pages. least_tokens: of a valid class.
     """
 
     least_pages: int = 3
     structure_share: float = 0.5
     text_share: float = 0.9
     text_pages: int = 10
+    text_bodies: int = 5
     least_tokens: int = 3
 
 
@@ -152,35 +154,51 @@ def blocks_of(page: str) -> tuple[list[Block], Counter[tuple[str, ...]]]:
     return out, paths
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, text, up, vector, chars) of each page; `up` is the token of the element around it."""
+def _first_of_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pages of a task with equal host and key, the first."""
+    seen: set[tuple[str, int]] = set()
     for batch in batches:
+        new = []
+        for row in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), strict=True):
+            new.append(row not in seen)
+            seen.add(row)
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, token, text, up, vector, chars, bodies) of each distinct page; `up` is the token of the element around
+    it, `bodies` a bit by the hash of all text that isn't aside."""
+    for batch in _first_of_copies(batches):
         rows = []
         for host, page, key in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("key").to_pylist(), strict=True):
             blocks, paths = blocks_of(page or "")
             slots: Counter[tuple[str, ...]] = Counter()
             for b in blocks:
                 slots[b.path] += 0 if b.aside else len(b.text)
+            body = 1 << number("body", *(b.text for b in blocks if not b.aside)) % 63
             for p, n in paths.items():
-                rows.append((host, number("element", *p), False, number("element", *p[:-1]) if len(p) > 1 else None, number(str(key), str(n)), slots.get(p, 0)))
+                rows.append((host, number("element", *p), False, number("element", *p[:-1]) if len(p) > 1 else None, number(str(key), str(n)), slots.get(p, 0), 0))
             for (p, t), n in Counter((b.path, b.text) for b in blocks).items():
-                rows.append((host, number("text", *p, t), True, number("element", *p), number(str(key), str(n)), 0))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "token", "text", "up", "vector", "chars"])
+                rows.append((host, number("text", *p, t), True, number("element", *p), number(str(key), str(n)), 0, body))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "token", "text", "up", "vector", "chars", "bodies"])
 
 
 def deduce_templates(pages: DataFrame, how: Deduction = Deduction(), url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, tokens, slots): tokens of valid classes, and element tokens whose text lies in slots, with their shares.
 
     Occurrence vectors are summed as hashes of (page, count), so a host with very many pages is one row for each token
-    and task before the shuffle.
+    and task before the shuffle. Exact copies of a page count once: each task drops its own, so that few meet in one
+    task. Distinct bodies are counted as bits that their hashes set, which may be too few and leaves text in place then.
     """
-    page = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), F.xxhash64(url_col, html_col).alias("key"))
-    tokens = page.mapInArrow(_tokens, "host string, token long, text boolean, up long, vector long, chars long")
-    summed = tokens.groupBy("host", "token", "text", "up").agg(F.count("*").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("chars").alias("chars"))
-    sizes = page.groupBy("host").agg(F.count("*").alias("all"))
-    common = summed.join(sizes, "host").where((F.col("all") >= how.least_pages) & (F.col("pages") >= F.when(F.col("text"), F.greatest(F.lit(how.text_pages), F.ceil(F.col("all") * how.text_share))).otherwise(F.ceil(F.col("all") * how.structure_share))))
+    page = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("key"))
+    distinct = page.mapInArrow(_first_of_copies, "host string, html string, key long").repartition("host", "key")
+    tokens = distinct.mapInArrow(_tokens, "host string, token long, text boolean, up long, vector long, chars long, bodies long")
+    summed = tokens.groupBy("host", "token", "text", "up").agg(F.count("*").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("chars").alias("chars"), F.bit_count(F.bit_or("bodies")).alias("bodies"))
+    sizes = page.groupBy("host").agg(F.count("*").alias("rows"), F.count_distinct("key").alias("all"))
+    everywhere = (F.col("rows") >= how.text_pages) & (F.col("bodies") >= how.text_bodies) & (F.col("pages") >= F.ceil(F.col("all") * how.text_share))
+    common = summed.join(sizes, "host").where((F.col("all") >= how.least_pages) & F.when(F.col("text"), everywhere).otherwise(F.col("pages") >= F.ceil(F.col("all") * how.structure_share)))
     classes = common.groupBy("host", "vector", "pages", "all").agg(F.collect_list(F.struct("token", "text", "up", "chars")).alias("members"))
     # A class for each host and vector holds few tokens: those of half the host's pages or more.
     valid = classes.where((F.size("members") >= how.least_tokens) | (F.col("pages") == F.col("all")) | F.exists("members", lambda x: x["text"]))
