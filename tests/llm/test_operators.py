@@ -399,3 +399,19 @@ def test_copies_are_no_template(spark, case):
     got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
     head = "" if case == "with others" else "Head\n\n"
     assert got == {i: f"{head}{t}\n\nmore {t}" for i, t in enumerate(texts)}
+
+
+def test_main_text_without_or_inside_wrappers(spark):
+    from tidewright.llm.page_template import extract_main_text
+
+    long = "paragraph " * 200
+    rich = f"<h1>Head</h1><h2>Part</h2><p>{long}</p><ul><li>item</li></ul><blockquote><p>quote</p></blockquote><table><tr><td>cell</td></tr></table><pre>code</pre>"
+    whole = ["Head", "Part", long.strip(), "item", "quote", "cell", "code"]
+    article = "<article><h1>Head</h1><p>text</p><div class='related'><p>else</p></div></article>"
+    bodies = {f"<div class='content'>{rich if i == 4 else f'<p>{long}{i}</p>'}</div><div class='menu'>m</div>": whole if i == 4 else [f"{long}{i}"] for i in range(10)}
+    bodies |= {f"<div class='{c}'>{article}</div>": ["Head", "text"] for c in ("page has-sidebar", "no-comments", "with-related", "sidebar-layout")}
+    bodies |= {f"<main><div class='sidebar-layout'>{article}</div></main>": ["Head", "text"], f"{article}<div class='comments'><article><p>reader</p></article></div>": ["Head", "text"], f"<nav>{article}</nav>": []}
+    bodies |= {f"<div class='x'><div class='title'><h1>Head</h1></div><div class='text'><p>{long}</p><section><p>more</p></section></div></div>": ["Head", long.strip(), "more"]}
+    pages = [(i, f"http://{'h' if i < 10 else i}.org/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join(t) for i, t in enumerate(bodies.values())}

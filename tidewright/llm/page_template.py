@@ -3,7 +3,8 @@
 Tokens of a page are its elements, told apart by the path that leads to them, and its blocks of text. Over all
 distinct pages of a host, each token has an occurrence vector: how often it occurs in each page. Tokens with equal vectors form an
 equivalence class. Large classes found in enough pages are valid if they nest: an element belongs to the template if
-the elements around it do. What the template does not cover are its slots, and slots in the article hold main text.
+the elements around it do. What the template does not cover are its slots, and slots in the article, or else in the container of most of the
+text, hold main text.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ _ASIDE_NAMES = frozenset(
     "sidebar sidebars side nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments respond reply replies disqus discussion "
     "share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager skip hidden".split()
 )
+#: Classes that tell a state of a wrapper, such as has-sidebar; elements that are content of a container.
+_STATES = ("has-", "no-", "with-", "without-", "has_", "no_", "with_", "without_")
+_CONTENT = frozenset("ul ol dl table blockquote figure pre".split())
 
 
 @dataclass(frozen=True)
@@ -62,26 +66,34 @@ class Block:
     text: str
     aside: bool
     article: bool
+    inner: bool = False
 
 
 def number(*parts: str) -> int:
     return int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _labels(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """A name for the element, whether it is aside from the main text, holds an article, and is a header, which is
-    aside unless it is the article's own."""
+def _labels(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """A name for the element, whether it is aside from the main text, or its class or id says so, whether it holds an
+    article, and is a header, which is aside unless it is the article's own."""
     named = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    words = set(re.split(r"[^a-z]+", named.get("class", "") + " " + named.get("id", ""))) - {""}
-    aside = tag in _ASIDE or named.get("role") in _ASIDE_ROLES or tag not in ("body", "html", "article", "main") and bool(words & _ASIDE_NAMES)
-    aside = aside or tag == "article" and bool(words & {"comment", "comments", "reply", "ad", "advert", "promo", "related", "sponsored"})
+    names = [x for x in f"{named.get('class', '')} {named.get('id', '')}".split() if not x.startswith(_STATES)]
+    words = set(re.split(r"[^a-z]+", " ".join(names))) - {""}
+    by_name = tag not in ("body", "html", "article", "main") and bool(words & _ASIDE_NAMES)
+    by_name = by_name or tag == "article" and bool(words & {"comment", "comments", "reply", "ad", "advert", "promo", "related", "sponsored"})
+    aside = tag in _ASIDE or named.get("role") in _ASIDE_ROLES
     name = tag + "".join(f".{c}" for c in named.get("class", "").split()[:3])
-    return name, aside, (tag in ("article", "main") or named.get("role") in ("main", "article")) and not aside, tag == "header" or bool(words & {"header", "masthead"})
+    return name, aside, by_name, (tag in ("article", "main") or named.get("role") in ("main", "article")) and not aside and not by_name, tag == "header" or bool(words & {"header", "masthead"})
 
 
 def blocks_of(page: str) -> tuple[list[Block], Counter[tuple[str, ...]]]:
-    """Blocks of text in page order, and how often each element path occurs."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name, aside, article; the last two hold for all inside
+    """Blocks of text in page order, and how often each element path occurs.
+
+    An article inside a wrapper that only its class or id marks as aside is main text if the page has no other.
+    """
+    # Tag, name, aside, article, aside by more than names, inner (an article there, and nothing aside since); all but
+    # the first two hold for all inside.
+    stack: list[tuple[str, str, bool, bool, bool, bool]] = []
     paths: Counter[tuple[str, ...]] = Counter()
     out: list[Block] = []
     text: list[str] = []
@@ -91,7 +103,7 @@ def blocks_of(page: str) -> tuple[list[Block], Counter[tuple[str, ...]]]:
         text.clear()
         if words:
             block = [s for s in stack if s[0] not in _INLINE]
-            out.append(Block(tuple(s[1] for s in block), " ".join(words), bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
+            out.append(Block(tuple(s[1] for s in block), " ".join(words), *(stack[-1][2:4] if stack else (False, False)), bool(stack) and stack[-1][5] and not stack[-1][4]))
 
     def close(at: int) -> None:
         flush()
@@ -144,13 +156,18 @@ def blocks_of(page: str) -> tuple[list[Block], Counter[tuple[str, ...]]]:
                     break
                 if stack[k][0] in _HOLDS_LISTS:
                     break
-        name, aside, article, header = _labels(tag, m[3] or m[6] or "")
-        above = stack[-1] if stack else ("", "", False, False)
-        aside = aside or header and not above[3] and tag not in ("body", "html", "article", "main")
+        name, aside, by_name, article, header = _labels(tag, m[3] or m[6] or "")
+        above = stack[-1] if stack else ("", "", False, False, False, False)
+        header = header and not above[3] and tag not in ("body", "html", "article", "main")
+        aside, by_name = aside or header and tag == "header", by_name or header
         paths[(*(s[1] for s in stack if s[0] not in _INLINE), name)] += 1
         if tag not in _VOID and not (m[3] or m[6] or "").endswith("/"):
-            stack.append((tag, name, above[2] or aside, above[3] or article))
+            stack.append((tag, name, above[2] or aside or by_name, above[3] or article, above[4] or aside, article or above[5] and not by_name))
     flush()
+    if not any(b.article and not b.aside for b in out):
+        for b in out:
+            if b.inner:
+                b.aside, b.article = False, True
     return out, paths
 
 
@@ -166,27 +183,24 @@ def _first_of_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, text, up, vector, chars, bodies) of each distinct page; `up` is the token of the element around
+    """(host, token, text, up, vector, bodies) of each distinct page; `up` is the token of the element around
     it, `bodies` a bit by the hash of all text that isn't aside."""
     for batch in _first_of_copies(batches):
         rows = []
         for host, page, key in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("key").to_pylist(), strict=True):
             blocks, paths = blocks_of(page or "")
-            slots: Counter[tuple[str, ...]] = Counter()
-            for b in blocks:
-                slots[b.path] += 0 if b.aside else len(b.text)
             body = 1 << number("body", *(b.text for b in blocks if not b.aside)) % 63
             for p, n in paths.items():
-                rows.append((host, number("element", *p), False, number("element", *p[:-1]) if len(p) > 1 else None, number(str(key), str(n)), slots.get(p, 0), 0))
+                rows.append((host, number("element", *p), False, number("element", *p[:-1]) if len(p) > 1 else None, number(str(key), str(n)), 0))
             for (p, t), n in Counter((b.path, b.text) for b in blocks).items():
-                rows.append((host, number("text", *p, t), True, number("element", *p), number(str(key), str(n)), 0, body))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "token", "text", "up", "vector", "chars", "bodies"])
+                rows.append((host, number("text", *p, t), True, number("element", *p), number(str(key), str(n)), body))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "token", "text", "up", "vector", "bodies"])
 
 
 def deduce_templates(pages: DataFrame, how: Deduction = Deduction(), url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, tokens, slots): tokens of valid classes, and element tokens whose text lies in slots, with their shares.
+    """(host, members): tokens of valid classes.
 
     Occurrence vectors are summed as hashes of (page, count), so a host with very many pages is one row for each token
     and task before the shuffle. Exact copies of a page count once: each task drops its own, so that few meet in one
@@ -194,19 +208,36 @@ def deduce_templates(pages: DataFrame, how: Deduction = Deduction(), url_col: st
     """
     page = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("key"))
     distinct = page.mapInArrow(_first_of_copies, "host string, html string, key long").repartition("host", "key")
-    tokens = distinct.mapInArrow(_tokens, "host string, token long, text boolean, up long, vector long, chars long, bodies long")
-    summed = tokens.groupBy("host", "token", "text", "up").agg(F.count("*").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("chars").alias("chars"), F.bit_count(F.bit_or("bodies")).alias("bodies"))
+    tokens = distinct.mapInArrow(_tokens, "host string, token long, text boolean, up long, vector long, bodies long")
+    summed = tokens.groupBy("host", "token", "text", "up").agg(F.count("*").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.bit_count(F.bit_or("bodies")).alias("bodies"))
     sizes = page.groupBy("host").agg(F.count("*").alias("rows"), F.count_distinct("key").alias("all"))
     everywhere = (F.col("rows") >= how.text_pages) & (F.col("bodies") >= how.text_bodies) & (F.col("pages") >= F.ceil(F.col("all") * how.text_share))
     common = summed.join(sizes, "host").where((F.col("all") >= how.least_pages) & F.when(F.col("text"), everywhere).otherwise(F.col("pages") >= F.ceil(F.col("all") * how.structure_share)))
-    classes = common.groupBy("host", "vector", "pages", "all").agg(F.collect_list(F.struct("token", "text", "up", "chars")).alias("members"))
+    classes = common.groupBy("host", "vector", "pages", "all").agg(F.collect_list(F.struct("token", "text", "up")).alias("members"))
     # A class for each host and vector holds few tokens: those of half the host's pages or more.
     valid = classes.where((F.size("members") >= how.least_tokens) | (F.col("pages") == F.col("all")) | F.exists("members", lambda x: x["text"]))
     return valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("members"))
 
 
+def _container(slots: list[Block]) -> tuple[str, ...]:
+    """The path of the element that holds most of the text: of elements without text of their own, or in blocks
+    directly inside, the child with the most goes on."""
+    at: tuple[str, ...] = ()
+    while slots and all(len(b.path) > len(at) + 1 for b in slots):
+        weight: Counter[str] = Counter()
+        for b in slots:
+            weight[b.path[len(at)]] += len(b.text)
+        child = max(weight, key=weight.__getitem__)
+        if child.split(".")[0] in _CONTENT:
+            break
+        at = (*at, child)
+        slots = [b for b in slots if b.path[: len(at)] == at]
+    return at
+
+
 def main_text(blocks: list[Block], members: list[dict] | None) -> list[str]:
-    """Main text: of the blocks outside the template, those in an article, or else in the host's largest slots."""
+    """Main text: of the blocks outside the template, those in an article, or else in the container of most of their
+    text, with top headings outside it."""
     known = {m["token"]: m for m in members or ()}
 
     def nested(token: int | None) -> bool:
@@ -223,14 +254,8 @@ def main_text(blocks: list[Block], members: list[dict] | None) -> list[str]:
     slots = [b for b in blocks if not b.aside and not fixed(b)]
     if any(b.article for b in slots):
         return [b.text for b in slots if b.article]
-    weight = {m["token"]: m["chars"] for m in members or () if not m["text"] and m["chars"]}
-    if not weight:
-        own: Counter[int] = Counter()
-        for b in slots:
-            own[number("element", *b.path)] += len(b.text)
-        weight = dict(own)
-    most = max(weight.values(), default=0)
-    return [b.text for b in slots if weight.get(number("element", *b.path), 0) * 20 >= most]
+    inside = _container(slots)
+    return [b.text for b in slots if b.path[: len(inside)] == inside or b.path[-1].split(".")[0] == "h1"]
 
 
 def extract_main_text(pages: DataFrame, how: Deduction = Deduction(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
