@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,24 @@ def test_document_events_read_whole_texts(spark, tmp_path):
 
     expected = [next((name for name, words in EVENT_WORDS if any(w in t.lower() for w in words)), "none") for t in texts]
     assert expected[0] != "none" and got == {e: expected.count(e) for e in expected}
+
+
+def test_fill_curve_takes_all_ticks_as_orders(spark):
+    from tidewright.plans.q_decisions import limit_fill_curve
+    from tidewright.sources import tables as T
+
+    d = "/root/testdata/sf0.001"
+    ticks = T.ticks(spark, d).select("k", "t", "px").toPandas()
+    expected = {}
+    for k, x in ticks.groupby("k"):
+        for distance in (0.0, 2.0, 5.0, 10.0):
+            waits = []
+            for t, px in zip(x.t, x.px, strict=True):
+                hit = x.t[(x.t > t) & (x.t <= t + pd.Timedelta("2h")) & (x.px <= px - distance)]
+                waits += [hit.min().floor("s") - t.floor("s")] if len(hit) else []
+            expected[k, distance] = (len(x), round(len(waits) / len(x), 6), round(sum(w.total_seconds() for w in waits) / len(waits), 6) if waits else None)
+    got = {(r.k, r.distance): (r.n, r.filled, r.wait_s) for r in limit_fill_curve(spark, d).collect()}
+    assert sum(n for n, _, _ in got.values()) == 4 * len(ticks)
+    assert got.keys() == expected.keys()
+    for key, (n, filled, wait) in expected.items():
+        assert got[key][0] == n and abs(got[key][1] - filled) < 1e-6 and (got[key][2] is None) == (wait is None) and (wait is None or abs(got[key][2] - wait) < 1e-5)

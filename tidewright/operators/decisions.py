@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,14 +64,48 @@ def direction_pnl(bars: DataFrame) -> DataFrame:
 
 
 def fill_curve(orders: DataFrame, quotes: DataFrame, distances: list[float], within: str) -> DataFrame:
-    """For limits so far below each order's price: the share that a later quote of the key reaches, and the mean wait."""
-    o = orders.select("k", F.col("t").alias("t0"), F.col("id").alias("order_id"), "px").withColumn("distance", F.explode(F.array(*map(F.lit, distances))))
-    q = quotes.select("k", "t", F.col("px").alias("quote"))
-    hit = o.join(q, "k").where((F.col("t") > F.col("t0")) & (F.col("t") <= F.col("t0") + F.expr(f"interval {within}")) & (F.col("quote") <= F.col("px") - F.col("distance")))
-    first = hit.groupBy("order_id", "distance").agg(F.min("t").alias("filled"))
-    out = o.join(first, ["order_id", "distance"], "left")
-    wait = F.unix_timestamp(F.col("filled").cast("timestamp")) - F.unix_timestamp(F.col("t0").cast("timestamp"))
-    return out.groupBy("k", "distance").agg(F.count("*").alias("n"), F.avg(F.col("filled").isNotNull().cast("double")).alias("filled"), F.avg(wait).alias("wait_s"))
+    """For limits so far below each order's price: the share that a later quote of the key reaches, and the mean wait.
+
+    Orders meet the quotes of their own and the next stretch of time, each as long as `within`, an interval of fixed
+    length. The first quote that reaches a limit is found by steps over minima of 1, 2, 4... quotes, so that no pairs
+    of orders and quotes arise and a task holds the rows of two stretches of a key.
+    """
+
+    def rows(x: DataFrame, is_order: bool) -> DataFrame:
+        micros = lambda t: F.unix_micros(t.cast("timestamp"))
+        until = micros(F.col("t") + F.expr(f"interval {within}"))
+        return x.select("k", micros(F.col("t")).alias("at"), until.alias("until"), F.col("px").cast("double").alias("px"), F.lit(is_order).alias("is_order")).withColumn("stretch", F.expr("at div (until - at)"))
+
+    q = rows(quotes.dropna(subset=["k", "t", "px"]), False)
+    both = rows(orders, True).unionByName(q.withColumn("stretch", F.explode(F.array("stretch", F.col("stretch") - 1))))
+    kind = orders.schema["k"].dataType.simpleString()
+
+    def first_hits(group: pa.Table) -> pa.Table:
+        is_order = group["is_order"].to_numpy()
+        mine, theirs = group.filter(pa.array(is_order)), group.filter(pa.array(~is_order)).sort_by("at")
+        at, px = theirs["at"].to_numpy(), theirs["px"].to_numpy()
+        least = [px]  # of 2 ** level quotes from each on
+        while 2 ** len(least) <= len(px):
+            half = 2 ** (len(least) - 1)
+            least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+        known = mine.filter(pc.and_(pc.is_valid(mine["at"]), pc.is_valid(mine["px"])))
+        t0, until, price = (known[c].to_numpy() for c in ("at", "until", "px"))
+        out = []
+        for d in distances:
+            k = np.searchsorted(at, t0, "right")
+            for level in range(len(least) - 1, -1, -1):
+                can = np.flatnonzero(k + 2**level <= len(at))
+                can = can[least[level][k[can]] > price[can] - d]
+                k[can] += 2**level
+            hit = np.flatnonzero(k < len(at))
+            hit = hit[at[k[hit]] <= until[hit]]
+            out.append((float(d), len(mine), len(hit), int((at[k[hit]] // 1_000_000 - t0[hit] // 1_000_000).sum())))
+        columns = list(zip(*out, strict=True))
+        return pa.table({"k": pa.array([group["k"][0].as_py()] * len(out), group.schema.field("k").type), "distance": pa.array(columns[0], pa.float64()), "n": pa.array(columns[1], pa.int64()), "hits": pa.array(columns[2], pa.int64()), "waited": pa.array(columns[3], pa.int64())})
+
+    found = both.groupBy("k", "stretch").applyInArrow(first_hits, f"k {kind}, distance double, n long, hits long, waited long")
+    summed = found.groupBy("k", "distance").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("waited").alias("waited")).where("n > 0")
+    return summed.select("k", "distance", "n", (F.col("hits") / F.col("n")).alias("filled"), F.when(F.col("hits") > 0, F.col("waited") / F.col("hits")).alias("wait_s"))
 
 
 def upper_median(value: str) -> Column:

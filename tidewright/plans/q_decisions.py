@@ -90,7 +90,7 @@ _WAIT = "avg(epoch(date_trunc('second', filled)) - epoch(date_trunc('second', t0
 
 def limit_fill_curve(spark, d):
     x = T.ticks(spark, d)
-    return rounded(D.fill_curve(x.where("size >= 90"), x, [0.0, 2.0, 5.0, 10.0], "2 hours"))
+    return rounded(D.fill_curve(x, x, [0.0, 2.0, 5.0, 10.0], "2 hours"))
 
 
 add(
