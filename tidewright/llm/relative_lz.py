@@ -1,10 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing over a distributed index of reference blocks.
+"""Substring dedup in the manner of relative Lempel-Ziv, by look-ups of blocks and windows rather than greedy parsing.
 
 Every document is cut into blocks at content-defined anchors, so that equal stretches are cut alike wherever they
-stand. The index keeps, for each block met in several documents, the earliest document with it. A document is
-factored against that index from left to right: each block found in an earlier document is a factor, and neighbouring
-factors make long ones. Where a block is not found whole, at the boundaries of factors, its windows are looked up
-singly in the blocks that share its anchor. Factors of `width` words or more become duplicate spans.
+stand. The index keeps, for each block met in several documents, the earliest document with it. One join of hashes
+finds the blocks that an earlier document holds. Where a block is not found whole, another join looks up its windows
+of `width` words singly in the blocks that share its anchor. The windows found become duplicate spans. No document is
+parsed from left to right, and no longest factor is sought: a word goes if a window of `width` words with it occurs in
+an earlier document, which is decided without the length of the factor around it.
 
 The result is exact. Let a window of `width` words occur in an earlier document. Its anchor (the word 5-gram with the
 least hash in it) hangs on the window alone, so both documents hold that anchor, in blocks that contain the window. If
