@@ -1,7 +1,8 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed word n-grams, one of labelled target documents and one of all documents, give each
-document a log importance weight. Documents are drawn without replacement, by the Gumbel top-k trick.
+document a log importance weight. Documents are drawn without replacement, in proportion to their weights, by the
+Gumbel top-k trick.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .store import dropped, in_order, written
+from .store import bundled, dropped, in_order, schema_with, written
 
 #: Classes of bytes: 0 white space, 1 words, 2 punctuation. A token is a run of one class.
 _CLASS = np.full(256, 2, np.uint8)
@@ -27,18 +28,17 @@ _CLASS[0x30:0x3A] = _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _CLASS[0x80:] = 1
 class Resampling:
     """buckets: of hashed unigrams and bigrams. smoothing: added to each bucket's count.
 
-    temperature: the log weight is this times the mean log ratio of a document's n-grams, so that length alone
-    neither helps nor harms. target_labels: the most labelled documents the target model is fitted on, taken in
-    order of a hash of their ids. seed: of the Gumbel noise. missed: the share of target documents that may weigh too
-    little. prior_grams: so many n-grams of ratio 0 are added to each document, so that a few rare words decide little.
+    temperature: a document weighs as this many independent n-grams of its mean log ratio, so that length alone neither
+    helps nor harms; Gumbel noise then moves a mean by about 1.3 / temperature. target_labels: the most labelled
+    documents the target model is fitted on, taken in order of a hash of their ids. seed: of the noise. prior_grams: so
+    many n-grams of ratio 0 are added to each document, so that a few rare words decide little.
     """
 
     buckets: int = 1 << 16
     smoothing: float = 1.0
-    temperature: float = 400.0
+    temperature: float = 30.0
     target_labels: int = 20_000
     seed: int = 11
-    missed: float = 0.002
     prior_grams: float = 30.0
 
 
@@ -80,11 +80,13 @@ def count_grams(docs: DataFrame, text_col: str, buckets: int) -> np.ndarray:
 
 
 def log_ratios(docs: DataFrame, target_ids: DataFrame, how: Resampling, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """log p(target) - log p(all) for each bucket; target_ids has one column, id_col."""
+    """log p(target) - log p(all) for each bucket, 0 without target documents; target_ids has one column, id_col."""
     chosen = target_ids.where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(how.target_labels)
     # Bounded by target_labels.
-    target = count_grams(docs.join(F.broadcast(chosen), id_col, "left_semi"), text_col, how.buckets) + how.smoothing
-    every = count_grams(docs, text_col, how.buckets) + how.smoothing
+    target = count_grams(docs.join(F.broadcast(chosen), id_col, "left_semi"), text_col, how.buckets)
+    if not target.any():
+        return np.zeros(how.buckets)
+    target, every = target + how.smoothing, count_grams(docs, text_col, how.buckets) + how.smoothing
     return np.log(target / target.sum()) - np.log(every / every.sum())
 
 
@@ -103,41 +105,45 @@ def weigh(docs: DataFrame, ratios: np.ndarray, how: Resampling, id_col: str = "d
             uniform = ((ids >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carried), pa.array(n), pa.array(weight), pa.array(weight - np.log(-np.log(uniform)))], [*carried, "n_grams", "log_weight", "gumbel_key"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     noisy = docs.select(*dict.fromkeys([*carried, text_col])).withColumn("_noise", F.xxhash64(F.lit(how.seed), F.col(id_col)))
-    return noisy.mapInArrow(work, f"{fields}, n_grams long, log_weight double, gumbel_key double")
+    return noisy.mapInArrow(work, schema_with(docs, carried, "n_grams long, log_weight double, gumbel_key double"))
+
+
+TARGET, ACCEPTED = "quality = 1 and coalesce(toxic, 0) = 0", "quality = 1"
+
+
+def accepted_share(labels: DataFrame, accepted: str = ACCEPTED) -> float:
+    """The share of labelled rows that are good enough; 1 where nothing is labelled."""
+    good = F.avg(F.when(F.expr(accepted), 1.0).otherwise(0.0))
+    return labels.agg(good).first()[0] if labels.take(1) else 1.0
 
 
 def _scored(docs: DataFrame, labels: DataFrame, share: float | None, how: Resampling, id_col: str, text_col: str, target: str) -> tuple[DataFrame, np.ndarray, int]:
     """Documents with weights and keys, the ratios, and how many documents to draw."""
-    good = labels.where(target).select(id_col).distinct()
-    # The model is fitted on one half of the target documents and the cut on the other, which the model doesn't know.
-    half = F.pmod(F.xxhash64(F.lit("half"), F.col(id_col)), F.lit(2)) == 0
-    ratios = log_ratios(docs, good.where(half), how, id_col, text_col)
+    ratios = log_ratios(docs, labels.where(target).select(id_col), how, id_col, text_col)
     scored = written(weigh(docs, ratios, how, id_col, text_col).withColumn("_down", -F.col("gumbel_key")).withColumn("_one", F.lit(1).cast("long")))
-    if share is not None:
-        return scored, ratios, round(share * scored.count())
-    cut = scored.join(good.where(~half), id_col, "left_semi").agg(F.percentile_approx("log_weight", how.missed, 100_000)).first()[0]
-    return scored, ratios, scored.count() if cut is None else scored.where(F.col("log_weight") >= cut).count()
+    return scored, ratios, round((accepted_share(labels) if share is None else share) * scored.count())
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, how: Resampling = Resampling(), id_col: str = "doc_id", text_col: str = "text", target: str = "quality = 1 and coalesce(toxic, 0) = 0") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, how: Resampling = Resampling(), id_col: str = "doc_id", text_col: str = "text", target: str = TARGET) -> DataFrame:
     """One row per document: n_grams, log_weight, gumbel_key and selected.
 
-    The documents with the k largest keys are selected, ties by id; that is an exact top k over the whole table, found
-    from prefix counts of range partitions. k is the share `share` of all documents or, by default, the number of
-    documents that weigh no less than all but the share how.missed of the target documents.
+    A document's key is its log importance weight plus Gumbel noise, so the documents with the k largest keys are a
+    sample without replacement in proportion to weights. That is an exact top k over the whole table, ties by id,
+    found from prefix counts of range partitions. k hangs on no weight: it is the share `share` of all documents, by
+    default the share of labelled documents that are good enough.
 
     Null or empty text has no n-grams and weight 0. Null ids share one noise value. Repeated rows are weighed one by
-    one. Without target documents nothing is known against any, and all are selected; an empty table gives no rows.
-    Other columns are not read. Texts are weighed whole.
+    one. Without labels nothing is known against any, and all are selected; an empty table gives no rows. Other columns
+    are not read. Texts are weighed whole.
     """
     scored, _, k = _scored(docs, labels, share, how, id_col, text_col, target)
     ranked = in_order(scored, ["_down", id_col], {"_rank": "_one"})
+    dropped(scored)
     return ranked.select(id_col, "n_grams", "log_weight", "gumbel_key", (F.col("_rank") < k).alias("selected"))
 
 
-def select_documents(docs: DataFrame, labels: DataFrame, share: float | None = None, how: Resampling = Resampling(), id_col: str = "doc_id", text_col: str = "text", target: str = "quality = 1 and coalesce(toxic, 0) = 0") -> DataFrame:
+def select_documents(docs: DataFrame, labels: DataFrame, share: float | None = None, how: Resampling = Resampling(), id_col: str = "doc_id", text_col: str = "text", target: str = TARGET) -> DataFrame:
     """The selected documents themselves, with all their columns.
 
     Only the last selected row (its key and id) comes to the driver; documents are then weighed again and compared
@@ -145,9 +151,10 @@ def select_documents(docs: DataFrame, labels: DataFrame, share: float | None = N
     """
     scored, ratios, k = _scored(docs, labels, share, how, id_col, text_col, target)
     last = in_order(scored, ["_down", id_col], {"_rank": "_one"}).where(F.col("_rank") == k - 1).first() if k else None
+    dropped(scored)
     if last is None:
         return docs.limit(0)
-    dropped(scored)
-    again = weigh(docs, ratios, how, id_col, text_col, keep=docs.columns)
+    whole, back = bundled(docs, [id_col, text_col])
+    again = weigh(whole, ratios, how, id_col, text_col, keep=[text_col, "_rest"])
     down, same_or_before = -F.col("gumbel_key"), F.col(id_col).isNull() if last[id_col] is None else F.col(id_col).isNull() | (F.col(id_col) <= F.lit(last[id_col]))
-    return again.where((down < last["_down"]) | ((down == last["_down"]) & same_or_before)).select(*docs.columns)
+    return again.where((down < last["_down"]) | ((down == last["_down"]) & same_or_before)).select(*back)

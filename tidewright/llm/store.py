@@ -1,16 +1,20 @@
 """Reading tables and cutting lineage.
 
 Intermediate results go to the folder in spark.checkpoint.dir, which all executors share, so they survive the
-loss of any executor. Only where that is unset, as in tests, a temporary folder is used.
+loss of any executor. Only where that is unset and the master is local, as in tests, a temporary folder is used.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -21,48 +25,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
-#: Folders of tables that written() made and that are not dropped yet.
-_WRITTEN: set[str] = set()
+_OWNER: ContextVar[list[DataFrame] | None] = ContextVar("owner", default=None)
 
 
-def written(df: DataFrame, scratch: bool = True) -> DataFrame:
+@contextmanager
+def owned() -> Iterator[list[DataFrame]]:
+    """Collects the tables that written() makes inside. They belong to the caller, who passes them to dropped() once
+    the results that read them are written; nobody else's tables are among them."""
+    made: list[DataFrame] = []
+    token = _OWNER.set(made)
+    try:
+        yield made
+    finally:
+        _OWNER.reset(token)
+
+
+def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: later reads take only the columns that they need.
 
-    Spark drops the shuffle files of a finished job once the driver's garbage is collected, so that is asked for.
-    A scratch table lasts until it is dropped, or until release().
+    Spark drops the shuffle files of a finished job once the driver's garbage is collected, so that is asked for. The
+    table lasts until it is passed to dropped(), by its maker or by the caller's owned().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
-    if scratch:
-        _WRITTEN.add(path)
-        out._scratch = path
+    out._scratch = path
+    if (made := _OWNER.get()) is not None:
+        made.append(out)
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _WRITTEN.discard(path)
-
-
 def dropped(*tables: DataFrame) -> None:
-    """Deletes scratch tables that nothing reads any more."""
+    """Deletes tables of written() that nothing reads any more; those deleted before are ignored."""
     for t in tables:
-        if path := getattr(t, "_scratch", None):
-            _delete(t.sparkSession, path)
+        spark = t.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bundled(df: DataFrame, plain: list[str]) -> tuple[DataFrame, list[Column]]:
+    """df with all columns but `plain` in one struct, `_rest`, so that their names can't clash with those of results;
+    and the columns that give df back."""
+    rest = [c for c in df.columns if c not in plain]
+    one = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None).cast("int")
+    back = [F.col(f"`{c}`") if c in plain else F.col(f"_rest.`{c}`").alias(c) for c in df.columns]
+    return df.select(*(F.col(f"`{c}`") for c in plain), one.alias("_rest")), back
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all scratch tables; results that still read them must have been written elsewhere."""
-    for path in list(_WRITTEN):
-        _delete(spark, path)
+def schema_with(df: DataFrame, columns: list[str], more: str) -> T.StructType:
+    """Some columns of df, then those of a DDL string."""
+    return T.StructType([df.schema[c] for c in columns] + T.StructType.fromDDL(more).fields)
 
 
 def in_order(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
