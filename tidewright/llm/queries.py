@@ -10,9 +10,10 @@ from .store import table
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .compression import compression_bands
+    from .compression import compression_bands, fit_bands
 
-    return compression_bands(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return compression_bands(docs, fit_bands(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
