@@ -42,3 +42,19 @@ def test_url_oracle(spark):
 
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     check(filter_urls(pages).drop("component"), oracles.url_filter(), pages=pd.DataFrame(PAGES, columns=["page_id", "url", "html"]))
+
+
+def test_url_oracle_with_odd_links(spark):
+    from tidewright.llm import oracles
+    from tidewright.llm.url_filter import filter_urls
+
+    blocked = "http://b.net/es/1"
+    html = [
+        f"<meta http-equiv=refresh content=\"0;url='{blocked}'\">", f"<link rel='alternate canonical' href='{blocked}?x=1&amp;y=2'>", f"<!-- <link rel=canonical href={blocked}> -->",
+        f"<meta http-equiv='refresh' content='30; url={blocked}'>", "<LINK HREF=es/7 REL=canonical>", "<link rel=canonical href='mailto:x'>", f"<link rel=stylesheet href='{blocked}'>",
+    ]
+    rows = [(i, f"http://h{i}.org/a/b" if i != 4 else "http://t.net/es?", h) for i, h in enumerate(html)] + [(20, blocked, ""), (21, f"{blocked}?x=1&y=2", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = filter_urls(pages)
+    check(got.drop("component"), oracles.url_filter(), pages=pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    assert [r.page_id for r in got.where("verdict = 'block'").orderBy("page_id").collect()] == [0, 1, 4, 20, 21]

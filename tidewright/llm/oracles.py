@@ -54,9 +54,15 @@ def _rule(host: str, path: str) -> tuple[str, str]:
     return "CASE " + " ".join(f"WHEN {c} THEN '{x.host}{x.path}'" for c, x in fits) + " END", "CASE " + " ".join(f"WHEN {c} THEN '{x.verdict}'" for c, x in fits) + " END"
 
 
-_CANONICAL = r"""'(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)'"""
-_CANONICAL_BEFORE = r"""'(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b'"""
-_REFRESH = r"""'(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*([^"''\s>;]+)'"""
+#: The SQL cuts a page at each < instead of searching for tags, and knows no base element, no references beyond &amp;
+#: and no dots in paths.
+_PIECES = "list_transform(string_split(regexp_replace(html, '<!--.*?(-->|$)', '', 'gs'), '<'), lambda x: string_split(x, '>')[1])"
+_QUOTES = "chr(34) || chr(39)"
+_VALUE = r"(\x22[^\x22]*\x22|\x27[^\x27]*\x27|\S+)"
+_REL = rf"regexp_matches(x, '^link\s', 'i') AND list_contains(string_split(lower(trim(regexp_extract(x, '\brel\s*=\s*{_VALUE}', 1, 'i'), {_QUOTES})), ' '), 'canonical')"
+_HREF = rf"trim(regexp_extract(x, '\bhref\s*=\s*{_VALUE}', 1, 'i'), {_QUOTES})"
+_AT_ONCE = r"regexp_matches(x, '^meta\s.*http-equiv\s*=\s*[\x22\x27]?refresh', 'is') AND regexp_matches(x, 'content\s*=\s*[\x22\x27]?\s*0+\s*[;,]', 'i')"
+_TO = rf"trim(regexp_extract(x, 'url\s*=\s*(.*)$', 1, 'is'), {_QUOTES} || ' /')"
 
 
 def _node(url: str) -> str:
@@ -69,8 +75,12 @@ def url_filter() -> str:
     _, aliased = _rule("regexp_extract(node, '^[^/?]*')", "(regexp_extract(node, '^[^/?]*([^?]*)', 1) || '/')")
     return f"""
 WITH RECURSIVE pages_ AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-targets AS (SELECT url, unnest([coalesce(nullif(regexp_extract(html, {_CANONICAL}, 1), ''), regexp_extract(html, {_CANONICAL_BEFORE}, 1)), regexp_extract(html, {_REFRESH}, 1)]) AS t FROM pages_),
-full_ AS (SELECT url, CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || lower(regexp_extract(url, '(?s)://([^/?#]*)', 1)) || t ELSE t END AS t FROM targets WHERE t <> ''),
+pieces AS (SELECT url, {_PIECES} AS p FROM pages_),
+targets AS (SELECT url, replace(unnest([list_transform(list_filter(p, lambda x: {_REL}), lambda x: {_HREF})[1], list_transform(list_filter(p, lambda x: {_AT_ONCE}), lambda x: {_TO})[1]]), '&amp;', '&') AS t FROM pieces),
+full_ AS (SELECT url, CASE WHEN regexp_matches(t, '^https?://', 'i') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+          WHEN starts_with(t, '/') THEN 'http://' || lower(regexp_extract(url, '(?s)://([^/?#]*)', 1)) || t
+          ELSE 'http://' || lower(regexp_extract(url, '(?s)://([^/?#]*)', 1)) || coalesce(nullif(regexp_extract(url, '(?s)://[^/?#]*([^?#]*/)', 1), ''), '/') || t END AS t
+          FROM targets WHERE t <> '' AND (NOT regexp_matches(t, '^[a-z][a-z0-9+.-]*:', 'i') OR regexp_matches(t, '^https?://', 'i'))),
 edges AS (SELECT DISTINCT a, b FROM (SELECT {_node('url')} AS a, {_node('t')} AS b FROM full_) WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT a AS node, b AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
