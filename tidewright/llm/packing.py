@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -19,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .store import written
+from .store import dropped, schema_with, written
 
 DIMENSIONS, BITS = 3, 10
+#: Documents are cut at multiples of so many ids. Sequences that a partition has on average at least.
+GRID, SEQUENCES_EACH = 16, 256
 #: Words that a task remembers the ids of; on reaching it, it forgets them all.
 REMEMBERED_WORDS = 1_000_000
 #: Lone signs, of which one with a single id can stand between words that are encoded together.
@@ -122,46 +123,71 @@ def curve_keys(ids: list[np.ndarray], vocabulary: int) -> np.ndarray:
     return hilbert_keys(np.clip((points + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64))
 
 
-def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bin and offset of each size, the largest first, each into the fullest bin that still has room."""
-    bins, offsets, room = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), []
-    used = 0
-    for k in np.argsort(-sizes, kind="stable"):
-        size = int(sizes[k])
-        at = bisect_left(room, (size, -1))
-        left, b = room.pop(at) if at < len(room) else (capacity, used)
-        used += b == used
-        bins[k], offsets[k] = b, capacity - left
-        if left > size:
-            insort(room, (left - size, b))
-    return bins, offsets, used
+def _shifted(crc: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """What checksums of some bytes contribute to the checksum once so many ids (of 4 bytes) follow: products of
+    polynomials over two elements, with the bits of CRC-32 reflected."""
+    a, b = _powers(int(ids.max(initial=0)))[ids], crc.astype(np.uint32)
+    out = np.zeros(len(b), np.uint32)
+    for bit in range(31, -1, -1):
+        out ^= np.where((a >> np.uint32(bit)) & np.uint32(1), b, np.uint32(0))
+        b = np.where(b & np.uint32(1), (b >> np.uint32(1)) ^ _POLYNOMIAL, b >> np.uint32(1))
+    return out
 
 
-def pack_along_curve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, window: int = 2048, tokenizer: str | None = None, keep: list[str] = ()) -> DataFrame:
+#: Fixed value: the polynomial of CRC-32, reflected.
+_POLYNOMIAL = np.uint32(0xEDB88320)
+
+
+@lru_cache(maxsize=4)
+def _powers(most: int) -> np.ndarray:
+    """x ** (32 * n) modulo the polynomial, for n up to `most`."""
+    out, now = np.zeros(most + 1, np.uint32), 0x80000000
+    for n in range(most + 1):
+        out[n] = now
+        for _ in range(32):
+            now = (now >> 1) ^ (int(_POLYNOMIAL) if now & 1 else 0)
+    return out
+
+
+def prefix_checksums(ids: bytes) -> bytes:
+    """CRC-32 of the first GRID, 2 * GRID, ... ids, and of all."""
+    out, now, step = [], 0, 4 * GRID
+    for k in range(0, len(ids), step):
+        now = zlib.crc32(ids[k : k + step], now)
+        out.append(now)
+    return np.array(out, "<u4").tobytes()
+
+
+def pack_along_curve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
     """One row per piece of a document: where its ids start and how many they are, their checksum, and its place.
 
-    Texts are tokenised once. A document longer than a sequence is cut into full sequences and a rest, so checksums
-    are known at once and only pieces (a few numbers each) are shuffled: range-partitioned by Hilbert key and id, then
-    packed by best fit in runs of `window` neighbours on the curve. Only the last sequences of a run are not full.
+    Documents lie one after the other along the curve, and that row is cut into sequences; a document that stands
+    across a border is cut there, at a multiple of GRID ids of its own, so a sequence has less than GRID ids of
+    padding, or is the last of its partition. Texts are tokenised once and never shuffled: each gives one row with
+    its key and the checksums of its prefixes (4 bytes for GRID ids), from which that of any piece follows.
+
+    Partitions are ranges of (key, id). The result is written, so a lost executor changes no sequence.
 
     Null text counts as empty, and so as `end_id` alone. Null ids sort first; repeated rows are packed one by one;
-    texts of one content lie together but are told apart by id; an empty table gives no rows. Other columns are not
-    read, except those in `keep`, which are carried along.
+    texts of one content lie together but are told apart by id; a text of any length is cut into as many pieces as it
+    needs; an empty table gives no rows. Other columns are not read.
     """
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in [id_col, *keep]}
-    fields = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
-    pieces = docs.select(*dict.fromkeys([id_col, text_col, *keep])).mapInArrow(_cut(tokenizer, list(kinds), text_col, capacity, end_id), f"{fields}, start long, length long, ids_crc32 long, doc_tokens long, curve_key long")
-    pieces = written(pieces)
-    partitions = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces.count() // window))
-    ranged = pieces.repartitionByRange(partitions, "curve_key", id_col, "start").sortWithinPartitions("curve_key", id_col, "start")
-    return ranged.mapInArrow(_place(capacity, window), f"{fields}, start long, length long, ids_crc32 long, doc_tokens long, curve_key long, sequence_id long, offset long")
-
-
-def _cut(tokenizer: str, carried: list[str], text_col: str, capacity: int, end_id: int) -> Callable:
+    if capacity % GRID:
+        raise ValueError(f"capacity must be a multiple of {GRID}")
+    rows = written(docs.select(id_col, text_col).mapInArrow(_measure(tokenizer, id_col, text_col, end_id), schema_with(docs, [id_col], "doc_tokens long, curve_key long, sums binary")))
+    total = rows.agg(F.sum("doc_tokens")).first()[0] or 0
+    partitions = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (SEQUENCES_EACH * capacity)))
+    ranged = rows.repartitionByRange(partitions, "curve_key", id_col).sortWithinPartitions("curve_key", id_col, "sums")
+    out = written(ranged.mapInArrow(_place(id_col, capacity), schema_with(docs, [id_col], "start long, length long, ids_crc32 long, doc_tokens long, curve_key long, sequence_id long, offset long")))
+    dropped(rows)
+    return out
+
+
+def _measure(tokenizer: str, id_col: str, text_col: str, end_id: int) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = K.held(("words", tokenizer), lambda: WordTokens(tokenizer))
         end, vocabulary = np.array([end_id], "<u4").tobytes(), tokens.of.get_vocab_size()
@@ -169,40 +195,38 @@ def _cut(tokenizer: str, carried: list[str], text_col: str, capacity: int, end_i
             whole = raw.tobytes()
             ids = [i + end for i in tokens.encode([whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])]
             keys = curve_keys([np.frombuffer(i, "<u4") for i in ids], vocabulary)
-            n = np.array([len(i) // 4 for i in ids])
-            count = -(-n // capacity)
-            doc = np.repeat(np.arange(len(n)), count)
-            start = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * capacity
-            length = np.minimum(n[doc] - start, capacity)
-            crc = [zlib.crc32(ids[d][4 * s : 4 * (s + z)]) for d, s, z in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(doc)) for c in carried), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(keys[doc])], [*carried, "start", "length", "ids_crc32", "doc_tokens", "curve_key"])
+            yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(keys), pa.array([prefix_checksums(i) for i in ids], pa.binary())], [id_col, "doc_tokens", "curve_key", "sums"])
 
     return work
 
 
-def _place(capacity: int, window: int) -> Callable:
+def _place(id_col: str, capacity: int) -> Callable:
+    """Lays documents of a partition, in order, into sequences."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        next_id = TaskContext.get().partitionId() << 40
-        held: list[pa.RecordBatch] = []
-
-        def packed(rows: pa.Table) -> pa.RecordBatch:
-            nonlocal next_id
-            bins, offsets, used = best_fit(rows.column("length").to_numpy(), capacity)
-            out = rows.append_column("sequence_id", pa.array(bins + next_id)).append_column("offset", pa.array(offsets))
-            next_id += used
-            return out.combine_chunks().to_batches()[0]
-
+        sequence, used = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= 2 * window:
-                rows = pa.Table.from_batches(held)
-                while rows.num_rows >= 2 * window:
-                    yield packed(rows.slice(0, window))
-                    rows = rows.slice(window)
-                held = rows.combine_chunks().to_batches()
-        if any(b.num_rows for b in held):
-            yield packed(pa.Table.from_batches(held))
+            pieces: list[tuple[int, int, int, int, int]] = []  # row, start, length, sequence, offset
+            before: list[int] = []
+            upto: list[int] = []
+            for row, (n, sums) in enumerate(zip(batch.column("doc_tokens").to_pylist(), batch.column("sums"), strict=True)):
+                sums = np.frombuffer(sums.as_buffer(), "<u4")
+                start = 0
+                while start < n:
+                    room = capacity - used
+                    length = n - start if n - start <= room else room - room % GRID
+                    if length:
+                        pieces.append((row, start, length, sequence, used))
+                        before.append(int(sums[start // GRID - 1]) if start else 0)
+                        upto.append(int(sums[-(-(start + length) // GRID) - 1]))
+                        start, used = start + length, used + length
+                    if start < n or used == capacity:
+                        sequence, used = sequence + 1, 0
+            row, start, length, where, offset = np.array(pieces, np.int64).reshape(-1, 5).T
+            crc = np.array(upto, np.uint32) ^ _shifted(np.array(before, np.uint32), length)
+            doc = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([doc.column(id_col), pa.array(start), pa.array(length), pa.array(crc.astype(np.int64)), doc.column("doc_tokens"), doc.column("curve_key"), pa.array(where), pa.array(offset)], [id_col, "start", "length", "ids_crc32", "doc_tokens", "curve_key", "sequence_id", "offset"])
 
     return work
