@@ -34,7 +34,8 @@ class Join:
 
     counted_share: tokens whose hash lies in this share of all hashes are counted over all documents (sets of up to
     small_set tokens count all theirs, where it only matters that no other set has them). rare: the most sets that hold a rare token. combined: (from this size of set, tokens of a
-    class of frequent tokens on average); smaller sets use them singly. block: sets verified together.
+    class of frequent tokens on average); smaller sets use them singly. block: sets verified together; a set counts once
+    for each set_tokens tokens it has, begun ones too, so that a block is bounded in bytes as well.
     """
 
     words: int = 4
@@ -44,6 +45,7 @@ class Join:
     rare: int = 3
     combined: tuple[tuple[int, int], ...] = ((12, 2), (40, 3), (128, 4))
     block: int = 192
+    set_tokens: int = 2_000
 
     @property
     def counted_below(self) -> int:
@@ -234,38 +236,41 @@ def _verify(how: Join, one_side: bool) -> Callable:
     return work
 
 
-def _links(candidates: DataFrame, texts: DataFrame, groups: DataFrame, how: Join) -> DataFrame:
-    """Links among candidates (rep, n, free) by their groups (node, component).
+def _links(candidates: DataFrame, texts: DataFrame, groups: DataFrame, keys: DataFrame, how: Join) -> DataFrame:
+    """Links among candidates (rep, n, free) by their groups (node, component) and signatures (key, rep).
 
     Each group is laid out by size of set and cut into blocks. First, every block is verified together with the
     group's pivots, the sets with the smallest share of tokens of their own, which are near the middle of their group.
-    Then sets that this left outside the group's largest class are verified against all blocks that hold sets of
-    fitting sizes. So the work grows with the size of a group, and with the product of its stragglers and its size.
+    Then blocks of sets that this left outside the group's largest class are verified against the blocks that share a
+    signature with them and hold sets of fitting sizes: only such may hold a link. So a group that hangs together by a
+    chain of signatures is verified along the chain, not as all pairs of its blocks.
     """
-    one = F.lit(1).cast("long").alias("_one")
-    light = written(candidates.join(groups, F.col("rep") == F.col("node")).select("rep", "n", "free", F.col("component").alias("g"), one))
-    sizes = light.groupBy("g").agg(F.count("*").alias("size"))
-    by_size = written(in_order(light, ["g", "n", "rep"], {"_rank": "_one"}))
-    ends = by_size.groupBy("g").agg(F.min("_rank").alias("_first"), F.count("*").alias("size"))
+    weight = F.ceil(F.greatest(F.col("n"), F.lit(1)) / how.set_tokens).alias("_w")
+    light = written(candidates.join(groups, F.col("rep") == F.col("node")).select("rep", "n", "free", F.col("component").alias("g"), weight))
+    sizes = light.groupBy("g").agg(F.sum("_w").alias("size"))
+    by_size = written(in_order(light, ["g", "n", "rep"], {"_rank": "_w"}))
+    ends = by_size.groupBy("g").agg(F.min("_rank").alias("_first"), F.sum("_w").alias("size"))
     placed = by_size.join(ends, "g").withColumn("blk", F.floor((F.col("_rank") - F.col("_first")) / how.block))
-    by_share = written(in_order(light.join(sizes, "g").where(F.col("size") > how.block).drop("size"), ["g", "free", "rep"], {"_rank": "_one"}))
+    by_share = written(in_order(light.join(sizes, "g").where(F.col("size") > how.block).drop("size"), ["g", "free", "rep"], {"_rank": "_w"}))
     pivots = by_share.join(by_share.groupBy("g").agg(F.min("_rank").alias("_first")), "g").where(F.col("_rank") - F.col("_first") < how.block // 3).select("rep", F.lit(True).alias("pivot"))
     placed = written(placed.join(pivots, "rep", "left").select("rep", "n", "g", "size", "blk", F.coalesce("pivot", F.lit(False)).alias("pivot")))
     dropped(light, by_size, by_share)
-    everywhere = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / how.block))
-    rows = placed.select("rep", "g", F.explode(F.when(F.col("pivot"), everywhere).otherwise(F.array("blk"))).alias("blk"))
+    rows = placed.where("not pivot").select("rep", "g", "blk").unionByName(placed.where("pivot").select("rep", "g").join(placed.select("g", "blk").distinct(), "g"))
     rows = rows.join(texts, "rep").select("rep", "z", "g", "blk", F.lit(0).alias("side"), F.lit(0).cast("long").alias("component"))
     links = written(rows.groupBy("g", "blk").applyInArrow(_verify(how, False), "a long, b long"))
 
     state = placed.where(F.col("size") > how.block).join(components(links).select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     state = written(state)
     main = state.groupBy("g", "component").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-    strays = written(in_order(state.join(main, "g").where("component <> main").select("g", "n", "rep", one), ["g", "n", "rep"], {"_rank": "_one"}))
+    strays = written(in_order(state.join(main, "g").where("component <> main").select("g", "n", "rep", weight), ["g", "n", "rep"], {"_rank": "_w"}))
     strays = strays.join(strays.groupBy("g").agg(F.min("_rank").alias("_first")), "g").select("rep", "g", "n", F.floor((F.col("_rank") - F.col("_first")) / how.block).alias("sblk"))
     ranges = state.groupBy("g", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     stray_ranges = strays.groupBy("g", "sblk").agg(F.min("n").alias("slo"), F.max("n").alias("shi"))
     fits = (F.col("lo") * how.percent <= F.col("shi") * 100) & (F.col("slo") * how.percent <= F.col("hi") * 100)
-    pairs = written(ranges.join(stray_ranges, "g").where(fits).select("g", "blk", "sblk"))
+    in_block = keys.join(state.select("rep", "g", "blk"), "rep").select("key", "g", "blk").distinct()
+    in_stray = keys.join(strays, "rep").select("key", "g", "sblk").distinct()
+    sharing = in_block.join(in_stray, ["key", "g"]).select("g", "blk", "sblk").distinct()
+    pairs = written(sharing.join(ranges, ["g", "blk"]).join(stray_ranges, ["g", "sblk"]).where(fits).select("g", "blk", "sblk"))
     left = strays.join(pairs, ["g", "sblk"]).select("rep", "g", "blk", "sblk", F.lit(1).alias("side"))
     right = state.select("rep", "g", "blk").join(pairs, ["g", "blk"]).select("rep", "g", "blk", "sblk", F.lit(0).alias("side"))
     both = left.unionByName(right).join(state.select("rep", "component"), "rep").join(texts, "rep")
@@ -301,10 +306,11 @@ def _joined(docs: DataFrame, how: Join, id_col: str, text_col: str) -> tuple[Dat
     keys = written(candidates.join(kinds.select("rep", "unique", "rare"), "rep").mapInArrow(_signatures(how), "key long, rep long"))
     leaders = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("z")).where("lead < z").select("key", "lead")
     near = written(keys.join(leaders, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
-    dropped(keys)
     groups = components(near)
     share = kinds.select("rep", "n", (F.coalesce(F.size("unique"), F.lit(0)) / F.col("n")).alias("free"))
-    return sets, classes, _links(share, candidates.select("rep", "z"), groups, how)
+    links = _links(share, candidates.select("rep", "z"), groups, keys, how)
+    dropped(keys, near)
+    return sets, classes, links
 
 
 def _rep_tokens(how: Join, every: bool) -> Callable:
@@ -338,7 +344,15 @@ def shingle_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
 
 
 def first_of_each(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of each component, with all their columns; nulls and empty texts stay."""
-    found = shingle_components(docs, how, id_col, text_col)
-    gone = found.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """One document of each component, that with the smallest id, with all its columns; nulls and empty texts stay.
+
+    Of rows with equal ids and texts one stays; rows with equal ids and other texts are documents of their own.
+    """
+    found = written(shingle_components(docs, how, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(id_col) != F.col("component_id")).alias("_gone")))
+    gone = found.where("_gone").select("_id").distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    repeated = written(found.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id"))
+    if repeated.isEmpty():
+        return kept
+    same = F.col(id_col) == F.col("_id")
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
