@@ -1,15 +1,18 @@
-"""Substring dedup in the manner of relative Lempel-Ziv, by look-ups of blocks and windows rather than greedy parsing.
+"""Substring dedup in the manner of relative Lempel-Ziv, against an index that is distributed over the cluster.
 
 Every document is cut into blocks at content-defined anchors, so that equal stretches are cut alike wherever they
-stand. The index keeps, for each block met in several documents, the earliest document with it. One join of hashes
-finds the blocks that an earlier document holds. Where a block is not found whole, another join looks up its windows
-of `width` words singly in the blocks that share its anchor. The windows found become duplicate spans. No document is
-parsed from left to right, and no longest factor is sought: a word goes if a window of `width` words with it occurs in
-an earlier document, which is decided without the length of the factor around it.
+stand. The index keeps, for each block met in several documents, the earliest document with it and its place there. One
+join of hashes finds the blocks that an earlier document holds. Where a block is not found whole, another join looks up
+its windows of `width` words singly in the blocks that share its anchor.
+
+Each document is then parsed from left to right: a match is extended as long as the next one goes on at the very place
+in its source where it ends, and so becomes one factor, as long as blocks and windows of that source allow. Factors of
+`width` words or more are duplicate spans. Words on both sides of a border between factors may still be copied
+together; windows across a border are matches of their own, and so factors of their own.
 
 The result is exact. Let a window of `width` words occur in an earlier document. Its anchor (the word 5-gram with the
 least hash in it) hangs on the window alone, so both documents hold that anchor, in blocks that contain the window. If
-the blocks are equal, the block is a factor. If not, the first document with each of the two blocks puts its windows
+the blocks are equal, the block is matched. If not, the first document with each of the two blocks puts its windows
 into the second index, and so the window is found there.
 """
 
@@ -21,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit as K
 from .store import dropped, written
@@ -159,36 +163,45 @@ def _windows(width: int) -> Callable:
     return work
 
 
-#: A run of windows as one number: its start times this, and their count.
-_RUN = 1 << 20
+def factors_of(matches: list[tuple], width: int) -> list[tuple]:
+    """(start, length, source, place in it) of the factors that matches (start, windows, source, place) give, parsed
+    from left to right, the longest of those with one start first."""
+    out: list[list] = []
+    for start, n, source, place in sorted(matches, key=lambda m: (m[0], -m[1])):
+        if out and (last := out[-1])[2] == source and last[3] - last[0] == place - start and start <= last[0] + last[1]:
+            last[1] = max(last[1], start + n - last[0])
+        else:
+            out.append([start, n, source, place])
+    return [(start, n + width - 1, source, place) for start, n, source, place in out]
 
 
-def _remove(width: int, carried: list[str]) -> Callable:
+def _remove(width: int, carried: list[str], factor: pa.DataType) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unpacked(batches):
             out = []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 words = text.encode().split()
-                spans = [divmod(f, _RUN) for f in found or ()]
+                factors = [f for f in factors_of([tuple(m.values()) for m in found or ()], width) if f[1] >= width]
                 steps = np.zeros(len(words) + 1, np.int32)
-                for a, n in spans:
-                    steps[a] += 1
-                    steps[min(a + n + width - 1, len(words))] -= 1
+                for start, length, _, _ in factors:
+                    steps[start] += 1
+                    steps[min(start + length, len(words))] -= 1
                 gone = np.cumsum(steps[:-1]) > 0
-                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if spans else b" ".join(words)
+                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if factors else b" ".join(words)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                out.append((len(words), int(gone.sum()), kept.decode(), [{"start": int(a), "end": int(z)} for a, z in zip(edge[::2], edge[1::2], strict=True)]))
-            n, r, kept, spans = zip(*out, strict=True) if out else ((),) * 4
+                out.append((len(words), int(gone.sum()), kept.decode(), [{"start": int(a), "end": int(z)} for a, z in zip(edge[::2], edge[1::2], strict=True)], [dict(zip(("start", "length", "source", "place"), f, strict=True)) for f in factors]))
+            n, r, kept, spans, factors = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                [*carried, "n_words", "n_removed", "kept_text", "spans"],
+                [*(batch.column(c) for c in carried), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(factors, pa.list_(factor))],
+                [*carried, "n_words", "n_removed", "kept_text", "spans", "factors"],
             )
 
     return work
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: n_words, n_removed, kept_text (words joined by one space) and spans.
+    """One row per document: n_words, n_removed, kept_text (words joined by one space), spans, and factors (start and
+    length in words, the source document and the word there).
 
     spans are the word ranges removed: words in windows of `width` words that also start in a document with a smaller
     id. Windows are judged on the input, not on what is left.
@@ -211,17 +224,19 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     wanted = written(dealt.mapInArrow(_shared, f"anchor long, doc {key}").groupBy("doc").agg(F.collect_list("anchor").alias("shared")))
     blocks = written(texts.join(wanted, "doc").mapInArrow(_blocks(width), f"anchor long, content long, doc {key}, row long, start long, n long"))
     dropped(wanted)
-    index = written(blocks.groupBy("anchor", "content").agg(F.min("doc").alias("first")))
-    whole = written(blocks.join(index, ["anchor", "content"]).where("doc > first").select("doc", "row", "start", "n"))
+    first = F.min(F.struct("doc", "start")).alias("f")
+    index = written(blocks.groupBy("anchor", "content").agg(first).select("anchor", "content", F.col("f.doc").alias("source"), F.col("f.start").alias("place")))
+    whole = written(blocks.join(index, ["anchor", "content"]).where("doc > source").select("doc", "row", "start", "n", "source", "place"))
     dropped(blocks)
     mixed = index.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    unmatched = written(index.join(mixed, "anchor", "left_semi").groupBy(F.col("first").alias("doc")).agg(F.collect_list("anchor").alias("wanted")))
+    unmatched = written(index.join(mixed, "anchor", "left_semi").groupBy(F.col("source").alias("doc")).agg(F.collect_list("anchor").alias("wanted")))
     dropped(index)
     windows = written(texts.join(unmatched, "doc").mapInArrow(_windows(width), f"high long, low long, doc {key}, row long, start long"))
     dropped(unmatched)
-    earliest = windows.groupBy("high", "low").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("high", "low", "first")
-    single = windows.join(earliest, ["high", "low"]).where("doc > first").select("doc", "row", "start", F.lit(1).cast("long").alias("n"))
-    found = written(whole.unionByName(single).groupBy("doc", "row").agg(F.collect_list(F.col("start") * _RUN + F.col("n")).alias("found")))
+    earliest = windows.groupBy("high", "low").agg(first, F.max("doc").alias("last")).where("f.doc < last").select("high", "low", F.col("f.doc").alias("source"), F.col("f.start").alias("place"))
+    single = windows.join(earliest, ["high", "low"]).where("doc > source").select("doc", "row", "start", F.lit(1).cast("long").alias("n"), "source", "place")
+    found = written(whole.unionByName(single).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n", "source", "place")).alias("found")))
     dropped(whole, windows)
-    parsed = texts.join(found, ["doc", "row"], "left").mapInArrow(_remove(width, ["doc"]), f"doc {key}, n_words long, n_removed long, kept_text string, spans array<struct<start: long, end: long>>")
+    kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", to_arrow_type(docs.schema[id_col].dataType)), ("place", pa.int64())])
+    parsed = texts.join(found, ["doc", "row"], "left").mapInArrow(_remove(width, ["doc"], kind), f"doc {key}, n_words long, n_removed long, kept_text string, spans array<struct<start: long, end: long>>, factors array<struct<start: long, length: long, source: {key}, place: long>>")
     return parsed.withColumnRenamed("doc", id_col)
