@@ -100,8 +100,8 @@ def brute_contamination(text, windows):
     return len(w), len(hit), sorted(items)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 600])
-def test_decontamination(spark, rows, docs, empty, block_bytes):
+@pytest.mark.parametrize("automaton_bytes", [1 << 20, 0])
+def test_decontamination(spark, rows, docs, empty, automaton_bytes):
     from tidewright.llm.decontaminate import find_contamination
 
     r = random.Random(3)
@@ -113,7 +113,7 @@ def test_decontamination(spark, rows, docs, empty, block_bytes):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         for k in range(max(1, len(w) - 9) if w else 0):
             windows[tuple(w[k : k + 10])].add("" if i is None else str(i))
-    got = {x.doc_id: x for x in find_contamination(docs, bench, block_bytes=block_bytes, keep=["text"]).collect()}
+    got = {x.doc_id: x for x in find_contamination(docs, bench, automaton_bytes=automaton_bytes, keep=["text"]).collect()}
     assert any(x.n_hit for x in got.values())
     for d, t in rows:
         x = got[d]
@@ -415,3 +415,21 @@ def test_main_text_without_or_inside_wrappers(spark):
     pages = [(i, f"http://{'h' if i < 10 else i}.org/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
     got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: "\n\n".join(t) for i, t in enumerate(bodies.values())}
+
+
+def test_links_of_pages(spark):
+    from tidewright.llm.url_filter import link_edges
+
+    html = {
+        1: "<link rel=canonical href='../up/./x?q#f'>",
+        2: "<meta content='0, http://t.net/z' http-equiv='Refresh'>",
+        3: "<script>var a='<link rel=canonical href=http://no.net/>'</script><link rel=canonical href='mailto:x'>",
+        4: "<base href='http://base.org/d/'><link rel=canonical href='p'>",
+        5: "<link rel=canonical href='//o.org/&#x41;&#66;&#38;lt;'>",
+        6: "<link rel=canonical href=?p=2>",
+        7: "<link rel=canonical href=''><link rel=canonical href='/s'>",
+        8: "<link rel=canonical>" * 500 + "<meta http-equiv=refresh content='0'>",
+    }
+    pages = spark.createDataFrame([(f"http://H{k}.com/a/b/c?q", h) for k, h in html.items()] + [(None, html[1]), ("http://x.org/", None)], "url string, html string")
+    got = {r.a.split(".")[0]: r.b for r in link_edges(pages).collect()}
+    assert got == {"h1": "h1.com/a/up/x?q", "h2": "t.net/z", "h4": "base.org/d/p", "h5": "o.org/AB&lt;", "h6": "h6.com/a/b/c?p=2", "h7": "h7.com/s"}

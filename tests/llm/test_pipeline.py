@@ -41,7 +41,7 @@ def test_stages(spark, folder):
     from tokenizers import Tokenizer
 
     stage = dict(P.STAGES)
-    step = lambda name, docs: written(stage[name](spark, docs, folder), scratch=False)
+    step = lambda name, docs: written(stage[name](spark, docs, folder))
     docs = spark.read.parquet(f"{folder}/documents.parquet")
 
     kept = step("quality classifier", docs)

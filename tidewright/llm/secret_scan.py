@@ -122,11 +122,11 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], count: Callable[[
         start = m.start()
         while k < len(taken) and taken[k][2] <= start:
             k += 1
-        for a, _, b in taken[k:]:
-            if a >= m.end():
-                break
-            test(start, a)
-            start = max(start, b)
+        j = k
+        while j < len(taken) and taken[j][0] < m.end():
+            test(start, taken[j][0])
+            start = max(start, taken[j][2])
+            j += 1
         test(start, m.end())
     return out
 
