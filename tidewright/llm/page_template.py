@@ -1,26 +1,32 @@
 """HTML extraction by equivalence classes of tokens.
 
-Tokens of a page are its elements, told apart by the path that leads to them, and its blocks of text. Over all
-distinct pages of a host, each token has an occurrence vector: how often it occurs in each page. Tokens with equal vectors form an
-equivalence class. Large classes found in enough pages are valid if they nest: an element belongs to the template if
-the elements around it do. What the template does not cover are its slots, and slots in the article, or else in the container of most of the
-text, hold main text.
+Tokens of a page are its elements, told apart by the path that leads to them (and by place, if they are containers
+without a class), and its blocks of text. Over all distinct pages of a host, each token has an occurrence vector: how
+often it occurs in each page. Tokens with equal vectors form an equivalence class. Large classes found in enough pages
+are valid if they nest: an element belongs to the template if the elements around it do. What the template doesn't
+cover are its slots.
+
+Which slots hold main text is decided for the whole host: going down from the root of the template, the element that
+fills most of its parent's slots, page by page, leads on to the container of main text. In each page, main text is what
+fills the slots inside that container. Names of elements and classes only weigh in that choice, and tell adverts,
+forms, comments and the like inside the container. A page without its host's container, or of a host with too few
+pages, is read as a template of its own.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from hashlib import blake2b
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import schema_with, written
 from .url_filter import host_of
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -31,17 +37,29 @@ _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
 _ENDS_ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDS_LISTS = frozenset("ul ol dl table body article main section div nav".split())
-#: Elements and names that mark what is not main text.
+#: Elements that are content rather than containers of it, and those of them that hold others.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot caption figcaption pre blockquote figure details summary address".split())
+_LISTS = frozenset("ul ol dl table".split())
+#: Elements, roles and names that mark what is not main text. Those of the last set may also mark main
+#: text, and do where they hold a good part of it.
 _ASIDE = frozenset("nav footer aside form menu dialog button select noscript template head object svg canvas".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _ASIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "sidebar sidebars side nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments respond reply replies disqus discussion "
-    "share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager skip hidden".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot sponsor sponsored cookie cookies consent gdpr "
+    "sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer comments disqus newsletter pagination pager".split()
 )
-#: Classes that tell a state of a wrapper, such as has-sidebar; elements that are content of a container.
+_WEAK_NAMES = frozenset(
+    "promo promotion banner notice notices notification alert popup modal overlay side comment respond reply replies discussion "
+    "share sharing social related recommended subscribe subscription signup login search widget toolbar skip hidden".split()
+)
+#: Classes that tell a state of a wrapper, such as has-sidebar.
 _STATES = ("has-", "no-", "with-", "without-", "has_", "no_", "with_", "without_")
-_CONTENT = frozenset("ul ol dl table blockquote figure pre".split())
+#: Kinds of elements. Shares of a container's text from which a name doesn't exclude, and weights of a kind's slots.
+PLAIN, CONTENT, ASIDE, NAMED, WEAK, ARTICLE, HEADER = range(7)
+_UNLESS = {NAMED: 0.8, WEAK: 0.5}
+_WEIGHT = {ASIDE: 0.0, NAMED: 0.1, WEAK: 0.3, HEADER: 0.1, ARTICLE: 2.0}
+#: The share of its parent's slots with which an element leads on.
+_LEADS = 0.6
 
 
 @dataclass(frozen=True)
@@ -60,81 +78,115 @@ class Deduction:
     least_tokens: int = 3
 
 
-@dataclass
-class Block:
-    path: tuple[str, ...]
-    text: str
-    aside: bool
-    article: bool
-    inner: bool = False
+@dataclass(slots=True)
+class Node:
+    """An element that isn't inline. Its token hangs on the path to it; up is its parent's place in the page's list."""
 
+    up: int
+    token: int
+    kind: int
+    tag: str
+    chars: int = 0  # of text in it, at any depth
+    linked: int = 0  # of these in links
+    places: Counter[str] = field(default_factory=Counter)
 
-def number(*parts: str) -> int:
-    return int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
+@dataclass(slots=True)
+class Page:
+    """Nodes in page order, the first standing for the page itself, and blocks of text: (node, text)."""
 
-def _labels(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
-    """A name for the element, whether it is aside from the main text, or its class or id says so, whether it holds an
-    article, and is a header, which is aside unless it is the article's own."""
-    named = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    names = [x for x in f"{named.get('class', '')} {named.get('id', '')}".split() if not x.startswith(_STATES)]
-    words = set(re.split(r"[^a-z]+", " ".join(names))) - {""}
-    by_name = tag not in ("body", "html", "article", "main") and bool(words & _ASIDE_NAMES)
-    by_name = by_name or tag == "article" and bool(words & {"comment", "comments", "reply", "ad", "advert", "promo", "related", "sponsored"})
-    aside = tag in _ASIDE or named.get("role") in _ASIDE_ROLES
-    name = tag + "".join(f".{c}" for c in named.get("class", "").split()[:3])
-    return name, aside, by_name, (tag in ("article", "main") or named.get("role") in ("main", "article")) and not aside and not by_name, tag == "header" or bool(words & {"header", "masthead"})
+    nodes: list[Node]
+    blocks: list[tuple[int, str]]
 
 
-def blocks_of(page: str) -> tuple[list[Block], Counter[tuple[str, ...]]]:
-    """Blocks of text in page order, and how often each element path occurs.
+def number(text: str, seed: int = 0) -> int:
+    x = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed % (1 << 64))
+    return x - (1 << 64) if x >= 1 << 63 else x
 
-    An article inside a wrapper that only its class or id marks as aside is main text if the page has no other.
-    """
-    # Tag, name, aside, article, aside by more than names, inner (an article there, and nothing aside since); all but
-    # the first two hold for all inside.
-    stack: list[tuple[str, str, bool, bool, bool, bool]] = []
-    paths: Counter[tuple[str, ...]] = Counter()
-    out: list[Block] = []
+
+def _kind(tag: str, named: dict[str, str]) -> int:
+    if tag in ("body", "html"):
+        return PLAIN
+    if tag in _ASIDE or named.get("role") in _ASIDE_ROLES:
+        return ASIDE
+    names = [x for x in f"{named.get('class', '')} {named.get('id', '')}".split() if not x.startswith(_STATES)]
+    words = set(re.split(r"[^a-z]+", " ".join(names)))
+    if tag in ("article", "main") or named.get("role") in ("main", "article"):
+        return NAMED if tag == "article" and words & {"comment", "comments", "reply", "ad", "advert", "promo", "related", "sponsored"} else ARTICLE
+    if words & _ASIDE_NAMES:
+        return NAMED
+    if tag in _TEXT:
+        return CONTENT
+    if words & _WEAK_NAMES:
+        return WEAK
+    if tag == "header" or words & {"header", "masthead"}:
+        return HEADER
+    return CONTENT if tag in _LISTS else PLAIN
+
+
+def read_page(page: str) -> Page:
+    """Elements and blocks of a page. Time and memory are linear in its length, however deep elements nest."""
+    nodes, blocks = [Node(-1, 0, PLAIN, "")], []
+    stack: list[tuple[str, int]] = []  # open elements, inline ones too, with the node around their text
+    open_: Counter[str] = Counter()
     text: list[str] = []
+    linked = 0
+
+    def node() -> int:
+        return stack[-1][1] if stack else 0
+
+    def add(piece: str) -> None:
+        nonlocal linked
+        text.append(html.unescape(piece))
+        linked += len(piece) if open_["a"] else 0
 
     def flush() -> None:
+        nonlocal linked
         words = "".join(text).split()
         text.clear()
         if words:
-            block = [s for s in stack if s[0] not in _INLINE]
-            out.append(Block(tuple(s[1] for s in block), " ".join(words), *(stack[-1][2:4] if stack else (False, False)), bool(stack) and stack[-1][5] and not stack[-1][4]))
+            line = " ".join(words)
+            blocks.append((node(), line))
+            at = nodes[node()]
+            at.chars += len(line)
+            at.linked += min(linked, len(line))
+        linked = 0
 
     def close(at: int) -> None:
         flush()
+        for tag, _ in stack[at:]:
+            open_[tag] -= 1
         del stack[at:]
 
     at = 0
     while at < len(page):
         m = _TAG.search(page, at)
         if m is None:
-            text.append(html.unescape(page[at:]))
+            add(page[at:])
             break
         if m.start() > at:
-            text.append(html.unescape(page[at : m.start()]))
+            add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:
+            if not open_[tag]:
+                if tag not in _INLINE:
+                    flush()
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     if tag in _INLINE:
+                        open_[tag] -= 1
                         del stack[k]
                     else:
                         close(k)
                     break
                 if tag in _INLINE and stack[k][0] not in _INLINE:
                     break
-            else:
-                if tag not in _INLINE:
-                    flush()
             continue
+        attributes = m[3] or m[6] or ""
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -142,33 +194,39 @@ def blocks_of(page: str) -> tuple[list[Block], Counter[tuple[str, ...]]]:
         if tag == "br":
             text.append(" ")
             continue
-        if tag not in _INLINE:
-            flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] not in _INLINE:
-                    break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _ENDS_ALIKE.get(tag, ()):
-                    close(k)
-                    break
-                if stack[k][0] in _HOLDS_LISTS:
-                    break
-        name, aside, by_name, article, header = _labels(tag, m[3] or m[6] or "")
-        above = stack[-1] if stack else ("", "", False, False, False, False)
-        header = header and not above[3] and tag not in ("body", "html", "article", "main")
-        aside, by_name = aside or header and tag == "header", by_name or header
-        paths[(*(s[1] for s in stack if s[0] not in _INLINE), name)] += 1
-        if tag not in _VOID and not (m[3] or m[6] or "").endswith("/"):
-            stack.append((tag, name, above[2] or aside or by_name, above[3] or article, above[4] or aside, article or above[5] and not by_name))
+        if tag in _INLINE:
+            if tag not in _VOID and not attributes.endswith("/"):
+                stack.append((tag, node()))
+                open_[tag] += 1
+            continue
+        flush()
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == "p":
+                close(k)
+                break
+            if stack[k][0] not in _INLINE:
+                break
+        for k in range(len(stack) - 1, -1, -1) if tag in _ENDS_ALIKE else ():
+            if stack[k][0] in _ENDS_ALIKE[tag]:
+                close(k)
+                break
+            if stack[k][0] in _HOLDS_LISTS:
+                break
+        named = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
+        up, kind = node(), _kind(tag, named)
+        name = tag + "".join(f".{c}" for c in named.get("class", "").split()[:3])
+        if kind not in (CONTENT, ARTICLE) and name == tag:
+            name = f"{tag}#{nodes[up].places[tag]}"
+            nodes[up].places[tag] += 1
+        nodes.append(Node(up, number(name, nodes[up].token), kind, tag))
+        if tag not in _VOID and not attributes.endswith("/"):
+            stack.append((tag, len(nodes) - 1))
+            open_[tag] += 1
     flush()
-    if not any(b.article and not b.aside for b in out):
-        for b in out:
-            if b.inner:
-                b.aside, b.article = False, True
-    return out, paths
+    for n in reversed(nodes[1:]):
+        nodes[n.up].chars += n.chars
+        nodes[n.up].linked += n.linked
+    return Page(nodes, blocks)
 
 
 def _first_of_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,100 +240,180 @@ def _first_of_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield batch.filter(pa.array(new, pa.bool_()))
 
 
+def tokens_of(page: Page) -> list[tuple[int, bool, int | None, int, int, int, int]]:
+    """(token, text, up, times, chars, linked, kind) of a page's elements and blocks; `up` is the token of the element
+    around it, chars are those of text in it, with all its occurrences together."""
+    found: dict[tuple[int, bool], list] = {}
+    for n in page.nodes[1:]:
+        row = found.setdefault((n.token, False), [page.nodes[n.up].token if n.up else None, 0, 0, 0, n.kind])
+        row[1:4] = row[1] + 1, row[2] + n.chars, row[3] + n.linked
+    for at, text in page.blocks:
+        up = page.nodes[at].token
+        row = found.setdefault((number(text, up), True), [up if at else None, 0, 0, 0, CONTENT])
+        row[1:3] = row[1] + 1, row[2] + len(text)
+    return [(token, text, *row) for (token, text), row in found.items()]
+
+
+_TOKENS = "host string, token long, text boolean, up long, vector long, bodies long, chars long, linked long, kind int"
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, text, up, vector, bodies) of each distinct page; `up` is the token of the element around
-    it, `bodies` a bit by the hash of all text that isn't aside."""
+    """The tokens of each distinct page; `vector` is a hash of the page and how often it holds the token, `bodies` a bit
+    by the hash of the page's text."""
+    names = [c.split()[0] for c in _TOKENS.split(", ")]
+    kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
     for batch in _first_of_copies(batches):
         rows = []
         for host, page, key in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            blocks, paths = blocks_of(page or "")
-            body = 1 << number("body", *(b.text for b in blocks if not b.aside)) % 63
-            for p, n in paths.items():
-                rows.append((host, number("element", *p), False, number("element", *p[:-1]) if len(p) > 1 else None, number(str(key), str(n)), 0))
-            for (p, t), n in Counter((b.path, b.text) for b in blocks).items():
-                rows.append((host, number("text", *p, t), True, number("element", *p), number(str(key), str(n)), body))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "token", "text", "up", "vector", "bodies"])
+            read = read_page(page or "")
+            aside = _outside(read, 0)
+            body = 1 << number("\n".join(t for k, t in read.blocks if not aside[k])) % 63
+            rows += [(host, token, text, up, number(str(times), key), body if text else 0, chars, linked, kind) for token, text, up, times, chars, linked, kind in tokens_of(read)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def deduce_templates(pages: DataFrame, how: Deduction = Deduction(), url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, members): tokens of valid classes.
+    """(host, members): tokens of valid classes, with the text in them over all distinct pages.
 
     Occurrence vectors are summed as hashes of (page, count), so a host with very many pages is one row for each token
     and task before the shuffle. Exact copies of a page count once: each task drops its own, so that few meet in one
-    task. Distinct bodies are counted as bits that their hashes set, which may be too few and leaves text in place then.
+    task. Tokens of one page alone go before hosts come together. Distinct bodies are counted as bits that their hashes
+    set, which may be too few and leaves text in place then.
     """
     page = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("key"))
     distinct = page.mapInArrow(_first_of_copies, "host string, html string, key long").repartition("host", "key")
-    tokens = distinct.mapInArrow(_tokens, "host string, token long, text boolean, up long, vector long, bodies long")
-    summed = tokens.groupBy("host", "token", "text", "up").agg(F.count("*").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.bit_count(F.bit_or("bodies")).alias("bodies"))
+    tokens = distinct.mapInArrow(_tokens, _TOKENS)
+    sums = F.count("*").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.bit_count(F.bit_or("bodies")).alias("bodies"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
+    summed = tokens.groupBy("host", "token", "text", "up", "kind").agg(*sums).where(F.col("pages") >= max(1, min(how.least_pages * how.structure_share, 2)))
     sizes = page.groupBy("host").agg(F.count("*").alias("rows"), F.count_distinct("key").alias("all"))
     everywhere = (F.col("rows") >= how.text_pages) & (F.col("bodies") >= how.text_bodies) & (F.col("pages") >= F.ceil(F.col("all") * how.text_share))
     common = summed.join(sizes, "host").where((F.col("all") >= how.least_pages) & F.when(F.col("text"), everywhere).otherwise(F.col("pages") >= F.ceil(F.col("all") * how.structure_share)))
-    classes = common.groupBy("host", "vector", "pages", "all").agg(F.collect_list(F.struct("token", "text", "up")).alias("members"))
+    classes = common.groupBy("host", "vector", "pages", "all").agg(F.collect_list(F.struct("token", "text", "up", "chars", "linked", "kind")).alias("members"))
     # A class for each host and vector holds few tokens: those of half the host's pages or more.
     valid = classes.where((F.size("members") >= how.least_tokens) | (F.col("pages") == F.col("all")) | F.exists("members", lambda x: x["text"]))
     return valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("members"))
 
 
-def _container(slots: list[Block]) -> tuple[str, ...]:
-    """The path of the element that holds most of the text: of elements without text of their own, or in blocks
-    directly inside, the child with the most goes on."""
-    at: tuple[str, ...] = ()
-    while slots and all(len(b.path) > len(at) + 1 for b in slots):
-        weight: Counter[str] = Counter()
-        for b in slots:
-            weight[b.path[len(at)]] += len(b.text)
-        child = max(weight, key=weight.__getitem__)
-        if child.split(".")[0] in _CONTENT:
+@dataclass(frozen=True)
+class Template:
+    """The token of the container of main text, and the tokens of text that is template."""
+
+    container: int
+    fixed: frozenset[int]
+
+
+def template_of(members: list[tuple[int, bool, int | None, int, int, int]]) -> Template:
+    """From (token, text, up, chars, linked, kind) of valid classes, of a host or of a single page."""
+    inside: dict[int | None, list[tuple]] = defaultdict(list)
+    for m in members:
+        inside[m[2]].append(m)
+    order, todo = [], [None]
+    while todo:  # elements whose parents all belong to the template
+        at = todo.pop()
+        for m in inside[at]:
+            order.append(m)
+            if not m[1]:
+                todo.append(m[0])
+    slots = {m[0]: max(0, m[3] - m[4]) for m in order if not m[1]}
+    fixed = {m[0]: m[2] for m in order if m[1]}
+    length = {m[0]: m[3] for m in order if m[1]}
+    taken: Counter[int] = Counter()
+    for token, up in fixed.items():
+        if up is not None:
+            taken[up] += length[token]
+    best: dict[int, tuple[int, int]] = {}  # the fullest article inside, by its slots
+    for token, text, up, _, _, kind in reversed(order):
+        if text:
+            continue
+        slots[token] = max(0, slots[token] - taken[token])
+        if up is not None:
+            taken[up] += taken[token]
+            inner = max((best.get(token, (0, 0)), (slots[token], token) if kind == ARTICLE else (0, 0)))
+            if kind != ASIDE:
+                best[up] = max(best.get(up, (0, 0)), inner)
+    kinds = {m[0]: m[5] for m in order if not m[1]}
+    at, filled = 0, sum(slots[m[0]] * _WEIGHT.get(m[5], 1) for m in inside[None] if not m[1])
+    while True:
+        if kinds.get(at) == ARTICLE:
+            size, token = best.get(at, (0, 0))
+            if not size or size < _LEADS * slots[at]:
+                break
+            at = token
+            continue
+        below = [(slots[m[0]] * _WEIGHT.get(m[5], 1), m[0]) for m in inside[at or None] if not m[1] and m[5] != CONTENT]
+        size, token = max(below, default=(0, 0))
+        known = sum(s for s, _ in below)
+        if at:  # text of its own, in content or in elements that the template lacks
+            filled = known + max(0, slots[at] - sum(slots[m[0]] for m in inside[at] if not m[1] and m[5] != CONTENT))
+        if not size or size < _LEADS * filled:
             break
-        at = (*at, child)
-        slots = [b for b in slots if b.path[: len(at)] == at]
-    return at
-
-
-def main_text(blocks: list[Block], members: list[dict] | None) -> list[str]:
-    """Main text: of the blocks outside the template, those in an article, or else in the container of most of their
-    text, with top headings outside it."""
-    known = {m["token"]: m for m in members or ()}
+        at = token
+    return Template(at, frozenset(fixed))
 
-    def nested(token: int | None) -> bool:
-        while token is not None:
-            if token not in known:
-                return False
-            token = known[token]["up"]
-        return True
 
-    def fixed(b: Block) -> bool:
-        token = number("text", *b.path, b.text)
-        return token in known and known[token]["text"] and nested(known[token]["up"])
-
-    slots = [b for b in blocks if not b.aside and not fixed(b)]
-    if any(b.article for b in slots):
-        return [b.text for b in slots if b.article]
-    inside = _container(slots)
-    return [b.text for b in slots if b.path[: len(inside)] == inside or b.path[-1].split(".")[0] == "h1"]
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, container, fixed) from (host, members)."""
+    for batch in batches:
+        found = [template_of([(m["token"], m["text"], m["up"], m["chars"], m["linked"], m["kind"]) for m in members]) for members in batch.column("members").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([t.container for t in found], pa.int64()), pa.array([sorted(t.fixed) for t in found], pa.list_(pa.int64()))], ["_host", "container", "fixed"])
+
+
+def _outside(page: Page, container: int) -> list[bool]:
+    """For each node, whether text directly in it is not main text: it is outside the container, or in an element in
+    the container that its kind excludes. Container 0 is the whole page."""
+    nodes = page.nodes
+    whole = sum(n.chars for n in nodes[1:] if n.token == container and container) or nodes[0].chars
+    inner = bool(container)
+    out = [inner] + [True] * (len(nodes) - 1)
+    for k, n in enumerate(nodes[1:], 1):
+        if container and n.token == container:
+            out[k] = False
+            inner = inner and n.tag not in ("body", "html")
+            continue
+        excluded = n.kind == ASIDE or n.kind == HEADER and not inner or n.kind in _UNLESS and n.chars < _UNLESS[n.kind] * whole
+        out[k] = out[n.up] or excluded
+    return out
+
+
+def main_text(page: Page, template: Template | None) -> list[str]:
+    """The blocks in the slots of the container, and top headings before it."""
+    if template is None or not template.container or not any(n.token == template.container for n in page.nodes):
+        own = template_of([(token, text, up, chars, linked, kind) for token, text, up, _, chars, linked, kind in tokens_of(page) if not text])
+        template = Template(own.container, template.fixed if template else frozenset())
+    outside, everywhere = _outside(page, template.container), None
+    out, begun = [], False
+    for at, text in page.blocks:
+        if number(text, page.nodes[at].token) in template.fixed:
+            continue
+        if not outside[at]:
+            out.append(text)
+            begun = True
+        elif not begun and page.nodes[at].tag == "h1":
+            everywhere = everywhere or _outside(page, 0)
+            if not everywhere[at]:
+                out.append(text)
+    return out
 
 
 def extract_main_text(pages: DataFrame, how: Deduction = Deduction(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text (blocks joined by two newlines) and n_chars (code points).
 
     Templates are deduced over all pages of a host and joined to its pages; a host with very many pages is split by
-    Spark in that join, whose other side has one row for the host. A host with too few pages has no template, and its
-    pages are read by their own structure.
+    Spark in that join, whose other side has one row for the host.
 
     Null html gives an empty text. A null url, or one without ://, has the empty host like all its kind. Null ids,
     repeated ids and repeated rows pass through row by row; an empty table gives no rows; other columns are not read.
-    Pages are read whole.
+    Pages are read whole, and of any length and depth.
     """
-    kind = pages.schema[id_col].dataType.simpleString()
-    templates = written(deduce_templates(pages, how, url_col, html_col))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host")).join(templates, "host", "left")
+    templates = written(deduce_templates(pages, how, url_col, html_col).mapInArrow(_chosen, "_host string, container long, fixed array<long>"))
+    rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("_host")).join(templates, "_host", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["\n\n".join(main_text(blocks_of(page or "")[0], members)) for page, members in zip(batch.column("html").to_pylist(), batch.column("members").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
+            texts = []
+            for page, container, fixed in zip(*(batch.column(c).to_pylist() for c in ("_html", "container", "fixed")), strict=True):
+                texts.append("\n\n".join(main_text(read_page(page or ""), None if container is None else Template(container, frozenset(fixed)))))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(url_col), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    return rows.select("id", "url", "html", "members").mapInArrow(work, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
+    return rows.select(id_col, url_col, "_html", "container", "fixed").mapInArrow(work, schema_with(pages, [id_col, url_col], "text string, n_chars long"))
