@@ -96,3 +96,38 @@ def test_run(spark, folder):
     got = P.run(spark, folder)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns)
     assert collections.Counter(r.sequence_id for r in got.collect()).total() == got.count() > 0
+
+
+CLASHES = "n_words n_hit n_items item_ids spans n_grams log_weight gumbel_key _noise selected n_random base_sha256 component_id n_shingles start length sequence_id offset curve_key sums doc row z".split()
+
+
+def test_stages_with_clashing_columns_repeats_nulls_and_empty_tables(spark, folder):
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit("text of a null id").alias("text"), "lang", "source", F.lit(0).cast("long").alias("n_chars"))
+    odd = docs.unionByName(docs.where("doc_id % 7 = 0")).unionByName(extra).unionByName(extra)
+    odd = odd.select("*", *(F.concat(F.lit(f"{c} "), F.coalesce("text", F.lit("-"))).alias(c) for c in CLASHES))
+    plain, none = docs, odd.limit(0)
+    for name, stage in P.STAGES:
+        odd, plain, none = (written(stage(spark, d, folder)) for d in (odd, plain, none))
+        assert none.isEmpty()
+        if name != "packing":
+            assert odd.columns == [*docs.columns, *CLASHES] and none.columns == odd.columns
+            assert odd.where(F.expr(" or ".join(f"not startswith({c}, '{c} ')" for c in CLASHES))).isEmpty()
+        if name == "near duplicates":
+            assert odd.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+            assert odd.where("doc_id is null").count() == 2
+    assert odd.select("doc_id").distinct().count() > 20
+
+
+def test_a_result_outlives_the_stages_of_others(spark, folder):
+    import corpus_pipeline as P
+
+    from tidewright.llm.sharding import shard_by_bytes
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    held = shard_by_bytes(docs, 5)
+    P.run(spark, folder)
+    assert held.count() == docs.count()

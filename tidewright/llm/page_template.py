@@ -58,8 +58,9 @@ _STATES = ("has-", "no-", "with-", "without-", "has_", "no_", "with_", "without_
 PLAIN, CONTENT, ASIDE, NAMED, WEAK, ARTICLE, HEADER = range(7)
 _UNLESS = {NAMED: 0.8, WEAK: 0.5}
 _WEIGHT = {ASIDE: 0.0, NAMED: 0.1, WEAK: 0.3, HEADER: 0.1, ARTICLE: 2.0}
-#: The share of its parent's slots with which an element leads on.
-_LEADS = 0.6
+#: The share of its parent's slots with which an element leads on, that of all slots below which it doesn't, and that of
+#: its own text with which a container is the one.
+_LEADS, _LEAST, _OWN = 0.6, 0.5, 0.1
 
 
 @dataclass(frozen=True)
@@ -333,7 +334,7 @@ def template_of(members: list[tuple[int, bool, int | None, int, int, int]]) -> T
             if kind != ASIDE:
                 best[up] = max(best.get(up, (0, 0)), inner)
     kinds = {m[0]: m[5] for m in order if not m[1]}
-    at, filled = 0, sum(slots[m[0]] * _WEIGHT.get(m[5], 1) for m in inside[None] if not m[1])
+    at, all_, filled = 0, 0, sum(slots[m[0]] * _WEIGHT.get(m[5], 1) for m in inside[None] if not m[1])
     while True:
         if kinds.get(at) == ARTICLE:
             size, token = best.get(at, (0, 0))
@@ -343,10 +344,13 @@ def template_of(members: list[tuple[int, bool, int | None, int, int, int]]) -> T
             continue
         below = [(slots[m[0]] * _WEIGHT.get(m[5], 1), m[0]) for m in inside[at or None] if not m[1] and m[5] != CONTENT]
         size, token = max(below, default=(0, 0))
-        known = sum(s for s, _ in below)
-        if at:  # text of its own, in content or in elements that the template lacks
-            filled = known + max(0, slots[at] - sum(slots[m[0]] for m in inside[at] if not m[1] and m[5] != CONTENT))
-        if not size or size < _LEADS * filled:
+        if at:  # with text of its own, in content or in elements that the template lacks
+            own = max(0, slots[at] - sum(slots[m[0]] for m in inside[at] if not m[1] and m[5] != CONTENT))
+            filled = own + sum(s for s, _ in below)
+            if own > _OWN * filled:
+                break
+        all_ = max(all_, filled)
+        if not size or size < _LEADS * filled or size < _LEAST * all_:
             break
         at = token
     return Template(at, frozenset(fixed))
