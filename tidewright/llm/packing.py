@@ -7,7 +7,6 @@ by the Hilbert key of their point, and neighbours on the curve are packed togeth
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -22,13 +21,14 @@ from .store import dropped, schema_with, written
 
 DIMENSIONS, BITS = 3, 10
 #: Documents are cut at multiples of so many ids. Sequences that a partition has on average at least.
-GRID, SEQUENCES_EACH = 16, 256
+GRID, SEQUENCES_EACH = 32, 256
 #: Words that a task remembers the ids of; on reaching it, it forgets them all.
 REMEMBERED_WORDS = 1_000_000
 #: Lone signs, of which one with a single id can stand between words that are encoded together.
 _SIGNS = "\u2020\u00b6\u00a7~^"
-#: A full stop or comma that the pre-tokenizer splits off, as it stands alone between a letter or digit and white space.
-_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\t\n]|$)")
+#: A full stop or comma at the end of a word is split off by the pre-tokenizer if one of these comes before it, as it
+#: then stands alone between a letter or digit and white space.
+_STOPS, _BEFORE_STOPS = b".,", b"abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def _tokenizer(path: str):
@@ -56,31 +56,38 @@ class WordTokens:
     @staticmethod
     def split(text: bytes) -> list[bytes]:
         """Words, with case dropped; special tokens are told by case, so texts with their mark are left as they are."""
-        return text.split() if b"<|" in text else _STOP.sub(rb" \1", text.lower()).split()
+        return text.split() if b"<|" in text else text.lower().split()
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
+        ended = [w for w in new if w[-1] in _STOPS and len(w) > 1 and w[-2] in _BEFORE_STOPS]
+        if not ended:
+            self._learn_whole(new)
+            return
+        self._learn_whole((new.difference(ended) | {w[:-1] for w in ended} | {b".", b","}).difference(self.known))
+        known = self.known
+        known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in ended])
+
+    def _learn_whole(self, new: set[bytes]) -> None:
         sign = self.sign.encode() if self.sign else b""
         together = [w for w in new if sign not in w] if self.sign else []
         if together:  # one call for all is several times as fast as one for each
-            (ids,) = self._ids([f" {self.sign} ".join(w.decode() for w in together)])
+            (ids,) = self._ids([b" ".join([together[0], *(sign + b" " + w for w in together[1:])]).decode()])
             (mark,) = self._ids([self.sign])
-            ends = [*np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(together, ends, strict=True):
-                self.known[w] = data[4 * begin : 4 * end]
-                begin = end + 1
-        alone = [w for w in new if w not in self.known]
+            ends = [*(4 * np.flatnonzero(ids == mark[0])).tolist(), 4 * len(ids)]
+            data = ids.tobytes()
+            self.known.update([(w, data[begin:end]) for w, begin, end in zip(together, [0, *(e + 4 for e in ends[:-1])], ends, strict=True)])
+        alone = [w for w in new if sign in w] if self.sign else list(new)
         for w, ids in zip(alone, self._ids([w.decode() for w in alone]), strict=True):
             self.known[w] = ids.tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         self.learn(set().union(*split))
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        of = self.known.__getitem__
+        return [b"".join(map(of, words)) for words in split]
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
