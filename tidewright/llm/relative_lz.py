@@ -224,8 +224,9 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     wanted = written(dealt.mapInArrow(_shared, f"anchor long, doc {key}").groupBy("doc").agg(F.collect_list("anchor").alias("shared")))
     blocks = written(texts.join(wanted, "doc").mapInArrow(_blocks(width), f"anchor long, content long, doc {key}, row long, start long, n long"))
     dropped(wanted)
-    first = F.min(F.struct("doc", "start")).alias("f")
-    index = written(blocks.groupBy("anchor", "content").agg(first).select("anchor", "content", F.col("f.doc").alias("source"), F.col("f.start").alias("place")))
+    # Any of the places in the earliest document will do; these minima are held in fixed space for each key.
+    first = F.min("doc").alias("source"), F.min_by("start", "doc").alias("place")
+    index = written(blocks.groupBy("anchor", "content").agg(*first))
     whole = written(blocks.join(index, ["anchor", "content"]).where("doc > source").select("doc", "row", "start", "n", "source", "place"))
     dropped(blocks)
     mixed = index.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
@@ -233,7 +234,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     dropped(index)
     windows = written(texts.join(unmatched, "doc").mapInArrow(_windows(width), f"high long, low long, doc {key}, row long, start long"))
     dropped(unmatched)
-    earliest = windows.groupBy("high", "low").agg(first, F.max("doc").alias("last")).where("f.doc < last").select("high", "low", F.col("f.doc").alias("source"), F.col("f.start").alias("place"))
+    earliest = windows.groupBy("high", "low").agg(*first, F.max("doc").alias("last")).where("source < last").drop("last")
     single = windows.join(earliest, ["high", "low"]).where("doc > source").select("doc", "row", "start", F.lit(1).cast("long").alias("n"), "source", "place")
     found = written(whole.unionByName(single).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n", "source", "place")).alias("found")))
     dropped(whole, windows)
