@@ -53,3 +53,27 @@ def test_first_source_with_enough(spark):
     one, two = bars(spark, [(1, 1)], 1.0), bars(spark, [(1, 1), (1, 2)], 2.0)
     assert sorted(r.c for r in S.first_with_enough([one, two], 2).collect()) == [2.0, 2.0]
     assert S.newest(two, 1).first().t.day == 2
+
+
+def test_upsert_keeps_the_latest_of_a_batch_and_never_loses_a_month(spark, tmp_path):
+    import glob
+
+    import pytest
+
+    store = S.BarStore(spark, str(tmp_path / "bars"))
+    twice = bars(spark, [(1, 2)], 10.0).withColumn("s", F.lit(2)).unionByName(bars(spark, [(1, 2)], 99.0).withColumn("s", F.lit(1)))
+    store.upsert(twice, "1d", "s")
+    assert [r.c for r in store.read().collect()] == [10.0]
+    store.upsert(twice.withColumn("c", F.col("c") + 1), "1d", "s")
+    assert [r.c for r in store.read().collect()] == [11.0]
+    store.upsert(twice, "1d")
+    assert [r.c for r in store.read().collect()] == [99.0]
+    store.upsert(bars(spark, [(1, d) for d in range(3, 13)] + [(2, 1)], 5.0), "1d")
+    (file,) = glob.glob(f"{tmp_path}/bars/k=a/timeframe=1d/month=2024-01/*.parquet")
+    body = open(file, "rb").read()
+    open(file, "wb").write(body[: len(body) // 2])
+    with pytest.raises(Exception):
+        store.upsert(bars(spark, [(1, 20)], 7.0), "1d")
+    assert open(file, "rb").read() == body[: len(body) // 2]
+    store.upsert(bars(spark, [(2, 20)], 7.0), "1d")
+    assert sorted(r.t.day for r in store.read().collect()) == [1, 20]

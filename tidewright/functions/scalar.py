@@ -95,3 +95,23 @@ def normal_cdf(z: Column) -> Column:
 def correlation(x: str, y: str) -> Column:
     """Correlation over a group; null, not an error, where one side is constant."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+def horizon_sigma(volatility: Column, minutes: Column, price: Column, floor: float = 5.0) -> Column:
+    """How far a price moves within so many minutes, from its volatility in one; not below `floor`."""
+    return F.greatest(volatility * F.sqrt(minutes) * price, F.lit(floor))
+
+
+def capped_band(pred: Column, lo: Column, hi: Column, minutes: Column, sigma: Column, base: float = 200.0, sigmas: float = 3.2) -> Column:
+    """A struct (lo, hi): a band wider than its cap shrinks towards the prediction, which keeps its place in the band;
+    the cap is twice the base beyond 5 minutes, and never under so many sigmas. Ends are cut to whole numbers."""
+    cap = F.greatest(F.when(minutes <= 5, base).otherwise(2 * base), sigmas * F.coalesce(sigma, F.lit(0.0)))
+    factor = F.least(F.try_divide(cap, hi - lo), F.lit(1.0))
+    wide = (hi - lo) > cap
+    end = lambda x: F.when(wide, pred + (x - pred) * factor).otherwise(x).cast("long")
+    return F.struct(end(lo).alias("lo"), end(hi).alias("hi"))
+
+
+def selector_keeps(p_win: Column, price_cents: Column, theta: float = 0.5) -> Column:
+    """A bet stays if its chance is at least theta and at least what it costs, the fee included."""
+    return p_win >= F.greatest(F.lit(theta), (price_cents + fee_per_contract(price_cents)) / 100)

@@ -108,15 +108,11 @@ def fill_curve(orders: DataFrame, quotes: DataFrame, distances: list[float], wit
     return summed.select("k", "distance", "n", (F.col("hits") / F.col("n")).alias("filled"), F.when(F.col("hits") > 0, F.col("waited") / F.col("hits")).alias("wait_s"))
 
 
-def upper_median(value: str) -> Column:
-    """The element at half the count of the sorted values."""
-    x = F.array_sort(F.collect_list(value))
-    return F.get(x, F.floor(F.size(x) / 2).cast("int"))
-
-
 def missingness(rows: DataFrame, kept: Column, value: str) -> DataFrame:
-    """Kept and left-out rows side by side: count, upper median, share of ups."""
-    return rows.groupBy(kept.alias("kept")).agg(F.count("*").alias("n"), upper_median(value).alias("median"), F.avg("y").alias("up"))
+    """Kept and left-out rows side by side: count, upper median, share of ups. A median needs as much memory as there
+    are distinct values; they are counted before the shuffle."""
+    median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
+    return rows.groupBy(kept.alias("kept")).agg(F.count("*").alias("n"), median.alias("median"), F.avg("y").alias("up"))
 
 
 def consensus(votes: DataFrame, arm: str, vote: str, loss: str, rows: int = 50) -> DataFrame:

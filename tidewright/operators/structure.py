@@ -42,6 +42,13 @@ def candidates(bars: DataFrame, stop_atr: float = 1.5, target_atr: float = 3.0,
     return out.where((F.col("stop") > 0) & (F.col("rr") >= least_rr - 1e-9))
 
 
+def nearest_above(swung: DataFrame, bars: int = 200, side: int = 5) -> DataFrame:
+    """Adds above: the least swing high above the close, of the last `bars` bars; those of the last `side` - 1 are not
+    known yet."""
+    seen = F.collect_list(F.when(F.col("swing_high"), F.col("h"))).over(in_time().rowsBetween(-bars, -side))
+    return swung.withColumn("above", F.array_min(F.filter(seen, lambda h: h > F.col("c"))))
+
+
 def trouble_score(rows: DataFrame) -> DataFrame:
     """Scores a candidate (entry, stop, expected, above: the nearest level above, relative_volume, regime, confidence)
     against the first trouble ahead, with every reason to refuse it."""
@@ -64,10 +71,10 @@ def probability(score: Column, confidence: Column, volume: Column) -> Column:
 
 #: Families of words, in order of precedence.
 EVENT_WORDS = (
-    ("earnings", ("earnings", "eps", "revenue", "guidance")),
-    ("macro", ("fed", "inflation", "rates", "gdp")),
-    ("regulation", ("sec", "lawsuit", "probe", "fine")),
-    ("deal", ("merger", "acquisition", "deal", "buyout")),
+    ("earnings", ("earnings", "financial results", "eps", "revenue", "guidance")),
+    ("merger", ("mergers & acquisitions", "merger", "acquisition", "m&a", "buyout")),
+    ("regulatory", ("regulation", "regulatory", "sec", "antitrust", "ftc", "doj", "compliance")),
+    ("macro", ("federal reserve", "interest rates", "inflation", "gdp", "economy", "macro", "fed")),
 )
 
 

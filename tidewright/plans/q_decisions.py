@@ -96,7 +96,7 @@ def limit_fill_curve(spark, d):
 add(
     "limit_fill_curve",
     limit_fill_curve,
-    f"{_K}, o AS (SELECT k, t AS t0, id, px, distance FROM ticks, (VALUES (0.0::DOUBLE), (2.0), (5.0), (10.0)) v(distance) WHERE size >= 90), f AS (SELECT o.k, o.id, o.distance, o.t0, min(q.t) AS filled FROM o LEFT JOIN ticks q ON q.k = o.k AND q.t > o.t0 AND q.t <= o.t0 + INTERVAL 2 HOURS AND q.px <= o.px - o.distance GROUP BY ALL) "
+    f"{_K}, o AS (SELECT k, t AS t0, id, px, distance FROM ticks, (VALUES (0.0::DOUBLE), (2.0), (5.0), (10.0)) v(distance)), f AS (SELECT o.k, o.id, o.distance, o.t0, min(q.t) AS filled FROM o LEFT JOIN ticks q ON q.k = o.k AND q.t > o.t0 AND q.t <= o.t0 + INTERVAL 2 HOURS AND q.px <= o.px - o.distance GROUP BY ALL) "
     f"SELECT k, distance, count(*) AS n, {r('avg((filled IS NOT NULL)::INTEGER)')} AS filled, {r(_WAIT)} AS wait_s FROM f GROUP BY 1, 2",
 )
 

@@ -51,11 +51,11 @@ add(
 
 
 def _scored(spark, d):
-    b = W.liquidity(W.swings(T.hourly(spark, d)))
+    b = Z.nearest_above(W.liquidity(W.swings(T.hourly(spark, d))))
     b = X.atr_regime(X.wilder_atr(b))
     b = X.statistical_forecast(b)
     c = Z.candidates(b).join(W.trend(b).select("k", "trend"), "k")
-    return Z.trouble_score(c.withColumn("above", F.lit(None).cast("double")))
+    return Z.trouble_score(c)
 
 
 def trade_candidates(spark, d):
@@ -88,7 +88,7 @@ def document_events(spark, d):
     return x.groupBy("source", Z.event_type(F.col("text")).alias("event")).agg(F.count("*").alias("n"))
 
 
-_CASE = " ".join("WHEN " + " OR ".join(f"contains(lower(substring(text, 1, 200)), '{w}')" for w in words) + f" THEN '{name}'" for name, words in Z.EVENT_WORDS)
+_CASE = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in Z.EVENT_WORDS)
 add("document_events", document_events, f"SELECT source, CASE {_CASE} ELSE 'none' END AS event, count(*) AS n FROM documents GROUP BY 1, 2")
 
 

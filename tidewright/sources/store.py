@@ -21,14 +21,18 @@ def month_of(t: Column) -> Column:
     return F.date_format(t, "yyyy-MM")
 
 
-def with_parts(bars: DataFrame, timeframe: str) -> DataFrame:
-    return bars.select("k", F.lit(timeframe).alias("timeframe"), month_of(F.col("t")).alias("month"), "t", "o", "h", "l", "c", "v")
+def with_parts(bars: DataFrame, timeframe: str, sequence: Column) -> DataFrame:
+    return bars.select("k", F.lit(timeframe).alias("timeframe"), month_of(F.col("t")).alias("month"), "t", "o", "h", "l", "c", "v", sequence.alias("_q"))
 
 
-def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old bars with new ones over them, by key, timeframe and time."""
-    both = old.select(*COLUMNS).withColumn("_s", F.lit(0)).unionByName(new.select(*COLUMNS).withColumn("_s", F.lit(1)))
-    return last_wins(both, ["k", "timeframe", "t"], [F.desc("_s")]).drop("_s")
+def merged(old: DataFrame, new: DataFrame, newest: list[Column]) -> DataFrame:
+    """Old bars with new ones over them, by key, timeframe and time; of new ones of one time, the first in `newest`."""
+    both = old.withColumn("_s", F.lit(0)).unionByName(new.withColumn("_s", F.lit(1)), allowMissingColumns=True)
+    return last_wins(both, ["k", "timeframe", "t"], [F.desc("_s"), *newest]).select(*COLUMNS)
+
+
+#: Which of several new bars of one time stays where no sequence tells: the one with the largest values, on any run.
+_VALUES = ("v", "c", "h", "l", "o")
 
 
 class BarStore:
@@ -37,14 +41,17 @@ class BarStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def upsert(self, bars: DataFrame, timeframe: str) -> None:
-        new = with_parts(bars, timeframe)
+    def upsert(self, bars: DataFrame, timeframe: str, sequence: str | None = None) -> None:
+        """The column `sequence` tells which of several new bars of one time is the latest. A damaged file of a month
+        to be rewritten is an error, and nothing is written: what it holds would be lost."""
+        order = [F.desc("_q"), *map(F.desc, _VALUES)]
+        new = with_parts(bars, timeframe, F.col(sequence) if sequence else F.lit(0))
         if self.exists():
             months = new.select(*PARTS).distinct()
             # Read the touched months only, and write them to the side before they replace themselves.
-            new = merged(self.read().join(months, PARTS, "left_semi"), new).checkpoint()
+            new = merged(self.read(tolerant=False).join(months, PARTS, "left_semi"), new, order).checkpoint()
         else:
-            new = last_wins(new, ["k", "timeframe", "t"], [F.desc("t")])
+            new = last_wins(new, ["k", "timeframe", "t"], order).select(*COLUMNS)
         writer = new.repartition(*PARTS).sortWithinPartitions("t").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*PARTS).parquet(self.path)
 
@@ -52,9 +59,10 @@ class BarStore:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
-    def read(self) -> DataFrame:
+    def read(self, tolerant: bool = True) -> DataFrame:
+        """All bars; damaged files are left out, unless an upsert reads what it is to replace."""
         schema = "t timestamp_ntz, o double, h double, l double, c double, v double, k string, timeframe string, month string"
-        return self.spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(self.path).select(*COLUMNS)
+        return self.spark.read.schema(schema).option("ignoreCorruptFiles", str(tolerant).lower()).parquet(self.path).select(*COLUMNS)
 
     def load(self, key: str, timeframe: str, start: Column | None = None, end: Column | None = None) -> DataFrame:
         """Bars of a key from start to end, both included; months outside are not opened."""
