@@ -48,8 +48,11 @@ class BarStore:
         new = with_parts(bars, timeframe, F.col(sequence) if sequence else F.lit(0))
         if self.exists():
             months = new.select(*PARTS).distinct()
-            # Read the touched months only, and write them to the side before they replace themselves.
-            new = merged(self.read(tolerant=False).join(months, PARTS, "left_semi"), new, order).checkpoint()
+            # Read the touched months only, of which a calendar has few, and write them to the side before they replace
+            # themselves.
+            touched = [r.month for r in months.select("month").distinct().collect()]
+            old = self.read(tolerant=False).where(F.col("month").isin(touched)).join(months, PARTS, "left_semi")
+            new = merged(old, new, order).checkpoint()
         else:
             new = last_wins(new, ["k", "timeframe", "t"], order).select(*COLUMNS)
         writer = new.repartition(*PARTS).sortWithinPartitions("t").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
