@@ -236,13 +236,14 @@ def _verify(how: Join, one_side: bool) -> Callable:
     return work
 
 
-def _links(candidates: DataFrame, texts: DataFrame, groups: DataFrame, keys: DataFrame, how: Join) -> DataFrame:
-    """Links among candidates (rep, n, free) by their groups (node, component) and signatures (key, rep).
+def _links(candidates: DataFrame, texts: DataFrame, groups: DataFrame, near: DataFrame, how: Join) -> DataFrame:
+    """Links among candidates (rep, n, free) by their groups (node, component) and the leaders of their signatures: rows
+    (a, b) of near say that b, the smallest set with some signature, leads a.
 
     Each group is laid out by size of set and cut into blocks. First, every block is verified together with the
     group's pivots, the sets with the smallest share of tokens of their own, which are near the middle of their group.
     Then blocks of sets that this left outside the group's largest class are verified against the blocks that share a
-    signature with them and hold sets of fitting sizes: only such may hold a link. So a group that hangs together by a
+    leader with them and hold sets of fitting sizes: only such may hold a link. So a group that hangs together by a
     chain of signatures is verified along the chain, not as all pairs of its blocks.
     """
     weight = F.ceil(F.greatest(F.col("n"), F.lit(1)) / how.set_tokens).alias("_w")
@@ -267,9 +268,11 @@ def _links(candidates: DataFrame, texts: DataFrame, groups: DataFrame, keys: Dat
     ranges = state.groupBy("g", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     stray_ranges = strays.groupBy("g", "sblk").agg(F.min("n").alias("slo"), F.max("n").alias("shi"))
     fits = (F.col("lo") * how.percent <= F.col("shi") * 100) & (F.col("slo") * how.percent <= F.col("hi") * 100)
-    in_block = keys.join(state.select("rep", "g", "blk"), "rep").select("key", "g", "blk").distinct()
-    in_stray = keys.join(strays, "rep").select("key", "g", "sblk").distinct()
-    sharing = in_block.join(in_stray, ["key", "g"]).select("g", "blk", "sblk").distinct()
+    # All sets with a signature have the same leader for it, so those that share one share a leader.
+    led = near.unionByName(near.select(F.col("b").alias("a"), "b")).distinct().select(F.col("a").alias("rep"), F.col("b").alias("lead"))
+    in_block = led.join(state.select("rep", "g", "blk"), "rep").select("lead", "g", "blk").distinct()
+    in_stray = led.join(strays, "rep").select("lead", "g", "sblk").distinct()
+    sharing = in_block.join(in_stray, ["lead", "g"]).select("g", "blk", "sblk").distinct()
     pairs = written(sharing.join(ranges, ["g", "blk"]).join(stray_ranges, ["g", "sblk"]).where(fits).select("g", "blk", "sblk"))
     left = strays.join(pairs, ["g", "sblk"]).select("rep", "g", "blk", "sblk", F.lit(1).alias("side"))
     right = state.select("rep", "g", "blk").join(pairs, ["g", "blk"]).select("rep", "g", "blk", "sblk", F.lit(0).alias("side"))
@@ -306,10 +309,11 @@ def _joined(docs: DataFrame, how: Join, id_col: str, text_col: str) -> tuple[Dat
     keys = written(candidates.join(kinds.select("rep", "unique", "rare"), "rep").mapInArrow(_signatures(how), "key long, rep long"))
     leaders = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("z")).where("lead < z").select("key", "lead")
     near = written(keys.join(leaders, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
+    dropped(keys)
     groups = components(near)
     share = kinds.select("rep", "n", (F.coalesce(F.size("unique"), F.lit(0)) / F.col("n")).alias("free"))
-    links = _links(share, candidates.select("rep", "z"), groups, keys, how)
-    dropped(keys, near)
+    links = _links(share, candidates.select("rep", "z"), groups, near, how)
+    dropped(near)
     return sets, classes, links
 
 
@@ -350,7 +354,8 @@ def first_of_each(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", t
     """
     found = written(shingle_components(docs, how, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(id_col) != F.col("component_id")).alias("_gone")))
     gone = found.where("_gone").select("_id").distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    # Merged at every size: ids of copies grow with the documents, and are soon too many to broadcast.
+    kept = docs.join(gone.hint("merge"), F.col(id_col) == F.col("_id"), "left_anti")
     repeated = written(found.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id"))
     if repeated.isEmpty():
         return kept
