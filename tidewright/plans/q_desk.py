@@ -20,7 +20,7 @@ _ACCOUNT = (
 )
 
 
-def opening_checks(spark, d):
+def risk_checks(spark, d):
     """Orders as wishes to open a trade, in states of an account that hang on their keys."""
     o, key, cust = T.table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
     x = o.select(
@@ -31,8 +31,8 @@ def opening_checks(spark, d):
 
 
 add(
-    "opening_checks",
-    opening_checks,
+    "risk_checks",
+    risk_checks,
     f"WITH {_ACCOUNT} SELECT id, CASE WHEN today >= 5 THEN 'max_trades_per_day reached' WHEN open_ >= 4 THEN 'max_concurrent_positions reached' WHEN greatest((day_equity - equity) / day_equity, 0) >= 0.05 THEN 'daily_drawdown_limit_breached' "
     "WHEN (in_k + required) / equity > 0.1 THEN 'max_ticker_exposure exceeded' WHEN in_all + required > 0.9 * equity THEN 'max_portfolio_exposure exceeded' WHEN cash < required THEN 'insufficient_cash' ELSE 'ok' END AS reason FROM s",
 )
