@@ -167,11 +167,14 @@ def factors_of(matches: list[tuple], width: int) -> list[tuple]:
     """(start, length, source, place in it) of the factors that matches (start, windows, source, place) give, parsed
     from left to right, the longest of those with one start first."""
     out: list[list] = []
+    going_on: dict[tuple, list] = {}  # by source and distance from the place there, the last factor
     for start, n, source, place in sorted(matches, key=lambda m: (m[0], -m[1])):
-        if out and (last := out[-1])[2] == source and last[3] - last[0] == place - start and start <= last[0] + last[1]:
+        last = going_on.get((source, place - start))
+        if last and start <= last[0] + last[1]:
             last[1] = max(last[1], start + n - last[0])
         else:
             out.append([start, n, source, place])
+            going_on[source, place - start] = out[-1]
     return [(start, n + width - 1, source, place) for start, n, source, place in out]
 
 
