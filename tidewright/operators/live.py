@@ -244,3 +244,22 @@ def audited(rows: DataFrame, checks: dict[str, Column], example: str = "id") ->
     sums = [a for i, (_, holds) in enumerate(checks.items()) for a in (F.count(holds).alias(f"n{i}"), F.count(F.when(~holds, 1)).alias(f"b{i}"), F.min(F.when(~holds, F.col(example))).alias(f"e{i}"))]
     named = F.array(*(F.struct(F.lit(name).alias("check"), F.col(f"n{i}").alias("n"), F.col(f"b{i}").alias("broken"), F.col(f"e{i}").alias("example")) for i, name in enumerate(checks)))
     return rows.agg(*sums).select(F.explode(named).alias("c")).select("c.*")
+
+
+def runtime_state(desks: DataFrame, reports: DataFrame, now: Column, bad: dict[str, str], monitor: str, max_age: str) -> DataFrame:
+    """For each desk (k) whether it may open trades at `now`, and why not, from reports (k, t, id, name, value): FREEZE
+    if one named in `bad` is missing, older than max_age, unreadable (null) or has its bad value, the first such; else
+    DEGRADED if the monitor's latest says STALE or UNKNOWN; else NORMAL. A desk without any report is frozen. Reports
+    after `now` don't count. Closing and settling are never stopped."""
+    names = [*bad, monitor]
+    latest = lambda n: F.max_by(F.struct("t", "value"), F.when(F.col("name") == n, F.struct("t", "id")))
+    each = reports.where(F.col("name").isin(*names) & (F.col("t") <= now)).groupBy("k").agg(*(latest(n).alias(f"_{i}") for i, n in enumerate(names)))
+    x = desks.select("k").distinct().join(each, "k", "left")
+    why = F.lit(None).cast("string")
+    for i, (name, value) in reversed(list(enumerate(bad.items()))):
+        stale = F.col(f"_{i}.t").isNull() | (F.col(f"_{i}.t") < now - F.expr(f"interval {max_age}"))
+        why = F.when(stale, f"{name} missing or stale").when(F.col(f"_{i}.value").isNull(), f"{name} unreadable").when(F.col(f"_{i}.value") == value, f"{name} is {value}").otherwise(why)
+    says = F.col(f"_{len(bad)}.value")
+    return x.withColumn("_why", why).select(
+        "k", F.when(F.col("_why").isNotNull(), "FREEZE").when(says.isin("STALE", "UNKNOWN"), "DEGRADED").otherwise("NORMAL").alias("state"), F.coalesce("_why", F.when(says.isin("STALE", "UNKNOWN"), F.concat(F.lit(f"{monitor} is "), says))).alias("why")
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewright.operators import decisions as D
 from tidewright.sources import tables as T
@@ -212,8 +213,20 @@ add("recommended_setting", recommended_setting, f"{_K}, m AS (SELECT median(px)
 
 
 def readiness_verdict(spark, d):
-    x = T.trades(spark, d).groupBy("k").agg(F.count("*").alias("n"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.lit(0.1).alias("drawdown"))
-    return rounded(D.verdict(x))
+    """Over keys of trades, with the deepest fall of a purse of ten million from its peak, by days."""
+    x = T.trades(spark, d)
+    days = x.groupBy("k", "t").agg(F.sum("pnl").alias("pnl"))
+    so_far = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    purse = days.withColumn("purse", 10_000_000.0 + F.sum("pnl").over(so_far)).withColumn("peak", F.greatest(F.max("purse").over(so_far), F.lit(10_000_000.0)))
+    falls = purse.groupBy("k").agg(F.max((F.col("peak") - F.col("purse")) / F.col("peak")).alias("drawdown"))
+    wins = x.groupBy("k").agg(F.count("*").alias("n"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"))
+    return rounded(D.verdict(wins.join(falls, "k")))
 
 
-add("readiness_verdict", readiness_verdict, f"{_T}, x AS (SELECT k, count(*) AS n, avg((pnl > 0)::INTEGER) AS w FROM trades GROUP BY k), v AS (SELECT count(*) AS traded, avg((w > 0.4)::INTEGER) AS good FROM x) SELECT traded, {r('good')} AS good, true AS calm, CASE WHEN traded = 0 THEN 'FAILS' WHEN traded >= 3 AND good >= 0.5 THEN 'READY' ELSE 'NEEDS_EDGE' END AS verdict FROM v")
+add(
+    "readiness_verdict",
+    readiness_verdict,
+    f"{_T}, d AS (SELECT k, t, sum(pnl) AS pnl FROM trades GROUP BY 1, 2), e AS (SELECT k, t, 10000000.0::DOUBLE + sum(pnl) OVER (PARTITION BY k ORDER BY t) AS purse FROM d), f AS (SELECT k, greatest(max(purse) OVER (PARTITION BY k ORDER BY t), 10000000.0) AS peak, purse FROM e), "
+    "x AS (SELECT k, count(*) AS n, avg((pnl > 0)::INTEGER) AS w FROM trades GROUP BY k), v AS (SELECT count(*) AS traded, avg((w > 0.4)::INTEGER) AS good, bool_and(fall < 0.2) AS calm FROM x JOIN (SELECT k, max((peak - purse) / peak) AS fall FROM f GROUP BY 1) USING (k)) "
+    f"SELECT traded, {r('good')} AS good, calm, CASE WHEN traded = 0 THEN 'FAILS' WHEN traded >= 3 AND good >= 0.5 AND calm THEN 'READY' WHEN NOT calm THEN 'NEEDS_RISK' ELSE 'NEEDS_EDGE' END AS verdict FROM v",
+)

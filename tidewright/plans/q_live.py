@@ -268,3 +268,24 @@ add(
     "UNION ALL SELECT key, 'decision quote age', key % 14 <= 12.05 FROM s WHERE key % 3 > 0 UNION ALL SELECT key, 'purse within start', l_extendedprice <= 90000 FROM s WHERE l_suppkey % 7 > 0 UNION ALL SELECT key, 'winners gain', key % 2 = 1 OR l_discount >= l_tax FROM s) "
     'SELECT "check", count(*) AS n, count(*) FILTER (NOT ok) AS broken, min(key) FILTER (NOT ok) AS example FROM c GROUP BY 1',
 )
+
+
+def runtime_state(spark, d):
+    """Users as desks, their events as reports, on the evening of 20 January."""
+    x = T.ticks(spark, d)
+    value = F.when(F.col("size") >= 90, "red").when(F.col("size") >= 40, "STALE").when(F.col("size") >= 5, "fine")
+    reports = x.select(F.col("user_id").alias("k"), "t", "id", F.col("k").alias("name"), value.alias("value"))
+    now = F.lit("2024-01-20 18:00:00").cast("timestamp_ntz")
+    return V.runtime_state(T.table(spark, d, "customer").select(F.col("c_custkey").alias("k")), reports, now, {"error": "red", "purchase": "red"}, "view", "12 days")
+
+
+_WHY = " ".join(f"WHEN {n}_t IS NULL OR {n}_t < TIMESTAMP '2024-01-08 18:00:00' THEN '{n} missing or stale' WHEN {n}_v IS NULL THEN '{n} unreadable' WHEN {n}_v = 'red' THEN '{n} is red'" for n in ("error", "purchase"))
+add(
+    "runtime_state",
+    runtime_state,
+    f"WITH {T.TICKS}, s AS (SELECT user_id, k AS name, t, CASE WHEN size >= 90 THEN 'red' WHEN size >= 40 THEN 'STALE' WHEN size >= 5 THEN 'fine' END AS v FROM ticks WHERE t <= TIMESTAMP '2024-01-20 18:00:00' QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY t DESC, id DESC) = 1), "
+    + "p AS (SELECT user_id AS k, "
+    + ", ".join(f"max(t) FILTER (name = '{n}') AS {n}_t, max(v) FILTER (name = '{n}') AS {n}_v" for n in ("error", "purchase", "view"))
+    + f" FROM s GROUP BY 1), w AS (SELECT c.c_custkey AS k, CASE {_WHY} END AS why, view_v IN ('STALE', 'UNKNOWN') AS dull FROM customer c LEFT JOIN p ON p.k = c.c_custkey) "
+    "SELECT k, CASE WHEN why IS NOT NULL THEN 'FREEZE' WHEN dull THEN 'DEGRADED' ELSE 'NORMAL' END AS state, coalesce(why, CASE WHEN dull THEN 'view is STALE' END) AS why FROM w",
+)

@@ -70,15 +70,17 @@ def once(events: DataFrame, key: str, late: str) -> DataFrame:
 
 
 def settled(positions: DataFrame, prices: DataFrame, within: str, late: str) -> DataFrame:
-    """Positions with each price of their key that arrives up to `within` later; the watermark lets old rows go."""
+    """Positions with each price of their key that arrives up to `within` later. One that no price can reach any more,
+    as the watermark tells, comes out unsettled, its price null; until then it is open and in the state."""
     p = positions.withWatermark("ts", late).alias("p")
     q = prices.withWatermark("ts", late).alias("q")
     on = (F.col("p.user_id") == F.col("q.user_id")) & (F.col("q.ts") >= F.col("p.ts")) & (F.col("q.ts") <= F.col("p.ts") + F.expr(f"interval {within}"))
-    return p.join(q, on).select(F.col("p.event_id").alias("position"), F.col("q.event_id").alias("price"), F.col("q.value").alias("value"))
+    return p.join(q, on, "left_outer").select(F.col("p.event_id").alias("position"), F.col("q.event_id").alias("price"), F.col("q.value").alias("value"))
 
 
 def running_accounts(events: DataFrame, limit: float) -> DataFrame:
-    """State of each user over batches: events seen, sum, and how often the sum passed `limit` and was paid out."""
+    """State of each user over batches: events seen, sum, and how often the sum passed `limit` and was paid out. An
+    account has no end, so its state of three numbers never times out: it grows with users, not with events."""
     out = Ty.StructType([Ty.StructField("user_id", Ty.LongType()), Ty.StructField("n", Ty.LongType()), Ty.StructField("payouts", Ty.LongType())])
     state = Ty.StructType([Ty.StructField("n", Ty.LongType()), Ty.StructField("held", Ty.DoubleType()), Ty.StructField("payouts", Ty.LongType())])
 
