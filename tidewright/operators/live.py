@@ -263,3 +263,73 @@ def runtime_state(desks: DataFrame, reports: DataFrame, now: Column, bad: dict[s
     return x.withColumn("_why", why).select(
         "k", F.when(F.col("_why").isNotNull(), "FREEZE").when(says.isin("STALE", "UNKNOWN"), "DEGRADED").otherwise("NORMAL").alias("state"), F.coalesce("_why", F.when(says.isin("STALE", "UNKNOWN"), F.concat(F.lit(f"{monitor} is "), says))).alias("why")
     )
+
+
+def bet_ev(up: Column, ask: Column, outcome: Column) -> Column:
+    """Gain per unit of cost of a bet on a side, the fee of whole cents included: what is won over the cost, or -1."""
+    cost = ask + S.fee_per_contract(ask)
+    return F.when(up.isNull() | ask.isNull() | outcome.isNull(), None).when(up == (outcome == 1), (100 - cost) / cost).otherwise(-1.0)
+
+
+def decisions_of(path: DataFrame, envelope: float) -> DataFrame:
+    """The earliest row of each window within the last `envelope` minutes: what could be known when deciding."""
+    rows = path.where(F.col("left") <= envelope)
+    kept = [c for c in path.columns if c not in ("k", "w")]
+    return rows.groupBy("k", "w").agg(F.min_by(F.struct(*kept), F.struct("t", "id")).alias("r")).select("k", "w", "r.*")
+
+
+def treatments(decisions: DataFrame, arms: list[str], spread: float = 2.5, lookback: int = 20, floor: float = 0.62, knife: float = 0.1, cheap: float = 51.0, last: int = 20, least: int = 5) -> DataFrame:
+    """Policies side by side on the same settled windows (k, w, p, market, y, and chances of `arms`): a row per window and
+    policy with its ev, null where it stands down. All pay the market's chance and a spread.
+
+    champion bets on p's side; `regime` not while the market was right in under `floor` of the last windows, `knife` not
+    near one half, `cheap` not above an ask, `both` by regime and knife; `leader` bets on the side of the arm whose last
+    bets, of those at asks of 5 up to 80, gained most on average, the first of equals, and only with `least` of them.
+    What a policy knows comes from earlier windows of the key alone: every trailing frame ends before the current one.
+    """
+    w = Window.partitionBy("k").orderBy("w")
+    ask = lambda up: F.when(up, 100 * F.col("market") + spread).otherwise(100 * (1 - F.col("market")) + spread)
+    right = ((F.col("market") >= 0.5) == (F.col("y") == 1)).cast("int")
+    past = w.rowsBetween(-lookback, -1)
+    x = decisions.withColumn("_right", right).withColumn("regime", F.when(F.count("_right").over(past) >= lookback, F.avg("_right").over(past)))
+    best = F.lit(None).cast("struct<m: double, up: boolean>")
+    for i, arm in enumerate(arms):
+        up = F.col(arm) >= 0.5
+        ev = F.when((ask(up) >= 5) & (ask(up) < 80), bet_ev(up, ask(up), F.col("y")))
+        x = x.withColumn(f"_e{i}", ev).withColumn(f"_has{i}", ev.isNotNull())
+        tail = Window.partitionBy("k", f"_has{i}").orderBy("w").rowsBetween(-(last - 1), 0)
+        x = x.withColumn(f"_t{i}", F.when(F.col(f"_has{i}") & (F.count(f"_e{i}").over(Window.partitionBy("k", f"_has{i}").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)) >= least), F.avg(f"_e{i}").over(tail)))
+        x = x.withColumn(f"_m{i}", F.round(F.last(f"_t{i}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), 9))
+        mine = F.when(F.col(f"_m{i}").isNotNull(), F.struct(F.col(f"_m{i}").alias("m"), up.alias("up")))
+        best = mine if i == 0 else F.when(best.isNull() | (F.col(f"_m{i}") > best["m"]), F.coalesce(mine, best)).otherwise(best)
+    x = x.withColumn("_best", best)
+    side = F.col("p") >= 0.5
+    calm, clear = ~F.coalesce(F.col("regime") < floor, F.lit(False)), ~(F.abs(F.col("market") - 0.5) < knife)
+    bet = bet_ev(side, ask(side), F.col("y"))
+    leads = F.col("_best.up")
+    evs = {"champion": bet, "regime": F.when(calm, bet), "knife": F.when(clear, bet), "cheap": F.when(ask(side) <= cheap, bet), "both": F.when(calm & clear, bet), "leader": bet_ev(leads, ask(leads), F.col("y"))}
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("policy"), e.alias("ev")) for n, e in evs.items()))).alias("v")
+    return x.select("k", "w", rows).select("k", "w", "v.*")
+
+
+def paired_treatments(scored: DataFrame, champion: str = "champion") -> DataFrame:
+    """Per key and policy of treatments(): windows, bets, mean ev of a bet, and the mean difference to the champion on
+    the same windows, where standing down counts as 0."""
+    of = F.max(F.when(F.col("policy") == champion, F.col("ev"))).over(Window.partitionBy("k", "w"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return scored.withColumn("_c", of).groupBy("k", "policy").agg(F.count("*").alias("windows"), F.count("ev").alias("bets"), F.avg("ev").alias("ev"), F.avg(zero(F.col("ev")) - zero(F.col("_c"))).alias("difference"))
+
+
+def economic_replay(decisions: DataFrame, tau: float) -> DataFrame:
+    """Per key, over decisions (w, p, bid, ask, y) in time: one contract on p's side where it is as sure as tau; gain per
+    cost of each eligible decision and of each fill, their share, and the deepest fall below the best so far (or 0)."""
+    up, conf = F.col("p") >= 0.5, confidence(F.col("p"))
+    ask = side_ask(up)
+    cost = ask + S.fee_continuous(ask)
+    taken = F.coalesce((conf >= tau) & ask.isNotNull(), F.lit(False))
+    gain = F.when(~taken, 0.0).when(up == (F.col("y") == 1), (100 - cost) / cost).otherwise(-1.0)
+    run = Window.partitionBy("k").orderBy("w").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = decisions.withColumn("_taken", taken).withColumn("_gain", gain).withColumn("_sum", F.sum("_gain").over(run))
+    x = x.withColumn("_fall", F.col("_sum") - F.greatest(F.max("_sum").over(run), F.lit(0.0)))
+    fills = F.count(F.when(F.col("_taken"), 1))
+    return x.groupBy("k").agg(F.count("*").alias("n"), fills.alias("fills"), F.avg("_gain").alias("ev_per_eligible"), F.try_divide(F.sum("_gain"), fills).alias("gain_per_fill"), (fills / F.count("*")).alias("coverage"), F.min("_fall").alias("drawdown"))

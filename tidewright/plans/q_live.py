@@ -289,3 +289,51 @@ add(
     + f" FROM s GROUP BY 1), w AS (SELECT c.c_custkey AS k, CASE {_WHY} END AS why, view_v IN ('STALE', 'UNKNOWN') AS dull FROM customer c LEFT JOIN p ON p.k = c.c_custkey) "
     "SELECT k, CASE WHEN why IS NOT NULL THEN 'FREEZE' WHEN dull THEN 'DEGRADED' ELSE 'NORMAL' END AS state, coalesce(why, CASE WHEN dull THEN 'view is STALE' END) AS why FROM w",
 )
+
+
+def treatments(spark, d):
+    x = V.decisions_of(path(spark, d), 400.0)
+    return rounded(V.paired_treatments(V.treatments(x, ["p", "market"], lookback=10, floor=0.55)))
+
+
+_DECIDED = "dec AS (SELECT * FROM path WHERE lft <= 400 QUALIFY row_number() OVER (PARTITION BY k, w ORDER BY t, id) = 1)"
+_EV = "CASE WHEN ({0}) = (y = 1) THEN (100 - ({1}) - ceil(round(7::DOUBLE * (({1}) / 100) * (1 - ({1}) / 100), 9))) / (({1}) + ceil(round(7::DOUBLE * (({1}) / 100) * (1 - ({1}) / 100), 9))) ELSE -1 END::DOUBLE"
+
+
+def _arm_sql(arm: str) -> str:
+    a = f"a_{arm}"
+    return f"CASE WHEN {a} >= 5 AND {a} < 80 THEN {_EV.format(f'{arm} >= 0.5', a)} END AS e_{arm}"
+
+
+def _trail_sql(arm: str) -> str:
+    """The mean of the last twenty known values among all earlier ones, gathered in a list."""
+    past = f"list_filter(list(e_{arm}) OVER z, lambda e: e IS NOT NULL)"
+    return f"CASE WHEN len({past}) >= 5 THEN round(list_avg(({past})[-20:]), 9) END AS m_{arm}"
+
+
+_ASK = "CASE WHEN {0} >= 0.5 THEN 100 * market + 2.5 ELSE 100 * (1 - market) + 2.5 END::DOUBLE AS a_{0}"
+add(
+    "treatments",
+    treatments,
+    f"WITH {PATH}, {_DECIDED}, a AS (SELECT *, {_ASK.format('p')}, {_ASK.format('market')} FROM dec), e AS (SELECT *, {_arm_sql('p')}, {_arm_sql('market')}, {_EV.format('p >= 0.5', 'a_p')} AS bet, {_EV.format('market >= 0.5', 'a_market')} AS bet_market FROM a), "
+    f"m AS (SELECT *, {_trail_sql('p')}, {_trail_sql('market')}, CASE WHEN count(*) OVER y10 >= 10 THEN avg(((market >= 0.5) = (y = 1))::INTEGER) OVER y10 END AS regime FROM e WINDOW z AS (PARTITION BY k ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), y10 AS (PARTITION BY k ORDER BY w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)), "
+    "g AS (SELECT *, coalesce(regime < 0.55::DOUBLE, false) AS bad, abs(market - 0.5) < 0.1 AS near FROM m), "
+    "s AS (SELECT k, bet AS champion, CASE WHEN NOT bad THEN bet END AS regime, CASE WHEN NOT near THEN bet END AS knife, CASE WHEN a_p <= 51 THEN bet END AS cheap, CASE WHEN NOT bad AND NOT near THEN bet END AS \"both\", "
+    "CASE WHEN m_p IS NULL AND m_market IS NULL THEN NULL WHEN m_p IS NULL OR m_market > m_p THEN bet_market ELSE bet END AS leader FROM g), "
+    "u AS (" + " UNION ALL ".join(f"SELECT k, '{n}' AS policy, \"{n}\" AS ev, champion AS c FROM s" for n in ("champion", "regime", "knife", "cheap", "both", "leader")) + ") "
+    f"SELECT k, policy, count(*) AS windows, count(ev) AS bets, {r('avg(ev)')} AS ev, {r('avg(coalesce(ev, 0) - coalesce(c, 0))')} AS difference FROM u GROUP BY 1, 2",
+)
+
+
+def economic_replay(spark, d):
+    return rounded(V.economic_replay(V.decisions_of(path(spark, d), 400.0), 0.7))
+
+
+_COST = f"({_SIDE.format('p >= 0.5', '')})"
+add(
+    "economic_replay",
+    economic_replay,
+    f"WITH {PATH}, {_DECIDED}, c AS (SELECT *, {_COST} + 7::DOUBLE * ({_COST} / 100) * (1 - {_COST} / 100) AS cost, greatest(p, 1 - p) >= 0.7 AS taken FROM dec), g AS (SELECT *, CASE WHEN NOT taken THEN 0 WHEN (p >= 0.5) = (y = 1) THEN (100 - cost) / cost ELSE -1 END AS gain FROM c), "
+    "h AS (SELECT *, sum(gain) OVER (PARTITION BY k ORDER BY w) AS run FROM g), f AS (SELECT *, run - greatest(max(run) OVER (PARTITION BY k ORDER BY w), 0) AS fall FROM h) "
+    f"SELECT k, count(*) AS n, count(*) FILTER (taken) AS fills, {r('avg(gain)')} AS ev_per_eligible, {r('sum(gain) / nullif(count(*) FILTER (taken), 0)')} AS gain_per_fill, {r('count(*) FILTER (taken) / count(*)')} AS coverage, {r('min(fall)')} AS drawdown FROM f GROUP BY 1",
+)
