@@ -1,4 +1,4 @@
-"""The SQL of operators 3, 5, 7 and 10 against the operators, on awkward rows."""
+"""The SQL of operators 3, 5, 7, 10, 11 and 12 against the operators, on awkward rows."""
 
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ def check(frame, sql, **tables):
         con.register(name, rows)
     expected, got = con.sql(sql).df(), frame.toPandas()
     assert sorted(got.columns) == sorted(expected.columns)
-    plain = lambda df: sorted((tuple(None if pd.isna(v) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
+    one = lambda v: None if pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    plain = lambda df: sorted((tuple(map(one, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
     assert plain(got) == plain(expected)
 
 
@@ -58,3 +59,17 @@ def test_url_oracle_with_odd_links(spark):
     got = filter_urls(pages)
     check(got.drop("component"), oracles.url_filter(), pages=pd.DataFrame(rows, columns=["page_id", "url", "html"]))
     assert [r.page_id for r in got.where("verdict = 'block'").orderBy("page_id").collect()] == [0, 1, 4, 20, 21]
+
+
+def test_copies_oracle(spark):
+    from tidewright.llm import oracles
+    from tidewright.llm.digest_index import drop_copies
+
+    plain = documents(seed=6, n=60)
+    rows = plain + [(i + 200, t.replace(" ", "\t \n") if t else t) for i, t in plain[:30]] + plain[:5] + [(-5, "same here"), (400, "same\x0bhere"), (None, "same here"), (None, "alone"), (None, "alone"), (401, " "), (402, "")]
+    rows += [(k, "hot " * 50) for k in range(1000, 1400)]
+    docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], "doc_id long, text string, digest string, row string, kept string").repartition(7)
+    con = pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    for arrivals in (1, 2, 5):
+        check(drop_copies(docs, arrivals=arrivals), oracles.copies(), documents=con)
+    assert drop_copies(docs.limit(0)).count() == 0

@@ -90,9 +90,17 @@ parts AS (SELECT page_id, url, lower(regexp_extract(url, '(?s)://([^/?#]*)', 1))
 SELECT page_id, host, path, {name} AS rule, coalesce({verdict}, alias.v, 'allow') AS verdict FROM parts LEFT JOIN alias ON alias.node = {_node('url')}"""
 
 
+def copies() -> str:
+    return r"""
+WITH docs AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM docs WINDOW w AS (PARTITION BY t ORDER BY doc_id NULLS LAST)"""
+
+
 ORACLE_SQL = {
     "op3_decontamination": decontamination(),
     "op5_relative_lz": repeats(),
     "op7_shingle_join": shingle_components(),
     "op10_url_filter": url_filter(),
+    "op11_digest_index": copies(),
 }

@@ -71,4 +71,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).drop("component")
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_secret_scan, op3_decontamination, op4_importance_resampling, op5_relative_lz, op6_template_extraction, op7_shingle_join, op8_curve_packing, op9_byte_shards, op10_url_filter)}
+def op11_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .digest_index import drop_copies
+
+    return drop_copies(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_secret_scan, op3_decontamination, op4_importance_resampling, op5_relative_lz, op6_template_extraction, op7_shingle_join, op8_curve_packing, op9_byte_shards, op10_url_filter, op11_digest_index)}
