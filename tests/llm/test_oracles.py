@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -73,3 +74,55 @@ def test_copies_oracle(spark):
     for arrivals in (1, 2, 5):
         check(drop_copies(docs, arrivals=arrivals), oracles.copies(), documents=con)
     assert drop_copies(docs.limit(0)).count() == 0
+
+
+def term_rows(seed=0, n=160):
+    import random
+
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdeABé") for _ in range(r.randint(1, 4))) for _ in range(60)]
+    rows = [(k % 140, " ".join(r.choice(words) + r.choice(["", ",", "7", "_x"]) for _ in range(r.randint(0, 40))), r.choice(["en", "en", "en", "de", None, ""]), r.choice(["s1", "s1", "s1", "s2", "s3", None, "Ünï"])) for k in range(n)]
+    return rows + rows[:5] + [(900, None, "en", "empty"), (901, "1 2 3", "en", "s9"), (902, "only here", "xx", "a"), (903, None, "xx", "b"), (904, "only twice", "xx", "c"), (None, "K aé AÉ K", "en", "s2")]
+
+
+def test_divergence_oracle(spark):
+    from tidewright.llm import oracles
+    from tidewright.llm.source_terms import divergence
+
+    for seed in (0, 1):
+        rows = term_rows(seed)
+        docs = spark.createDataFrame([(*x, "clash", 1) for x in rows], "doc_id long, text string, lang string, source string, term string, p long").repartition(5)
+        for top, least in ((200, 3), (4, 1)):
+            check(divergence(docs, top=top, least_docs=least), oracles.divergence(least, top), documents=pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]))
+    assert divergence(docs.limit(0)).count() == 0
+
+
+def test_divergence_in_small_blocks(spark, monkeypatch):
+    """What is held and handed on in pieces gives the same sums, with more sources than a block takes."""
+    import pyarrow as pa
+
+    from tidewright.llm import source_terms as st
+
+    r = np.random.Generator(np.random.PCG64(0))
+    rows = [(lang, term, f"s{s}", int(x), 5) for lang in "ab" for term in "tuvw" for s, x in enumerate(r.integers(5, 10**9, 30)) if term != "u" or s < 7]
+    table = pa.Table.from_pylist([dict(zip(("lang", "term", "source", "p", "p0"), x, strict=True)) for x in rows])
+
+    def sums():
+        out: dict = {}
+        for b in st.pair_runs(iter(table.to_batches(max_chunksize=11))):
+            for x in b.to_pylist():
+                k = (x["lang"], x["source"], x["item"])
+                out[k] = out.get(k, 0) + x["value"]
+        return out
+
+    whole = sums()
+    monkeypatch.setattr(st, "BLOCK", 64)
+    monkeypatch.setattr(st, "HELD_ENTRIES", 50)
+    assert sums() == whole and len(whole) == 2 * 30 * 29
+    docs = [pa.RecordBatch.from_pylist([{"lang": "en", "source": f"s{i % 3}", "text": f"a b{i} a c"} for i in range(20)])]
+    got: dict = {}
+    for b in st.count_terms(iter(docs * 3)):
+        for x in b.to_pylist():
+            k = (x["term"], x["source"])
+            got[k] = tuple(map(sum, zip(got.get(k, (0, 0)), (x["docs"], x["uses"]), strict=True)))
+    assert got[("a", "s0")] == (21, 42) and got[("c", "s1")] == (21, 21) and got[("b", "s2")] == (18, 18)

@@ -97,10 +97,33 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM docs WINDOW w AS (PARTITION BY t ORDER BY doc_id NULLS LAST)"""
 
 
+def divergence(least: int = 3, top: int = 200) -> str:
+    terms = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+    share = lambda c, n: f"(1 + 1000000000::HUGEINT * ({c} + 1) // ({n} + v))"
+    f = lambda p, q: f"(({p} - {q}) * ({p} - {q}) // {q})"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, {terms}) AS w FROM documents),
+uses AS (SELECT i, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS c FROM uses GROUP BY 1, 2 HAVING count(DISTINCT i) >= {least}),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM uses SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+totals AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM counts GROUP BY 1, 2),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.c AS lang_c, {share("coalesce(c.c, 0)", "coalesce(t.n, 0)")} AS p, {share("k.c", "l.n")} AS q
+          FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c USING (lang, source, term) LEFT JOIN totals t USING (lang, source)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum({f("a.p", "b.p")})::BIGINT AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, {f("p", "q")}::BIGINT FROM dense WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {top}"""
+
+
 ORACLE_SQL = {
     "op3_decontamination": decontamination(),
     "op5_relative_lz": repeats(),
     "op7_shingle_join": shingle_components(),
     "op10_url_filter": url_filter(),
     "op11_digest_index": copies(),
+    "op12_source_divergence": divergence(),
 }

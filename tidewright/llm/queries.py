@@ -77,4 +77,33 @@ def op11_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_secret_scan, op3_decontamination, op4_importance_resampling, op5_relative_lz, op6_template_extraction, op7_shingle_join, op8_curve_packing, op9_byte_shards, op10_url_filter, op11_digest_index)}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_terms import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """documents with a tenth of the texts made periodic from some word on, as the query's contract says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    periodic = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), again), F.lit(1), n), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op13_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import find_runs, longest_run, runs_digest
+
+    found = find_runs(with_periods(table(spark, sf_dir, "documents"))).withColumn("best", longest_run())
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), runs_digest().alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_secret_scan, op3_decontamination, op4_importance_resampling, op5_relative_lz, op6_template_extraction, op7_shingle_join, op8_curve_packing, op9_byte_shards, op10_url_filter, op11_digest_index, op12_source_divergence, op13_harmonic_runs)}

@@ -86,6 +86,14 @@ def schema_with(df: DataFrame, columns: list[str], more: str) -> T.StructType:
     return T.StructType([df.schema[c] for c in columns] + T.StructType.fromDDL(more).fields)
 
 
+def looked_up(rows: DataFrame, groups: DataFrame, on: list[str], by: list[str], spread: int = 64) -> DataFrame:
+    """rows joined with groups on some columns, where one key may hold any share of the rows: groups are repeated over
+    `spread` more keys, over which rows are dealt by a hash of other columns. groups should be much the smaller."""
+    dealt = rows.withColumn("_spread", F.pmod(F.xxhash64(*on, *by), F.lit(spread)).cast("int"))
+    repeated = groups.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return dealt.join(repeated, [*on, "_spread"]).drop("_spread")
+
+
 def in_order(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     """Adds for each row the exclusive prefix sum of some columns in a total order; `sums` names new column -> column.
 
