@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidewright.operators import bars as B
 from tidewright.operators import bitemporal as Bi
+from tidewright.sources import candles as C
 from tidewright.sources import tables as T
+from tidewright.sources.store import BarStore
+from tidewright.streaming.streams import shared_path
 
 from .registry import add
 from .shaping import r, rounded
@@ -61,3 +66,20 @@ add(
     f"WITH v AS (SELECT o_orderdate::TIMESTAMP AS e, max(o_totalprice) AS v FROM orders GROUP BY 1), d AS (SELECT o_orderkey AS id, o_orderdate::TIMESTAMP AS t FROM orders), "
     f"j AS (SELECT t, list(v ORDER BY e DESC) AS x FROM (SELECT DISTINCT t FROM d) JOIN v ON e + INTERVAL 1 DAY <= t AND e >= t - INTERVAL 30 DAYS GROUP BY t) SELECT id, coalesce(len(x) >= 2, false) AS x_present, CASE WHEN len(x) >= 2 THEN {r('x[1]')} END AS x_value, CASE WHEN len(x) >= 2 THEN {r('x[1] - x[2]')} END AS x_change FROM d LEFT JOIN j USING (t)",
 )
+
+_FROM, _TO = "2024-01-03 00:00:00", "2024-01-24 12:00:00"
+
+
+def gap_filled_bars(spark, d):
+    """Hourly bars of every key, of which the store has two days in three and the rest is fetched by its gaps."""
+    at = shared_path(spark)
+    bars = T.hourly(spark, d).select("k", "t", "o", "h", "l", "c", "v").where(B.is_valid())
+    C.record(bars, f"{at}/remote")
+    store = BarStore(spark, f"{at}/store")
+    store.upsert(bars.where((F.dayofyear("t") % 3 != 0) & (F.col("t") >= F.lit(_FROM).cast("timestamp_ntz"))), "1h")
+    local = C.LocalFirst(store, C.RecordedCandles, "1h", 60, f"{at}/asked", recorded=f"{at}/remote", page_minutes="2880")
+    got = local.get(bars.select("k").distinct(), F.lit(_FROM).cast("timestamp_ntz"), F.lit(_TO).cast("timestamp_ntz"), dt.datetime(2030, 1, 1))
+    return rounded(got.select("k", "t", "o", "h", "l", "c", "v"))
+
+
+add("gap_filled_bars", gap_filled_bars, f"WITH {T.BARS} SELECT k, t, {r('o')} AS o, {r('h')} AS h, {r('l')} AS l, {r('c')} AS c, {r('v')} AS v FROM bars WHERE t BETWEEN TIMESTAMP '{_FROM}' AND TIMESTAMP '{_TO}'")
