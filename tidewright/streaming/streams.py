@@ -35,18 +35,28 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) ->
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the query over all that is available. Each batch goes to a folder of its own, written anew on a retry, so
-    results are exactly once; in complete mode the last batch holds everything."""
+def run_into(stream: DataFrame, mode: str, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Runs the query over all that is available, from where an earlier run into `path` ended; its result so far, and
+    the number of batches of this run and of rows that state dropped as late.
+
+    Each batch goes to a folder of its own, written anew on a retry, so results are exactly once; in complete mode the
+    last batch holds everything.
+    """
     spark = stream.sparkSession
-    path = shared_path(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number if mode == 'append' else 0}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out/batch=*")
+    said = query.recentProgress
+    dropped = sum(s.get("numRowsDroppedByWatermark", 0) for p in said for s in p["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(f"{path}/out/batch=*"), {"batches": len(said), "dropped": dropped}
+
+
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """The result of a run from the beginning over all that is available."""
+    return run_into(stream, mode, shared_path(stream.sparkSession))[0]
 
 
 def tumbling(events: DataFrame, width: str, late: str) -> DataFrame:
