@@ -49,24 +49,67 @@ def nearest_above(swung: DataFrame, bars: int = 200, side: int = 5) -> DataFrame
     return swung.withColumn("above", F.array_min(F.filter(seen, lambda h: h > F.col("c"))))
 
 
-def trouble_score(rows: DataFrame) -> DataFrame:
-    """Scores a candidate (entry, stop, expected, above: the nearest level above, relative_volume, regime, confidence)
-    against the first trouble ahead, with every reason to refuse it."""
-    distance = F.coalesce(F.col("above") - F.col("entry"), F.col("target") - F.col("entry"))
-    reward = F.greatest(F.abs(F.col("expected")) * F.col("entry"), 0.8 * distance)
-    rr = F.try_divide(reward, F.col("entry") - F.col("stop"))
-    structure = F.when(F.col("trend") == "uptrend", 0.8).when(F.col("trend") == "ranging", 0.5).when(F.col("trend") == "downtrend", 0.2).otherwise(0.4)
-    volume = clamp(F.col("relative_volume") / 2, 0.0, 1.0)
-    calm = F.when(F.col("regime") == "extreme", 0.1).when(F.col("regime") == "high", 0.5).otherwise(0.9)
-    score = 0.35 * clamp(rr / 3, 0.0, 1.0) + 0.25 * structure + 0.2 * F.col("confidence") + 0.15 * volume + 0.05 * calm
-    reasons = F.array_compact(F.array(F.when(rr < 1.0, "RR_TOO_LOW"), F.when(distance < 0.5 * F.col("atr"), "TOO_CLOSE"), F.when(F.col("regime") == "extreme", "VOLATILITY"), F.when(F.col("relative_volume") < 0.3, "LIQUIDITY")))
-    out = rows.withColumn("fta_rr", rr).withColumn("score", score).withColumn("reasons", reasons)
+def nearest_below(swung: DataFrame, bars: int = 200, side: int = 5) -> DataFrame:
+    """Adds below: the greatest swing low below the close, as nearest_above."""
+    seen = F.collect_list(F.when(F.col("swing_low"), F.col("l"))).over(in_time().rowsBetween(-bars, -side))
+    return swung.withColumn("below", F.array_max(F.filter(seen, lambda x: x < F.col("c"))))
+
+
+def sided_candidates(bars: DataFrame, stop_atr: float = 1.5) -> DataFrame:
+    """A candidate on the side of the expected return (side: long or short) for each bar with an atr, entered at the
+    close, with a stop some atr away; none where the stop would not be a price."""
+    long = F.col("expected") > 0
+    out = bars.where((F.col("atr") > 0) & (F.col("expected") != 0)).withColumn("side", F.when(long, "long").otherwise("short")).withColumn("entry", F.col("c"))
+    return out.withColumn("stop", F.col("c") - F.when(long, stop_atr).otherwise(-stop_atr) * F.col("atr")).where("stop > 0")
+
+
+def trend_strength() -> Column:
+    """The share of the last swings that follow the trend, from higher_highs and higher_lows of trend()."""
+    up = (F.col("higher_highs") + F.col("higher_lows")) / 2
+    return F.when(F.col("trend") == "uptrend", up).when(F.col("trend") == "downtrend", 1 - up).when(F.col("trend") == "ranging", F.greatest(up, 1 - up)).otherwise(0.0)
+
+
+#: Reasons to refuse a candidate, in order.
+REFUSALS = ("REWARD_RISK_BELOW_THRESHOLD", "FTA_NOT_CLEARED", "WEAK_STRUCTURE", "POOR_LIQUIDITY", "UNSUITABLE_VOLATILITY", "INSUFFICIENT_FTA_DISTANCE")
+
+
+def trouble_score(rows: DataFrame, least_rr: float = 2.0, least_distance: float = 0.005) -> DataFrame:
+    """Scores a candidate on either side against the first trouble ahead, with every reason to refuse it.
+
+    Rows have side, entry, stop, expected (return), above and below (the far edges of the nearest zones, null if there
+    are none: then 10 % away), trend, strength, last_break (bullish, bearish or null), relative_volume, spread_estimate,
+    atr and regime. Adds trouble, distance (a share of the entry), reward_risk, structure_score, liquidity_score,
+    volatility_ok, cleared (does the expected price pass the trouble by least_distance?), score, reasons, accepted.
+    """
+    long = F.col("side") == "long"
+    entry, sign = F.col("entry"), F.when(long, 1.0).otherwise(-1.0)
+    trouble = F.when(long, F.coalesce("above", entry * 1.10)).otherwise(F.coalesce("below", entry * 0.90))
+    out = rows.withColumn("trouble", trouble)
+    gap = sign * (F.col("trouble") - entry)
+    risk = F.abs(entry - F.col("stop"))
+    reward = F.greatest(entry * F.abs("expected"), 0.8 * gap)
+    out = out.withColumn("distance", gap / entry).withColumn("reward_risk", F.when(risk > 0, F.try_divide(reward, risk)).otherwise(0.0))
+    along = F.when(F.col("trend") == F.when(long, "uptrend").otherwise("downtrend"), 1.0).when(F.col("trend") == "ranging", 0.4).when(F.col("trend").isin("uptrend", "downtrend"), 0.1).otherwise(0.2)
+    broke = F.when(F.col("last_break").isNull(), 0.0).when((F.col("last_break") == "bullish") == long, 0.2).otherwise(-0.2)
+    out = out.withColumn("structure_score", clamp(0.5 * along + 0.3 * F.coalesce("strength", F.lit(0.0)) + 0.2 * broke, 0.0, 1.0))
+    volume = F.least(F.coalesce("relative_volume", F.lit(0.0)) / 2, F.lit(1.0))
+    wide = (F.col("spread_estimate") > 0) & (F.col("atr") > 0) & (F.col("spread_estimate") > 0.05 * F.col("atr"))
+    out = out.withColumn("liquidity_score", volume * F.when(wide, 0.7).otherwise(1.0))
+    atr_share = F.coalesce(F.try_divide(F.col("atr"), entry), F.lit(0.0))
+    out = out.withColumn("volatility_ok", F.col("regime").isin("low", "normal") & (atr_share <= 0.05))
+    margin = sign * (entry * (1 + F.col("expected")) - F.col("trouble")) / entry
+    out = out.withColumn("cleared", (sign * F.col("expected") > 0) & (margin > least_distance))
+    holds = (F.col("reward_risk") < least_rr, ~F.col("cleared"), F.col("structure_score") < 0.35, F.col("liquidity_score") < 0.25, ~F.col("volatility_ok"), F.col("distance") < least_distance)
+    score = 0.35 * F.least(F.col("reward_risk") / 4, F.lit(1.0)) + 0.25 * F.col("cleared").cast("double") + 0.2 * F.col("structure_score") + 0.15 * F.col("liquidity_score") + 0.05 * F.col("volatility_ok").cast("double")
+    out = out.withColumn("score", score).withColumn("reasons", F.array_compact(F.array(*(F.when(c, name) for c, name in zip(holds, REFUSALS, strict=True)))))
     return out.withColumn("accepted", F.size("reasons") == 0)
 
 
-def probability(score: Column, confidence: Column, volume: Column) -> Column:
-    """A heuristic chance: a weighted sum, clipped."""
-    return clamp(0.5 * score + 0.3 * confidence + 0.2 * clamp(volume / 2, 0.0, 1.0), 0.0, 1.0)
+def probability(confidence: Column, reward_risk: Column, strength: Column, volume: Column, regime: Column) -> Column:
+    """A heuristic chance: a weighted sum of five parts, clipped. Of regimes low counts most, extreme not at all."""
+    level = F.when(regime == "low", 0.0).when(regime == "high", 2.0).when(regime == "extreme", 3.0).otherwise(1.0)
+    parts = 0.35 * confidence + 0.25 * F.least(reward_risk / 4, F.lit(1.0)) + 0.2 * strength + 0.1 * F.least(volume / 2, F.lit(1.0)) + 0.1 * (1 - level / 3)
+    return clamp(parts, 0.0, 1.0)
 
 
 #: Families of words, in order of precedence.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewright.operators import asof as J
 from tidewright.operators import bars as B
 from tidewright.operators import folds as X
 from tidewright.operators import structure as Z
@@ -51,11 +52,14 @@ add(
 
 
 def _scored(spark, d):
-    b = Z.nearest_above(W.liquidity(W.swings(T.hourly(spark, d))))
-    b = X.atr_regime(X.wilder_atr(b))
-    b = X.statistical_forecast(b)
-    c = Z.candidates(b).join(W.trend(b).select("k", "trend"), "k")
-    return Z.trouble_score(c)
+    b = Z.nearest_below(Z.nearest_above(W.liquidity(W.swings(T.hourly(spark, d)))))
+    b = X.statistical_forecast(X.atr_regime(X.wilder_atr(b)))
+    swung, trends, broken = _structure(spark, d)
+    c = Z.sided_candidates(b).withColumn("spread_estimate", F.when(F.col("v") == 0, 0.0).otherwise(0.1 * (F.col("h") - F.col("l"))))
+    c = c.join(trends.withColumn("strength", Z.trend_strength()).select("k", "trend", "strength"), "k")
+    up = F.col("direction") == "bullish"
+    c = J.as_of(c, broken.select("k", "t", up.cast("long").alias("id"), up.cast("double").alias("up")), "up", prefix="break")
+    return Z.trouble_score(c.withColumn("last_break", F.when(F.col("break_value") == 1, "bullish").when(F.col("break_value") == 0, "bearish")))
 
 
 def trade_candidates(spark, d):
@@ -75,12 +79,35 @@ add(
 
 
 def candidate_scores(spark, d):
-    """The whole chain from bars to an accepted or refused candidate."""
+    """The whole chain from bars to an accepted or refused candidate on either side."""
     x = _scored(spark, d)
-    return x.select("k", "t", F.round("score", 6).alias("score"), F.concat_ws("|", "reasons").alias("reasons"), "accepted", F.round(Z.probability(F.col("score"), F.col("confidence"), F.col("relative_volume")), 6).alias("p"))
-
-
-add("candidate_scores", candidate_scores)
+    p = Z.probability(F.col("confidence"), F.col("reward_risk"), F.col("strength"), F.col("relative_volume"), F.col("regime"))
+    return rounded(x.select("k", "t", "side", "trouble", "distance", "reward_risk", "structure_score", "liquidity_score", "volatility_ok", "cleared", "score", F.concat_ws("|", "reasons").alias("reasons"), "accepted", p.alias("p")))
+
+
+_Q = lambda q: f"list_aggregate(rx, 'quantile_cont', {q})"
+_CHAIN = (
+    f"{BREAKS}, {ATR}, {_FORECAST}, rg AS (SELECT k, t, atr, list(atr) FILTER (atr IS NOT NULL) {_last(50)} AS rx FROM atrs), "
+    f"rgs AS (SELECT k, t, atr, CASE WHEN rx IS NULL OR len(rx) < 50 OR atr IS NULL THEN 'normal' WHEN atr >= {_Q(0.9)} THEN 'extreme' WHEN atr >= {_Q(0.75)} THEN 'high' WHEN atr <= {_Q(0.25)} THEN 'low' ELSE 'normal' END AS regime FROM rg), "
+    f"lq AS (SELECT k, t, h, l, v, v / nullif(avg(v) {_last(20)}, 0) AS rv FROM bars), "
+    "ab AS (SELECT k, t, c, list(CASE WHEN swing_high THEN h END) OVER w AS hs, list(CASE WHEN swing_low THEN l END) OVER w AS ls FROM swung WINDOW w AS (PARTITION BY k ORDER BY t ROWS BETWEEN 200 PRECEDING AND 5 PRECEDING)), "
+    "fc AS (SELECT z.*, list_sum(list_transform(y.rt, lambda v: v * v)) / len(y.rt) AS m2, list_sum(y.rt) / len(y.rt) AS m1 FROM fz z JOIN fy y ON y.k = z.k AND y.t = z.t WHERE len(y.x) >= 32), "
+    "cf AS (SELECT k, t, c, (e + s) / 2 AS expected, greatest(0.05, least(0.95, coalesce(abs((e + s) / 2) / nullif(sqrt(greatest(m2 - m1 * m1, 0)) * sqrt(5), 0), 0))) * CASE WHEN sign(e) * sign(s) < 0 THEN 0.6 ELSE 1 END AS confidence FROM fc), "
+    "cd AS (SELECT cf.*, atr, regime, rv, CASE WHEN v = 0 THEN 0 ELSE 0.1 * (h - l) END AS spread, CASE WHEN expected > 0 THEN 1.0 ELSE -1.0 END AS sg, list_min(list_filter(hs, lambda x: x > cf.c)) AS above, list_max(list_filter(ls, lambda x: x < cf.c)) AS below FROM cf JOIN rgs USING (k, t) JOIN lq USING (k, t) JOIN ab ON ab.k = cf.k AND ab.t = cf.t WHERE atr > 0 AND expected <> 0 AND cf.c - CASE WHEN expected > 0 THEN 1.5 ELSE -1.5 END * atr > 0), "
+    "tr AS (SELECT ts.k, trend, CASE trend WHEN 'uptrend' THEN (hh + hl) / 2 WHEN 'downtrend' THEN 1 - (hh + hl) / 2 WHEN 'ranging' THEN greatest((hh + hl) / 2, 1 - (hh + hl) / 2) ELSE 0 END AS strength FROM ts JOIN trends USING (k)), "
+    "lb AS (SELECT cd.k, cd.t, arg_max(direction, (b.t, direction)) AS last FROM cd JOIN broken b ON b.k = cd.k AND b.t <= cd.t GROUP BY 1, 2), "
+    "c1 AS (SELECT cd.*, trend, strength, last, CASE WHEN sg > 0 THEN coalesce(above, c * 1.1) ELSE coalesce(below, c * 0.9) END AS trouble FROM cd JOIN tr USING (k) LEFT JOIN lb ON lb.k = cd.k AND lb.t = cd.t), "
+    "c2 AS (SELECT *, sg * (trouble - c) / c AS distance, greatest(c * abs(expected), 0.8 * sg * (trouble - c)) / (1.5 * atr) AS rr, greatest(0, least(1, 0.5 * CASE WHEN trend = CASE WHEN sg > 0 THEN 'uptrend' ELSE 'downtrend' END THEN 1.0 WHEN trend = 'ranging' THEN 0.4 WHEN trend = 'unknown' THEN 0.2 ELSE 0.1 END + 0.3 * strength + 0.2 * CASE WHEN last IS NULL THEN 0 WHEN (last = 'bullish') = (sg > 0) THEN 0.2 ELSE -0.2 END)) AS structure, "
+    "least(coalesce(rv, 0) / 2, 1) * CASE WHEN spread > 0 AND spread > 0.05 * atr THEN 0.7 ELSE 1 END AS liquid, regime IN ('low', 'normal') AND atr / c <= 0.05 AS calm, sg * (c * (1 + expected) - trouble) / c > 0.005 AS cleared FROM c1)"
+)
+_WHY = [f"CASE WHEN {c} THEN '{n}' END" for c, n in zip(("rr < 2", "NOT cleared", "structure < 0.35", "liquid < 0.25", "NOT calm", "distance < 0.005"), Z.REFUSALS, strict=True)]
+add(
+    "candidate_scores",
+    candidate_scores,
+    f"WITH {_CHAIN} SELECT k, t, CASE WHEN sg > 0 THEN 'long' ELSE 'short' END AS side, {r('trouble')} AS trouble, {r('distance')} AS distance, {r('rr')} AS reward_risk, {r('structure')} AS structure_score, {r('liquid')} AS liquidity_score, calm AS volatility_ok, cleared, "
+    f"{r('0.35 * least(rr / 4, 1) + 0.25 * cleared::INTEGER + 0.2 * structure + 0.15 * liquid + 0.05 * calm::INTEGER')} AS score, concat_ws('|', {', '.join(_WHY)}) AS reasons, NOT (rr < 2 OR NOT cleared OR structure < 0.35 OR liquid < 0.25 OR NOT calm OR distance < 0.005) AS accepted, "
+    f"{r(chr(10).join(['greatest(0, least(1, 0.35 * confidence + 0.25 * least(rr / 4, 1) + 0.2 * strength + 0.1 * least(rv / 2, 1) + 0.1 * (1 - CASE regime', *[f'WHEN {chr(39)}{n}{chr(39)} THEN {v}' for n, v in (('low', '0.0'), ('high', '2.0'), ('extreme', '3.0'))], 'ELSE 1.0 END / 3)))']))} AS p FROM c2",
+)
 
 
 def document_events(spark, d):

@@ -12,6 +12,7 @@ from pyspark.sql import types as Ty
 
 from tidewright.operators.bars import is_valid
 from tidewright.operators.ledger import last_wins
+from tidewright.operators.prefix import meet
 
 PARTS = ["k", "timeframe", "month"]
 COLUMNS = ["k", "timeframe", "month", "t", "o", "h", "l", "c", "v"]
@@ -130,9 +131,59 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append_new(spark: SparkSession, path: str, rows: DataFrame, schema: str, key: list[str]) -> None:
-    """Appends rows whose key is not there yet; rows repeated among the new are written once."""
+    """Appends rows whose key is not there yet, where null equals null; rows repeated among the new are written once."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fresh = rows.dropDuplicates(key)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        fresh = fresh.join(read_jsonl(spark, path, schema).select(*key), key, "left_anti")
+        fresh = meet(fresh, read_jsonl(spark, path, schema).select(*key), key, "left_anti")
     fresh.select(*spark.createDataFrame([], schema).columns).write.mode("append").json(path)
+
+
+class NewsStore:
+    """Articles as JSON lines by key and month of publication, each title and time once.
+
+    Rows have k, title, time_published (a timestamp) and the store's other columns. What is new meets the keys of its
+    own months alone: other months are not opened. Those keys are cut down to the ones that are among the new before the
+    new lose theirs, so that a month's articles are not shuffled where the new ones fit a broadcast, which Spark decides
+    by their size. Null titles and times are values like others; without a time the month is `unknown`.
+    """
+
+    KEY = ("k", "title", "time_published")
+
+    def __init__(self, spark: SparkSession, path: str, schema: str = "title string, time_published timestamp_ntz, url string, source string, summary string, score double, topics array<string>"):
+        self.spark, self.path, self.columns = spark, path, schema
+
+    def _exists(self) -> bool:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    def _read(self, schema: str | None = None) -> DataFrame:
+        rows = self.spark.read.schema(f"{schema or self.columns}, k string, month string").option("mode", "DROPMALFORMED")
+        return rows.json(self.path)
+
+    def add(self, rows: DataFrame) -> int:
+        """Stores what is new; how many articles that were."""
+        names = self.spark.createDataFrame([], self.columns).columns
+        month = F.coalesce(month_of(F.col("time_published")), F.lit("unknown"))
+        new = rows.select("k", *names, month.alias("month")).dropDuplicates(list(self.KEY))
+        if self._exists():
+            new = new.checkpoint()
+            months = [r.month for r in new.select("month").distinct().collect()]  # a calendar has few
+            there = self._read("title string, time_published timestamp_ntz").where(F.col("month").isin(months)).select(*self.KEY)
+            again = meet(there, new.select(*self.KEY), list(self.KEY), "left_semi").distinct()
+            new = meet(new, again, list(self.KEY), "left_anti")
+        new = new.checkpoint()
+        n = new.count()
+        if n:
+            new.repartition("k", "month").sortWithinPartitions("time_published", "title").write.mode("append").partitionBy("k", "month").json(self.path)
+        return n
+
+    def load(self, key: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
+        """Articles of a key from since to until, both included, the newest first; other months are not opened. With
+        either, articles without a time are left out. Lines that don't parse are."""
+        rows = self._read().where(F.col("k") == key)
+        for bound, low in ((since, True), (until, False)):
+            if bound is not None:
+                of, month = F.col("time_published"), F.col("month")
+                rows = rows.where((month >= month_of(bound)) & (of >= bound) if low else (month <= month_of(bound)) & (of <= bound))
+        return rows.orderBy(F.desc("time_published"), "title")
