@@ -333,13 +333,13 @@ add("paired_arms", paired_arms, f"WITH {T.BARS} SELECT a.t, a.c AS a, b.c AS b F
 
 def delivered_bars(spark, d):
     x = T.ticks(spark, d)
-    return J.delivered(x.where("size >= 50").select("k", "t", "id", "px"), T.hourly(spark, d), "10 minutes", "1 hour")
+    return J.delivered(x.select("k", "t", "id", "px"), T.hourly(spark, d), "10 minutes", "1 hour")
 
 
 add(
     "delivered_bars",
     delivered_bars,
-    f"WITH {T.BARS}, l AS (SELECT k, t, id, px FROM ticks WHERE size >= 50), b AS (SELECT k, t + INTERVAL 70 MINUTES AS t, c FROM bars) SELECT l.k, l.t, l.id, l.px, b.t AS bar_t, b.c AS bar_value FROM l ASOF LEFT JOIN b ON l.k = b.k AND l.t >= b.t",
+    f"WITH {T.BARS}, l AS (SELECT k, t, id, px FROM ticks), b AS (SELECT k, t + INTERVAL 70 MINUTES AS t, c FROM bars) SELECT l.k, l.t, l.id, l.px, b.t AS bar_t, b.c AS bar_value FROM l ASOF LEFT JOIN b ON l.k = b.k AND l.t >= b.t",
 )
 
 
@@ -410,10 +410,10 @@ add(
 
 def unseen_ids(spark, d):
     x = T.ticks(spark, d)
-    return J.not_seen(x.where("size >= 80").select("k", "t", "id"), x.where("taker_buy"), ["id"])
+    return J.not_seen(x.select("k", "t", "id"), x.where("taker_buy"), ["id"])
 
 
-add("unseen_ids", unseen_ids, f"WITH {T.TICKS} SELECT k, t, id FROM ticks WHERE size >= 80 AND NOT taker_buy")
+add("unseen_ids", unseen_ids, f"WITH {T.TICKS} SELECT k, t, id FROM ticks WHERE NOT taker_buy")
 
 
 def shared_slots(spark, d):
