@@ -112,7 +112,7 @@ def _decisions(spark, d):
 def supervised_rows(spark, d):
     """Bets and what might have been bet, parted by a cut with an embargo of two hours."""
     out = S.embargoed(S.supervised_set(*_decisions(spark, d)), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), "2 hours")
-    return rounded(out.select("ticker", "t", "label_t", *(F.col("x")[i].alias(f"x{i}") for i in range(15)), "y", "weight", "price", "real", "part"))
+    return rounded(out.select("ticker", "t", "label_t", *(F.col("x")[i].alias(f"x{i}") for i in range(15)), "y", "weight", "price", "real", "part"), 8)
 
 
 _W = f"{T.WINDOWS}, w AS (SELECT *, concat_ws('-', k, strftime(t, '%Y%m%d%H%M')) AS ticker, t + INTERVAL 15 MINUTES AS close_t, n % 15 + 0.5 AS m, p >= 0.5 AS up FROM windows)"
@@ -124,7 +124,7 @@ _XS = ["1.0", "ps", "price / 100", "(100 * ps - price) / 100", "least(greatest(m
 add(
     "supervised_rows",
     supervised_rows,
-    f"WITH {_ROWS} SELECT ticker, t, close_t AS label_t, " + ", ".join(f"round(({x})::DOUBLE, 6) AS x{i}" for i, x in enumerate(_XS)) + f", y, weight::DOUBLE AS weight, {r('price')} AS price, real, CASE WHEN t >= TIMESTAMP '2024-01-20' THEN 'test' WHEN close_t <= TIMESTAMP '2024-01-20' - INTERVAL 2 HOURS THEN 'train' END AS part FROM j",
+    f"WITH {_ROWS} SELECT ticker, t, close_t AS label_t, " + ", ".join(f"round(({x})::DOUBLE, 8) AS x{i}" for i, x in enumerate(_XS)) + f", y, weight::DOUBLE AS weight, {r('price', 8)} AS price, real, CASE WHEN t >= TIMESTAMP '2024-01-20' THEN 'test' WHEN close_t <= TIMESTAMP '2024-01-20' - INTERVAL 2 HOURS THEN 'train' END AS part FROM j",
 )
 
 
