@@ -315,3 +315,20 @@ def test_deep_pages_take_linear_time():
 
     seconds(1000)
     assert seconds(80_000) < 10 * seconds(20_000)
+
+
+def test_hostile_pages_take_linear_time():
+    """Whatever stays open, or never ends: a megabyte takes seconds."""
+    from tidewright.llm.page_template import read_page
+
+    n = 100_000
+    pages = {
+        "inline below blocks": "<b>" * n + "<hr>" * n, "tags without an end": "<a " * (3 * n), "ends of inline ones below others": "<i>" * n + "<b>" * n + "</i>" * n, "lists below others": "<x>" * n + "<li></li>" * n,
+        "a long name": "<" + "a" * (5 * n) + ' ">', "odd quotes": "<a \"'\">" * n + '<b "' * n, "comments": "<!--" * n, "lists in lists": "<td><li><option><dt>" * (n // 2), "brackets": "<" * (5 * n) + "</" * n,
+    }
+    for name, page in pages.items():
+        begin = time.process_time()
+        read_page(page)
+        assert time.process_time() - begin < 15, name
+    page = read_page("<i>a<b>b</i>c</b> <x><y><li>one<li>two</x><p>p<div>q")
+    assert [t for _, t in page.blocks] == ["abc", "one", "two", "p", "q"]

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .store import schema_with, written
 from .url_filter import host_of
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: Quantifiers don't give back what they took, so a match that fails costs no more than one pass over it.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: HTML's elements by kind.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -37,6 +38,7 @@ _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
 _ENDS_ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDS_LISTS = frozenset("ul ol dl table body article main section div nav".split())
+_ENDS = _HOLDS_LISTS.union(*_ENDS_ALIKE.values())
 #: Elements that are content rather than containers of it, and those of them that hold others.
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot caption figcaption pre blockquote figure details summary address".split())
 _LISTS = frozenset("ul ol dl table".split())
@@ -126,15 +128,19 @@ def _kind(tag: str, named: dict[str, str]) -> int:
 
 
 def read_page(page: str) -> Page:
-    """Elements and blocks of a page. Time and memory are linear in its length, however deep elements nest."""
+    """Elements and blocks of a page. Time and memory are linear in its length, whatever nests or stays open in it: open
+    elements are found by their places, of which there are lists by tag, of those that aren't inline, and of those that
+    an element of a list may end or stand in. Of the last there are few between two that hold lists."""
     nodes, blocks = [Node(-1, 0, PLAIN, "")], []
-    stack: list[tuple[str, int]] = []  # open elements, inline ones too, with the node around their text
-    open_: Counter[str] = Counter()
+    stack: list[tuple[str, int] | None] = []  # open elements and their nodes; None for inline ones closed below others
+    open_: defaultdict[str, list[int]] = defaultdict(list)  # their places by tag
+    solid: list[int] = []
+    ends: list[int] = []
     text: list[str] = []
     linked = 0
 
     def node() -> int:
-        return stack[-1][1] if stack else 0
+        return stack[solid[-1]][1] if solid else 0
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -155,12 +161,19 @@ def read_page(page: str) -> Page:
 
     def close(at: int) -> None:
         flush()
-        for tag, _ in stack[at:]:
-            open_[tag] -= 1
-        del stack[at:]
-
-    at = 0
+        while len(stack) > at:
+            if (last := stack.pop()) is not None:
+                open_[last[0]].pop()
+        for places in (solid, ends):
+            while places and places[-1] >= at:
+                places.pop()
+
+    at, last_end = 0, page.rfind(">")
     while at < len(page):
+        if at > last_end:  # no tag ends any more
+            comment = page.find("<!--", at)
+            add(page[at:comment] if comment >= 0 else page[at:])
+            break
         m = _TAG.search(page, at)
         if m is None:
             add(page[at:])
@@ -175,17 +188,12 @@ def read_page(page: str) -> Page:
             if not open_[tag]:
                 if tag not in _INLINE:
                     flush()
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag in _INLINE:
-                        open_[tag] -= 1
-                        del stack[k]
-                    else:
-                        close(k)
-                    break
-                if tag in _INLINE and stack[k][0] not in _INLINE:
-                    break
+            elif tag not in _INLINE:
+                close(open_[tag][-1])
+            elif not solid or solid[-1] < open_[tag][-1]:
+                stack[open_[tag].pop()] = None
+                while stack and stack[-1] is None:
+                    stack.pop()
             continue
         attributes = m[3] or m[6] or ""
         if tag in _RAW:
@@ -197,17 +205,13 @@ def read_page(page: str) -> Page:
             continue
         if tag in _INLINE:
             if tag not in _VOID and not attributes.endswith("/"):
+                open_[tag].append(len(stack))
                 stack.append((tag, node()))
-                open_[tag] += 1
             continue
         flush()
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == "p":
-                close(k)
-                break
-            if stack[k][0] not in _INLINE:
-                break
-        for k in range(len(stack) - 1, -1, -1) if tag in _ENDS_ALIKE else ():
+        if solid and stack[solid[-1]][0] == "p":
+            close(solid[-1])
+        for k in reversed(ends) if tag in _ENDS_ALIKE else ():
             if stack[k][0] in _ENDS_ALIKE[tag]:
                 close(k)
                 break
@@ -221,8 +225,11 @@ def read_page(page: str) -> Page:
             nodes[up].places[tag] += 1
         nodes.append(Node(up, number(name, nodes[up].token), kind, tag))
         if tag not in _VOID and not attributes.endswith("/"):
+            open_[tag].append(len(stack))
+            solid.append(len(stack))
+            if tag in _ENDS:
+                ends.append(len(stack))
             stack.append((tag, len(nodes) - 1))
-            open_[tag] += 1
     flush()
     for n in reversed(nodes[1:]):
         nodes[n.up].chars += n.chars
