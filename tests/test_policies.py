@@ -34,7 +34,7 @@ def test_each_policy(spark):
     got = evs(spark)
     assert list(got) == list(POLICIES)
     assert got == dict(champion=w[60.0], regime=w[60.0], knife=w[60.0], calibrated=None, cheap=None, both=w[60.0], shared=-1.0, shared_regime=-1.0, champion_paid=w[62.0], guard=w[62.0], guard_regime=w[62.0], limit=w[57.5], limit_regime=w[57.5], earner=w[60.0], edge_band=w[60.0])
-    bad = evs(spark, regime=0.5, market=0.55, ask_paid=63.5, p_cal=0.39, p=0.95, later=None)
+    bad = evs(spark, regime=0.5, market=0.55, ask_paid=63.5, p_cal=0.3, p=0.95, later=None)
     assert bad == dict(champion=w[60.0], regime=None, knife=None, calibrated=-1.0, cheap=None, both=None, shared=-1.0, shared_regime=None, champion_paid=round(won(63.5), 9), guard=None, guard_regime=None, limit=None, limit_regime=None, earner=w[60.0], edge_band=None)
     no = evs(spark, p=0.3, y=0, regime=None, market=None, ask_paid=None, p_cal=None, p_shared=None, p_earner=None, later=[])
     assert no["champion"] == no["cheap"] == no["regime"] == no["knife"] == no["both"] == w[45.0] and no["calibrated"] is no["shared"] is no["earner"] is no["limit"] is no["champion_paid"] is None
