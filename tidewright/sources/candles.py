@@ -23,6 +23,7 @@ from tidewright.operators.ledger import last_wins
 
 from .ingest import IngestLog
 from .retry import SourceError, retried
+from .scratch import checkpointed
 from .store import BarStore
 
 SCHEMA = "k string, t timestamp_ntz, o double, h double, l double, c double, v double, a timestamp_ntz, z timestamp_ntz, error string"
@@ -202,7 +203,7 @@ class LocalFirst:
         if not ranges:
             return {"ranges": 0, "bars": 0, "failed": 0}
         listed = json.dumps([[r.k, r.a.isoformat(), r.z.isoformat()] for r in ranges])
-        got = self.spark.read.format(self.source.name()).options(**self.options, ranges=listed).load().checkpoint()
+        got = checkpointed(self.spark.read.format(self.source.name()).options(**self.options, ranges=listed).load())
         bars = last_wins(got.where("error is null").where(is_valid()), ["k", "t"], [F.desc(c) for c in "vchlo"])
         failed = got.where("error is not null").select("k", "a", "z", "error")
         n, bad = bars.count(), failed.count()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators.bars import is_valid
 
+from .scratch import checkpointed
 from .store import BarStore
 
 LOG = "provider string, endpoint string, k string, timeframe string, request string, fetched_at timestamp_ntz, status string, n long, error string"
@@ -116,7 +117,7 @@ def ingest_files(store: BarStore, log: IngestLog, sources: dict[str, str], timef
         when = at_("timestamp")
         zoned = F.to_utc_timestamp(F.try_to_timestamp(when), F.current_timezone()).cast("timestamp_ntz")
         t = F.coalesce(F.when(when.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), zoned), when.try_cast("timestamp_ntz"))
-        bars = cells.select("k", t.alias("t"), *(at_(a).try_cast("double").alias(b) for a, b in zip(needs[1:], "ohlcv", strict=True))).dropna().where(is_valid()).checkpoint()
+        bars = checkpointed(cells.select("k", t.alias("t"), *(at_(a).try_cast("double").alias(b) for a, b in zip(needs[1:], "ohlcv", strict=True))).dropna().where(is_valid()))
         counts = {r.k: r.n for r in bars.groupBy("k").agg(F.count("*").alias("n")).collect() if r.k not in errors}
         errors |= {k: "no rows are left after cleaning" for k in roots if k not in counts and k not in errors}
         if counts:

@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame
 from tidewright.streaming.streams import shared_path
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder that spark.checkpoint.dir names; where that is unset and the master is
+    local, in a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_path(df.sparkSession))
+    return df.checkpoint()
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, written; it stays until forgotten()."""
     path = shared_path(df.sparkSession)

@@ -14,6 +14,8 @@ from tidewright.operators.bars import is_valid
 from tidewright.operators.ledger import last_wins
 from tidewright.operators.prefix import meet
 
+from .scratch import checkpointed
+
 PARTS = ["k", "timeframe", "month"]
 COLUMNS = ["k", "timeframe", "month", "t", "o", "h", "l", "c", "v"]
 
@@ -53,7 +55,7 @@ class BarStore:
             # themselves.
             touched = [r.month for r in months.select("month").distinct().collect()]
             old = self.read(tolerant=False).where(F.col("month").isin(touched)).join(months, PARTS, "left_semi")
-            new = merged(old, new, order).checkpoint()
+            new = checkpointed(merged(old, new, order))
         else:
             new = last_wins(new, ["k", "timeframe", "t"], order).select(*COLUMNS)
         writer = new.repartition(*PARTS).sortWithinPartitions("t").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -167,12 +169,12 @@ class NewsStore:
         month = F.coalesce(month_of(F.col("time_published")), F.lit("unknown"))
         new = rows.select("k", *names, month.alias("month")).dropDuplicates(list(self.KEY))
         if self._exists():
-            new = new.checkpoint()
+            new = checkpointed(new)
             months = [r.month for r in new.select("month").distinct().collect()]  # a calendar has few
             there = self._read("title string, time_published timestamp_ntz").where(F.col("month").isin(months)).select(*self.KEY)
             again = meet(there, new.select(*self.KEY), list(self.KEY), "left_semi").distinct()
             new = meet(new, again, list(self.KEY), "left_anti")
-        new = new.checkpoint()
+        new = checkpointed(new)
         n = new.count()
         if n:
             new.repartition("k", "month").sortWithinPartitions("time_published", "title").write.mode("append").partitionBy("k", "month").json(self.path)
