@@ -2,7 +2,8 @@
 
 Both steps are joins and minima, so a node of any degree is spread over tasks: minima are partly aggregated before
 the shuffle, and Spark's adaptive execution splits the edges of a hub in the joins, whose other side has one row for
-the hub. Each round's edges go to the shared folder.
+the hub. Each round's edges go to the shared folder, and those of the round before are deleted; the last belong to the
+result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = written(small.distinct())
+        before, now = now, written(small.distinct())
+        dropped(before)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
