@@ -39,4 +39,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import q_agents, q_bars, q_capture, q_context, q_decisions, q_desk, q_eval, q_execution, q_folds, q_journal, q_learning, q_ledger, q_levels, q_live, q_money, q_more, q_policies, q_reviews, q_sources, q_streams, q_structure  # noqa: F401
+    from . import q_agents, q_bars, q_battery, q_capture, q_context, q_decisions, q_desk, q_eval, q_execution, q_folds, q_journal, q_learning, q_ledger, q_levels, q_live, q_money, q_more, q_policies, q_reviews, q_sources, q_streams, q_structure  # noqa: F401
