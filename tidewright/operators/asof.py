@@ -94,6 +94,8 @@ def only_slots(rows: DataFrame, slots: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(slots.select(*key), key, "left_semi")
 
 
-def sweep(rows: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every row under every setting of a small grid, whose rows a caller lists in code."""
+def sweep(rows: DataFrame, grid: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every row under every setting of a small grid; one of more than `most` settings is refused, not broadcast."""
+    if grid.limit(most + 1).count() > most:
+        raise ValueError(f"a sweep takes {most} settings at most")
     return rows.join(F.broadcast(grid))

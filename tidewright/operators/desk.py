@@ -60,13 +60,13 @@ def recommend(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     """BUY, SELL or HOLD with the first gate that fails, after the thresholds of a row's risk profile, and a size.
 
     rows: profile, trades_today, accepted, score, rr, chance, confidence, expected, event, losing_streak, timeframe,
-    equity, entry, stop. profiles has PROFILE_COLUMNS and a row for each profile, a handful, so it is broadcast.
+    equity, entry, stop. profiles has PROFILE_COLUMNS and a row for each profile; Spark broadcasts it if it is small.
     Gates in order: trades of the day, the structural filter, its score, reward to risk, chance, confidence, events.
     The size risks a share of equity at the stop (1 % of the price without one), times the profile's factor for the
     timeframe, that for an event if it reduces, and less for each trade lost in a row, a tenth of it at least. Missing
     numbers count as 0.
     """
-    x = rows.join(F.broadcast(profiles), "profile")
+    x = rows.join(profiles, "profile")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     event = F.coalesce(F.col("event"), F.lit("none")) != "none"
     gate = first_of(
