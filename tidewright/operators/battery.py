@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 from pyspark.sql.window import Window
 
 from .evaluation import permutation_rows, rank_auc
@@ -53,10 +52,8 @@ def verdict(checks: DataFrame) -> DataFrame:
 
 
 #: An answer of a news service: articles with their topics and the sentiment towards each ticker, numbers as text.
-_FEED = Ty.StructType.fromDDL(
-    "feed array<struct<title: string, url: string, time_published: string, source: string, summary: string, overall_sentiment_score: string, overall_sentiment_label: string, topics: array<struct<topic: string>>, "
-    "ticker_sentiment: array<struct<ticker: string, relevance_score: string, ticker_sentiment_score: string, ticker_sentiment_label: string>>>>"
-)
+_SENTIMENTS = "array<struct<ticker: string, relevance_score: string, ticker_sentiment_score: string, ticker_sentiment_label: string>>"
+_FEED = f"feed array<struct<title: string, url: string, time_published: string, source: string, summary: string, overall_sentiment_score: string, overall_sentiment_label: string, topics: array<struct<topic: string>>, ticker_sentiment: {_SENTIMENTS}>>"
 
 
 def articles(payloads: DataFrame, column: str = "body") -> DataFrame:
@@ -70,7 +67,7 @@ def articles(payloads: DataFrame, column: str = "body") -> DataFrame:
     text = lambda c, other="": F.coalesce(F.col(f"a.{c}"), F.lit(other))
     score = F.when(F.col("a.overall_sentiment_score").isNull(), 0.0).otherwise(F.col("a.overall_sentiment_score").try_cast("double"))
     number = lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0))
-    named = F.filter(F.coalesce("a.ticker_sentiment", F.array().cast(_FEED["feed"].dataType.elementType["ticker_sentiment"].dataType)), lambda s: s.ticker.isNotNull())
+    named = F.filter(F.coalesce("a.ticker_sentiment", F.array().cast(_SENTIMENTS)), lambda s: s.ticker.isNotNull())
     tickers = F.transform(named, lambda s: F.struct(s.ticker.alias("ticker"), number(s.relevance_score).alias("relevance"), number(s.ticker_sentiment_score).alias("score"), F.coalesce(s.ticker_sentiment_label, F.lit("Neutral")).alias("label")))
     topics = F.array_compact(F.coalesce(F.transform("a.topics", lambda t: t.topic), F.array().cast("array<string>")))
     out = one.select("k", text("title").alias("title"), text("url").alias("url"), when.alias("time_published"), text("source").alias("source"), text("summary").alias("summary"), score.alias("score"), text("overall_sentiment_label", "Neutral").alias("label"), topics.alias("topics"), tickers.alias("tickers"))
