@@ -10,6 +10,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places, halves away from zero: of the scaled number, as engines of SQL round, not of its decimal text."""
+    return F.round(x * float(10**places)) / float(10**places)
+
+
 def or_default(x: Column, default: float) -> Column:
     """x, or the default where x is null or zero."""
     return F.coalesce(F.nullif(x, F.lit(0.0)), F.lit(default))

@@ -75,7 +75,7 @@ def first_touch(levels: DataFrame, bars: DataFrame, beyond: Column) -> DataFrame
 def touching(zones: DataFrame, bars: DataFrame, tolerance: float, weight: str | None = None) -> DataFrame:
     """For each zone (k, mid) how many bars come within tolerance of its middle, and their weight."""
     near = (F.abs(F.col("h") - F.col("mid")) <= tolerance * F.col("mid")) | (F.abs(F.col("l") - F.col("mid")) <= tolerance * F.col("mid"))
-    hits = zones.select("k", "mid").join(bars, "k").where(near)
+    hits = zones.select("k", "mid").distinct().join(bars, "k").where(near)
     counted = hits.groupBy("k", "mid").agg(F.count("*").alias("touches"), F.sum(F.lit(1.0) if weight is None else F.col(weight)).alias("strength"))
     return zones.join(counted, ["k", "mid"], "left").fillna({"touches": 0, "strength": 0.0})
 

@@ -98,14 +98,15 @@ def series(rows: DataFrame, values: list[str], *order: str) -> DataFrame:
 
 def price_zones(points: DataFrame, price: str, width: float = 0.002) -> DataFrame:
     """Sorted prices of a key fall into zones: a new one starts where a price is farther than `width` of the running
-    zone's mean from that mean. The mean moves as the zone grows, so this is a fold, not a gap rule."""
+    zone's mean from that mean. The mean moves as the zone grows, so this is a fold, not a gap rule. Nothing lies within
+    a share of a mean of 0, so each price of 0 is a zone of its own."""
     sorted_ = points.groupBy("k").agg(F.sort_array(F.collect_list(price)).alias("xs"))
     zone = "struct<total: double, n: bigint, lo: double, hi: double>"
     start = F.struct(F.array().cast(f"array<{zone}>").alias("done"), F.lit(None).cast(zone).alias("now"))
 
     def step(a: Column, p: Column) -> Column:
         mean = a["now"]["total"] / a["now"]["n"]
-        fits = a["now"].isNotNull() & (F.abs(p - mean) / mean <= width)
+        fits = F.coalesce(F.try_divide(F.abs(p - mean), mean) <= width, F.lit(False))
         fresh = F.struct(p.alias("total"), F.lit(1).cast("long").alias("n"), p.alias("lo"), p.alias("hi"))
         grown = F.struct((a["now"]["total"] + p).alias("total"), (a["now"]["n"] + 1).alias("n"), a["now"]["lo"].alias("lo"), p.alias("hi"))
         done = F.when(fits | a["now"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["now"]))
