@@ -62,7 +62,7 @@ class Received:
         return out
 
 
-def _features(rows: Received, t: np.ndarray, max_age: int, horizons: dict[str, int], steps: int) -> dict[str, np.ndarray]:
+def _features(rows: Received, t: np.ndarray, max_age: int, horizons: dict[str, int], steps: int, infinite: bool = False) -> dict[str, np.ndarray]:
     oldest = t - max_age
 
     def fresh(at: np.ndarray) -> np.ndarray:
@@ -80,7 +80,8 @@ def _features(rows: Received, t: np.ndarray, max_age: int, horizons: dict[str, i
         past = fresh(rows.upto(event(last) - span, t))
         base = value(np.where(past >= 0, past, last))
         with np.errstate(divide="ignore", invalid="ignore"):
-            out[f"ret_{name}"] = np.where(base != 0, 100 * (value(last) - base) / base, np.nan)
+            change = 100 * (value(last) - base) / base
+        out[f"ret_{name}"] = np.ma.masked_array(change, last < 0) if infinite else np.where(base != 0, change, np.nan)
     changes = np.full((steps, len(t)), np.nan)
     newer = last
     for i in range(steps):
@@ -95,13 +96,13 @@ def _features(rows: Received, t: np.ndarray, max_age: int, horizons: dict[str, i
     return out
 
 
-def exogenous(decisions: DataFrame, series: DataFrame, horizons: dict[str, str], max_age: str = "1 day", piece: str = "7 days", steps: int = 6, open_minutes: float = 10.0, prefix: str = "x") -> DataFrame:
+def exogenous(decisions: DataFrame, series: DataFrame, horizons: dict[str, str], max_age: str = "1 day", piece: str = "7 days", steps: int = 6, open_minutes: float = 10.0, prefix: str = "x", infinite: bool = False) -> DataFrame:
     """Decisions (k, t, ...) with features of an outside series (k, t: event time, received, value) as known at t.
 
     Only rows count whose event lies within `max_age` before t and which were received by t. {prefix}_t and
     {prefix}_value are the latest by event time; _staleness_min its age; _change its value less the one before; _ret_x
     for each of `horizons` its percent change on the latest row at or before that span earlier, on itself where there is
-    none; _vol the sample deviation of the last `steps` percent changes from row to row; _present whether there are two
+    none, null on a value of 0 (or what the division gives, infinite or NaN, if `infinite`); _vol the sample deviation of the last `steps` percent changes from row to row; _present whether there are two
     rows; _open whether the latest is under `open_minutes` old. Without two rows all but _present are null. A row of an
     event received again revises it from then on. Rows with a null time, receipt or value count as never received;
     decisions of a null time or key get no features.
@@ -126,8 +127,8 @@ def exogenous(decisions: DataFrame, series: DataFrame, horizons: dict[str, str],
         array = lambda t, c, kind: t.column(c).combine_chunks().cast(kind).to_numpy(zero_copy_only=False)
         held = Received(array(rows, "_t", pa.int64()), array(rows, "_r", pa.int64()), array(rows, "_v", pa.float64()))
         t = pc.fill_null(wanted.column("_t"), -(1 << 62)).combine_chunks().to_numpy(zero_copy_only=False)
-        found = _features(held, t, age, spans, steps)
-        return pa.Table.from_arrays([wanted.column("_row"), *(pa.array(found[n], from_pandas=True) for n in names)], ["_row", *(f"_{n}" for n in names)])
+        found = _features(held, t, age, spans, steps, infinite)
+        return pa.Table.from_arrays([wanted.column("_row"), *(pa.array(found[n]) if isinstance(found[n], np.ma.MaskedArray) else pa.array(found[n], from_pandas=True) for n in names)], ["_row", *(f"_{n}" for n in names)])
 
     out = asked.unionByName(known).groupBy("_k", "_piece").applyInArrow(features, schema)
     ok = F.col("_present")
