@@ -13,6 +13,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions import scalar as S
+
 #: Fields of four kinds of message. `flagged` tells by m that the buyer was the maker; `batched` has many
 #: trades and the taker's side; `nested` has arrays and one letter; `maker` names the maker's side, so the taker's is
 #: the other.
@@ -88,7 +90,7 @@ def by_minute(trades: DataFrame, width: str = "1 minute", tolerance: str = "2 se
     ahead = F.col("exchange_t") > F.col("receive_t") + F.expr(f"interval {tolerance}")
     w = F.window("at", width)
     out = once.groupBy("venue", w).agg(
-        F.count_if(in_time).alias("n"), F.max_by("px", F.when(in_time, F.struct("exchange_t", "id"))).alias("last_px"), F.round(F.sum(F.when(in_time, F.col("qty"))), 6).alias("volume"),
-        F.round(F.avg(F.when(in_time, delay)) / 1e6, 6).alias("delay_s"), F.count_if(in_time & ahead).alias("ahead"), F.round(F.max(F.when(in_time & ahead, -delay)) / 1e6, 6).alias("most_ahead_s"), F.count_if(F.col("late")).alias("late"),
+        F.count_if(in_time).alias("n"), F.max_by("px", F.when(in_time, F.struct("exchange_t", "id"))).alias("last_px"), S.rounded(F.sum(F.when(in_time, F.col("qty"))), 6).alias("volume"),
+        S.rounded(F.avg(F.when(in_time, delay / 1000)) / 1000, 6).alias("delay_s"), F.count_if(in_time & ahead).alias("ahead"), S.rounded(F.max(F.when(in_time & ahead, -delay)) / 1e6, 6).alias("most_ahead_s"), F.count_if(F.col("late")).alias("late"),
     )
     return out.select("venue", F.col("window.start").cast("timestamp_ntz").alias("t"), "n", "last_px", "volume", "delay_s", "ahead", "most_ahead_s", "late")
