@@ -180,13 +180,26 @@ def shrink_weight(rows: DataFrame, *order: str, last: int = 100, least: int = 20
     return out.select("k", "n", F.when((F.col("n") < least) | F.col("w").isNull(), default).otherwise(S.clamp(F.col("w"), 0.0, 1.0)).alias("weight"))
 
 
-def threshold_sweep(trades: DataFrame, score: str, thresholds: list[float], *order: str) -> DataFrame:
+def threshold_sweep(trades: DataFrame, score: str, thresholds: list[float], *order: str, block: str = "day") -> DataFrame:
     """Trades, win rate, total and largest drawdown (from a peak that starts at 0) of what scores at least each
-    threshold; one of 0 or less keeps all, nulls too."""
-    kept = trades.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where((F.col("threshold") <= 0) | (F.col(score) >= F.col("threshold")))
-    w = Window.partitionBy("k", "threshold").orderBy("t", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = kept.withColumn("_c", F.sum("pnl").over(w)).withColumn("_p", F.greatest(F.lit(0.0), F.max("_c").over(w)))
-    return run.groupBy("k", "threshold").agg(F.count("*").alias("n"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.sum("pnl").alias("total"), F.max(F.col("_p") - F.col("_c")).alias("drawdown"))
+    threshold; one of 0 or less keeps all, nulls too.
+
+    Trades meet only others of their block of time (a unit of date_trunc), once for all thresholds; of a block its sum,
+    highest and lowest running sum and own drawdown are enough to go on.
+    """
+    inside = Window.partitionBy("k", "_block").orderBy("t", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keep = [F.lit(True) if x <= 0 else F.coalesce(F.col("_score") >= x, F.lit(False)) for x in thresholds]
+    cut = trades.select("k", "t", *order, F.col(score).alias("_score"), "pnl", F.date_trunc(block, F.col("t")).alias("_block"))
+    cut = cut.select("*", *(F.sum(F.when(on, F.col("pnl"))).over(inside).alias(f"_c{i}") for i, on in enumerate(keep)))
+    cut = cut.select("*", *(F.max(f"_c{i}").over(inside).alias(f"_p{i}") for i in range(len(keep))))
+    of = lambda i, on: (F.count_if(on).alias("n"), F.count_if(on & (F.col("pnl") > 0)).alias("wins"), F.count(F.when(on, F.col("pnl"))).alias("known"), F.sum(F.when(on, F.col("pnl"))).alias("sum"), F.max(f"_c{i}").alias("high"), F.min(f"_c{i}").alias("low"), F.max(F.col(f"_p{i}") - F.col(f"_c{i}")).alias("down"))
+    blocks = cut.groupBy("k", "_block").agg(*(a.alias(f"_{i}_{n}") for i, on in enumerate(keep) for n, a in zip(("n", "wins", "known", "sum", "high", "low", "down"), of(i, on), strict=True)))
+    each = F.explode(F.array(*(F.struct(F.lit(x).alias("threshold"), *(F.col(f"_{i}_{n}").alias(n) for n in ("n", "wins", "known", "sum", "high", "low", "down"))) for i, x in enumerate(thresholds))))
+    before = Window.partitionBy("k", "threshold").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = blocks.select("k", "_block", each.alias("x")).select("k", "_block", "x.*").where("n > 0").withColumn("_base", F.coalesce(F.sum("sum").over(before), F.lit(0.0)))
+    rows = rows.withColumn("_peak", F.greatest(F.lit(0.0), F.max(F.col("_base") + F.col("high")).over(before)))
+    down = F.greatest("down", F.col("_peak") - (F.col("_base") + F.col("low")))
+    return rows.groupBy("k", "threshold").agg(F.sum("n").alias("n"), F.try_divide(F.sum("wins"), F.sum("known")).alias("win_rate"), F.sum("sum").alias("total"), F.max(down).alias("drawdown"))
 
 
 def best_threshold(swept: DataFrame, current: float, slack: float = 1.5) -> DataFrame:
