@@ -167,12 +167,16 @@ def adaptive_state(rows: DataFrame, value: str, alpha: float = 0.3, most: float
     return xs.select("k", F.aggregate("xs", begin, step).alias("s")).select("k", "s.ema", "s.threshold")
 
 
-def bankroll(trades: DataFrame, start: str, *order: str) -> DataFrame:
-    """Exact running cash of each key in DECIMAL, with the least it ever was."""
-    w = in_time("k", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cash = F.lit(start).cast("decimal(20,4)") + F.sum(F.col("pnl").cast("decimal(20,4)")).over(w)
-    out = trades.withColumn("cash", cash)
-    return out.groupBy("k").agg(F.count("*").alias("n"), F.max_by("cash", F.struct("t", *order)).cast("double").alias("last"), F.min("cash").cast("double").alias("lowest"))
+def bankroll(trades: DataFrame, start: str, *order: str, block: str = "day") -> DataFrame:
+    """Exact cash of each key in DECIMAL at its end, and the least it ever was. Trades meet only others of their block of
+    time (a unit of date_trunc), whose sum and lowest running sum are enough to go on."""
+    inside = Window.partitionBy("k", "_block").orderBy("t", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = trades.select("k", "t", *order, F.col("pnl").cast("decimal(20,4)").alias("_v"), F.date_trunc(block, F.col("t")).alias("_block")).withColumn("_c", F.sum("_v").over(inside))
+    blocks = cut.groupBy("k", "_block").agg(F.count("*").alias("n"), F.sum("_v").alias("_sum"), F.min("_c").alias("_low"))
+    base = F.coalesce(F.sum("_sum").over(Window.partitionBy("k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cash = F.lit(start).cast("decimal(20,4)")
+    out = blocks.withColumn("_low", base + F.col("_low")).groupBy("k").agg(F.sum("n").alias("n"), F.sum("_sum").alias("_sum"), F.min("_low").alias("_low"))
+    return out.select("k", "n", (cash + F.col("_sum")).cast("double").alias("last"), (cash + F.col("_low")).cast("double").alias("lowest"))
 
 
 def simulate_portfolio(bars: DataFrame, cash: float = 10_000.0, stop: float = 0.2, target: float = 0.3, risk: float = 0.1) -> DataFrame:
