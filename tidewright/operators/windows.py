@@ -95,11 +95,14 @@ def trailing_accuracy(settled: DataFrame, hit: str = "y", rows: int = 20) -> Dat
     return settled.withColumn("regime_acc", F.when(F.count(hit).over(w) == rows, F.avg(hit).over(w)))
 
 
-def losing_streak(closed: DataFrame, *order: str) -> DataFrame:
-    """One row per key: how many of its last trades in a row made no gain."""
-    w = Window.partitionBy("k").orderBy(F.desc("t"), *(F.desc(c) for c in order))
-    gains = F.sum((F.col("pnl") > 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return closed.withColumn("_g", gains).groupBy("k").agg(F.sum((F.col("_g") == 0).cast("long")).alias("streak"))
+def losing_streak(closed: DataFrame, *order: str, block: str = "day") -> DataFrame:
+    """One row per key: how many of its last trades in a row made no gain. Trades meet only others of their block of time
+    (a unit of date_trunc); of a block its gains and the trades after the last of them are enough."""
+    inside = Window.partitionBy("k", "_block").orderBy(F.desc("t"), *(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = closed.select("k", "t", *order, F.coalesce(F.col("pnl") > 0, F.lit(False)).cast("long").alias("_gain"), F.date_trunc(block, F.col("t")).alias("_block"))
+    blocks = cut.withColumn("_g", F.sum("_gain").over(inside)).groupBy("k", "_block").agg(F.count_if(F.col("_g") == 0).alias("_after"), F.max("_g").alias("_gains"))
+    later = F.sum("_gains").over(Window.partitionBy("k").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1))
+    return blocks.withColumn("_later", F.coalesce(later, F.lit(0))).groupBy("k").agg(F.sum(F.when(F.col("_later") == 0, F.col("_after")).otherwise(0)).alias("streak"))
 
 
 def drawdown(points: DataFrame, value: str, *order: str, floor: float | None = None) -> DataFrame:
