@@ -117,10 +117,19 @@ def duplicates(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def out_of_order(rows: DataFrame, sequence: str) -> DataFrame:
-    """Rows whose time lies before that of the row before them in sequence."""
-    w = Window.partitionBy("k").orderBy(sequence)
-    return rows.withColumn("_p", F.lag("t").over(w)).where(F.col("t") < F.col("_p")).drop("_p")
+def out_of_order(rows: DataFrame, sequence: str, block: Column | None = None) -> DataFrame:
+    """Rows whose time lies before that of the row before them in sequence.
+
+    `block` must rise with the sequence: rows then meet only others of their block and the last row of the one before,
+    so that a hot key is dealt over its blocks. Without it a key is one block.
+    """
+    by = F.struct(F.col(sequence))
+    cut = rows.select("k", (F.lit(0) if block is None else block).alias("_block"), F.lit(1).alias("_own"), by.alias("_s"), F.col("t").alias("_t"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row"))
+    ends = cut.groupBy("k", "_block").agg(F.max_by("_t", "_s").alias("_t"))
+    follows = F.lead("_block").over(Window.partitionBy("k").orderBy("_block"))
+    carried = ends.select("k", follows.alias("_block"), F.lit(0).alias("_own"), F.lit(None).cast(cut.schema["_s"].dataType).alias("_s"), "_t", F.lit(None).cast(cut.schema["_row"].dataType).alias("_row")).where("_block is not null")
+    before = F.lag("_t").over(Window.partitionBy("k", "_block").orderBy("_own", "_s"))
+    return cut.unionByName(carried).withColumn("_p", before).where((F.col("_own") == 1) & (F.col("_t") < F.col("_p"))).select("_row.*")
 
 
 def position_size(price: Column, stop: Column, equity: Column, cash: Column, risk: float, exposure: float) -> Column:

@@ -153,7 +153,7 @@ add("repeated_decisions", repeated_decisions, f"WITH {T.TICKS} SELECT k, user_id
 
 def disordered_lines(spark, d):
     x = T.trades(spark, d).withColumn("seq", F.struct("id", "line", "part", "supp"))
-    return L.out_of_order(x, "seq").groupBy("k").agg(F.count("*").alias("n"))
+    return L.out_of_order(x, "seq", F.floor(F.col("id") / 10_000)).groupBy("k").agg(F.count("*").alias("n"))
 
 
 add("disordered_lines", disordered_lines, f"{_T}, p AS (SELECT k, t, lag(t) OVER (PARTITION BY k ORDER BY id, line, part, supp) AS p FROM trades) SELECT k, count(*) AS n FROM p WHERE t < p GROUP BY k")
