@@ -123,14 +123,34 @@ def crossings(path: DataFrame, strike: str, value: str = "px", key: str = "k") -
 
 def order_flow(ticks: DataFrame, seconds: tuple[int, ...] = (60, 300, 900), whale: float = 90.0) -> DataFrame:
     """Adds for each span the imbalance of buys and sells, and counts of trades and of large ones, up to each tick.
-    Ticks at one time see each other."""
-    at = F.unix_micros(F.col("t").cast("timestamp"))
-    out = ticks.withColumn("_u", at)
+    Ticks at one time see each other. A span with an infinite size, or one that is no number, has no imbalance (NaN).
+
+    A key's time is cut into blocks of an hour or the longest span, and a block has the ticks of such a span before it,
+    too. A span is the difference of two sums from the block's start, so its length and how dense ticks are cost nothing.
+    """
+    longest = max(seconds) * 1_000_000
+    width = max(longest, 3_600_000_000)
+    row = F.struct(*(F.col(f"`{c}`") for c in ticks.columns))
+    u = F.unix_micros(F.col("t").cast("timestamp"))
+    known = F.coalesce(F.abs("size") < float("inf"), F.lit(True))  # not of NaN, which is more than all others
+    size = F.when(known, F.col("size"))
+    x = ticks.select("k", u.alias("_u"), row.alias("_row"), F.when(F.col("taker_buy"), size).otherwise(0.0).alias("_buys"), size.alias("_size"), F.lit(1).cast("long").alias("_n"), F.coalesce(F.col("size") >= whale, F.lit(False)).cast("long").alias("_whales"), (~known).cast("long").alias("_odd"))
+    block = F.col("_u") - F.pmod("_u", F.lit(width))
+    own = x.withColumn("_block", block)
+    context = x.where(F.pmod("_u", F.lit(width)) >= width - longest).withColumn("_block", block + width).withColumn("_row", F.lit(None).cast(own.schema["_row"].dataType))
+    both = own.unionByName(context)
+    w = Window.partitionBy("k", "_block").orderBy("_u")
+    values = ("_buys", "_size", "_n", "_whales", "_odd")
+    sums = {f"_to{v}": F.coalesce(F.sum(v).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) for v in values}
     for s in seconds:
-        w = Window.partitionBy("k").orderBy("_u").rangeBetween(-s * 1_000_000, 0)
-        buys, every = F.sum(F.when(F.col("taker_buy"), F.col("size")).otherwise(0.0)).over(w), F.sum("size").over(w)
-        out = out.withColumn(f"imbalance_{s}", F.coalesce(F.try_divide(2 * buys - every, every), F.lit(0.0))).withColumn(f"trades_{s}", F.count("*").over(w)).withColumn(f"whales_{s}", F.sum((F.col("size") >= whale).cast("long")).over(w))
-    return out.drop("_u")
+        past = w.rangeBetween(Window.unboundedPreceding, -s * 1_000_000 - 1)
+        sums |= {f"_{s}{v}": F.when(F.col("_u").isNull(), F.lit(0)).otherwise(F.coalesce(F.sum(v).over(past), F.lit(0))) for v in values}
+    out, added = both.withColumns(sums).where("_row is not null"), []
+    for s in seconds:
+        buys, every, n, whales, odd = (F.col(f"_to{v}") - F.col(f"_{s}{v}") for v in values)
+        imbalance = F.when(odd > 0, float("nan")).otherwise(F.coalesce(F.try_divide(2 * buys - every, every), F.lit(0.0)))
+        added += [imbalance.alias(f"imbalance_{s}"), n.cast("long").alias(f"trades_{s}"), whales.cast("long").alias(f"whales_{s}")]
+    return out.select("_row.*", *added)
 
 
 def recency_weight(bars: DataFrame, late: float = 1.1) -> DataFrame:
