@@ -102,7 +102,8 @@ def dip_entries(path: DataFrame, envelope: tuple[float, float], sure: float, flo
 def excursions(path: DataFrame, envelope: tuple[float, float], bands: tuple[list[float], list[str]]) -> DataFrame:
     """By band of confidence: of each window's first call in the band and the envelope, the share that won, the mean ask
     then and at its least later, and how often it fell by 10 and by 20 cents. Calls without later rows don't count."""
-    after = Window.partitionBy("k", "w").orderBy("t", "id").rowsBetween(1, Window.unboundedFollowing)
+    # What comes later, read from the end: a frame that only grows costs a step a row, one that shrinks all of its rows.
+    after = Window.partitionBy("k", "w").orderBy(F.desc("t"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     up = F.col("p") >= 0.5
     x = path.withColumn("_later", F.when(up, F.min("ask").over(after)).otherwise(100 - F.max("bid").over(after))).withColumn("band", S.band(confidence(F.col("p")), *bands))
     first = Window.partitionBy("k", "w", "band").orderBy("t", "id")
