@@ -39,15 +39,15 @@ class Bands:
 
 @dataclass(frozen=True)
 class Fit:
-    """How limits are fitted. labels: the most labelled good documents taken, in order of a hash of their ids.
-    least_rows: of a range of lengths, for limits of its own. outside: the share of good texts at either end that a
-    limit may cut off, before it is widened by margin. steps: ranges for each doubling of the length."""
+    """How limits are fitted. least_rows: of a range of lengths, for limits of its own. outside: the share of good texts at
+    either end that a limit may cut off, before it is widened by margin. steps: ranges for each doubling of the length.
+    places: of the ratios that are counted, so that their number is bounded."""
 
-    labels: int = 20_000
     least_rows: int = 50
     outside: float = 0.001
     margin: float = 0.04
     steps: int = 2
+    places: int = 5
 
 
 _SYMBOL = np.zeros(256, bool)
@@ -111,11 +111,12 @@ def _lowest(step: int, steps: int) -> int:
 def fit_bands(docs: DataFrame, labels: DataFrame, bands: Bands = Bands(), how: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", min_words: int = 50) -> Bands:
     """`bands` with narrower limits for the ranges of lengths of which there are enough labelled good texts and chunks.
 
-    Fitted on at most how.labels documents; a few numbers for each come to the driver as quantiles of each range.
+    Fitted on all labelled good documents: texts are counted by range and ratio, and the quantiles of a range are those
+    of its counts; they come to the driver, a row for each range.
     Ranges with too few rows keep the given limits, all of them if nothing is labelled. Null ids, texts of under
     min_words words and empty texts say nothing. Limits never become wider than those given.
     """
-    chosen = labels.where(good).where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(how.labels)
+    chosen = labels.where(good).where(F.col(id_col).isNotNull()).select(id_col).distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=bands.level)
@@ -127,11 +128,11 @@ def fit_bands(docs: DataFrame, labels: DataFrame, bands: Bands = Bands(), how: F
             steps = np.floor(np.log2(np.maximum(sizes, 1)) * how.steps + 1e-9).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array([len(p) / len(zip_.compress(p)) for p in parts], pa.float64())], ["step", "ratio"])
 
-    # Bounded by how.labels.
-    seen = docs.join(F.broadcast(chosen), id_col, "left_semi").select(text_col).mapInArrow(work, "step long, ratio double")
-    ends = F.percentile("ratio", F.array(F.lit(how.outside), F.lit(1 - how.outside)))
+    seen = docs.join(chosen, id_col, "left_semi").select(text_col).mapInArrow(work, "step long, ratio double")
+    seen = seen.groupBy("step", F.round("ratio", how.places).alias("ratio")).agg(F.count("*").alias("n"))
+    ends = F.percentile("ratio", F.array(F.lit(how.outside), F.lit(1 - how.outside)), F.col("n"))
     # A row for each range of lengths: under 64 * how.steps.
-    fitted = {r.step: r.ends for r in seen.groupBy("step").agg(ends.alias("ends"), F.count("*").alias("n")).where(F.col("n") >= how.least_rows).collect()}
+    fitted = {r.step: r.ends for r in seen.groupBy("step").agg(ends.alias("ends"), F.sum("n").alias("n")).where(F.col("n") >= how.least_rows).collect()}
     edges = sorted({b[0] for b in bands.documents} | {_lowest(s + k, how.steps) for s in fitted for k in (0, 1)})
     out = []
     for edge in edges:
