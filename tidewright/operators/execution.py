@@ -27,7 +27,7 @@ def _seconds(a: Column, b: Column) -> Column:
 
 
 def _at_or_before(t: Column, oldest: int) -> Column:
-    return F.try_element_at(F.filter("_path", lambda r: (r.t <= t) & (_seconds(r.t, t) <= oldest)), F.lit(-1))
+    return F.try_element_at(F.filter("_path", lambda r: (r.t <= t) & (r.t >= F.timestamp_add("SECOND", F.lit(-oldest), t))), F.lit(-1))
 
 
 def _nearest(t: Column, tolerance: int) -> Column:
@@ -53,19 +53,20 @@ def execution_ledger(orders: DataFrame, path: DataFrame, marks: dict[str, int],
     within `tolerance`; price_x the same of the base price in its own units. ev is the gain for the stake. `missing`
     says why there is no quote: no path of that ticker, or none of its rows within `oldest` seconds before."""
     done = orders.where(~F.coalesce("skipped", F.lit(False)) & F.col("win").isin(0, 1))
-    out = done.join(_paths(path), "ticker", "left")
+    spans = sorted(set(marks.values()) | set(price_marks.values()))
+    # Marks hang on the quote alone, so each quote of a path looks for its own, once for all orders.
+    later = lambda r: (_nearest(F.timestamp_add("SECOND", F.lit(s), r.t), tolerance).alias(f"m{s}") for s in spans)
+    paths = _paths(path).withColumn("_path", F.transform("_path", lambda r: F.struct(r.t.alias("t"), r.p.alias("p"), r.base.alias("base"), *later(r))))
+    out = done.join(paths, "ticker", "left")
     out = out.withColumn("_q", _at_or_before(F.col("t"), oldest))
     sign = F.when(F.col("side") == "yes", 1.0).otherwise(-1.0)
-    later = lambda s: _nearest(F.timestamp_add("SECOND", F.lit(s), F.col("_q.t")), tolerance)
-    spans = sorted(set(marks.values()) | set(price_marks.values()))
-    out = out.withColumns({f"_m{s}": later(s) for s in spans})
     ask = modelled_ask(F.col("_q.p"), F.col("side"))
     columns = {
         "quote_age_s": _seconds(F.col("_q.t"), F.col("t")), "market": F.col("_q.p"), "modelled_ask": ask, "slippage": F.col("ask_c") - ask,
-        **{f"mark_{n}": sign * (F.col(f"_m{s}.p") - F.col("_q.p")) * 100 for n, s in marks.items()}, **{f"price_{n}": sign * (F.col(f"_m{s}.base") - F.col("_q.base")) for n, s in price_marks.items()},
+        **{f"mark_{n}": sign * (F.col(f"_q.m{s}.p") - F.col("_q.p")) * 100 for n, s in marks.items()}, **{f"price_{n}": sign * (F.col(f"_q.m{s}.base") - F.col("_q.base")) for n, s in price_marks.items()},
         "ev": F.try_divide(F.col("pnl_c"), F.col("stake_c")), "missing": F.when(F.col("_path").isNull(), "no_path").when(F.col("_q").isNull(), "no_recent_quote"),
     }
-    return out.withColumns(columns).drop("_path", "_q", *(f"_m{s}" for s in spans))
+    return out.withColumns(columns).drop("_path", "_q")
 
 
 def bands(rows: DataFrame) -> DataFrame:
