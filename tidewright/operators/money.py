@@ -5,6 +5,9 @@ Amounts are whole cents (bigint), prices of fills decimals of a cent; nothing is
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,54 +80,64 @@ def cash_walk(ledger: DataFrame, start: Column, block: str = "month") -> DataFra
     return summed.select("_row.*", F.col("_walk").cast("long").alias("_w"), F.col("_saved").cast("long").alias("saved_c")).withColumn("walk_c", F.col("_w") + start).drop("_w")
 
 
-def _step(state: int, shift: int, flights: list[int], skipped: bool, saved: bool) -> tuple[int, bool | None]:
-    """The shift that holds after a row, and whether its stamp agrees; null if open stakes explain it."""
-    if skipped:
-        return state, shift == state
-    if not saved:
-        return shift, False
-    if shift == state:
-        return state, True
-    return (state, None) if state - shift in flights else (shift, False)
-
-
-def _flights(stakes: list[int]) -> list[int]:
-    """Sums of the next one, two ... stakes."""
-    out, total = [], 0
-    for s in stakes:
-        total += int(s)
-        out.append(total)
-    return out
-
-
-def _rows(frame: pd.DataFrame) -> list[tuple]:
-    f = frame.sort_values(["t", "id"])
-    return [(int(a), _flights(b), bool(c), bool(d)) for a, b, c, d in zip(f["shift"], f["next"], f["skipped"], f["saved"], strict=True)]
+class _Stamps:
+    """A block's stamps in order: their shifts, the sums of the next one, two ... stakes, and what they say."""
+
+    def __init__(self, frame: pd.DataFrame):
+        self.shift = frame["shift"].to_numpy(np.int64)
+        self.flights = np.cumsum(np.column_stack([frame[f"next_{i}"].to_numpy(np.float64) for i in range(1, IN_FLIGHT + 1)]), axis=1)  # NaN: no such row
+        self.skipped, self.saved = frame["skipped"].to_numpy(bool), frame["saved"].to_numpy(bool)
+
+    def next_off(self, state: int, at: int, verdicts: np.ndarray | None = None) -> int:
+        """The first row from `at` whose stamp changes the shift `state`, or their number. Verdicts of the rows passed over
+        and of that one: 1 the stamp agrees, 0 it doesn't, -1 open stakes explain it."""
+        width = 64
+        while at < len(self.shift):
+            rows = slice(at, at + width)
+            gap, skipped, saved = state - self.shift[rows], self.skipped[rows], self.saved[rows]
+            open_ = ~skipped & saved & (gap != 0) & (self.flights[rows] == gap[:, None]).any(axis=1)
+            off = np.flatnonzero(~skipped & (gap != 0) & ~open_)
+            if verdicts is not None:
+                verdicts[rows] = np.where(open_, -1, (gap == 0) & (skipped | saved))
+            if len(off):
+                return at + int(off[0])
+            at, width = at + len(gap), min(2 * width, 1 << 14)
+        return at
+
+    def after(self, state: int, at: int, known: list[tuple[int, int]] | None = None, end: int = 0) -> tuple[int, list[tuple[int, int]]]:
+        """The shift after the last row, and each row that changed it with the shift from there. Once it is that of a walk
+        that is known, it ends as that does."""
+        trail: list[tuple[int, int]] = []
+        while (at := self.next_off(state, at)) < len(self.shift):
+            state = int(self.shift[at])
+            if known and (i := bisect_right(known, at, key=lambda x: x[0])) and known[i - 1][1] == state:
+                return end, trail
+            trail.append((at, state))
+            at += 1
+        return state, trail
 
 
 def _change(frame: pd.DataFrame) -> pd.DataFrame:
     """What a block does to the shift: a few shifts by name, and all others; nothing where no row can change it."""
-    rows = [r for r in _rows(frame) if not r[2]]
+    rows = frame[~frame["skipped"]].sort_values(["t", "id"])
     out = {"k": frame["k"].iloc[:1].tolist(), "block": frame["block"].iloc[:1].tolist(), "at_key": [[]], "at_value": [[]], "other": [None]}
-    if rows:
-        shift, flights, _, saved = rows[0]
-        names = sorted({shift} | {shift + x for x in flights}) if saved else []
-        states = {s: s for s in names}
-        other = shift
-        for at, r in enumerate(rows):
-            states = {s: _step(now, *r)[0] for s, now in states.items()}
-            other = _step(other, *r)[0] if at else shift
-        out |= {"at_key": [list(states)], "at_value": [list(states.values())], "other": [other]}
+    if len(rows):
+        stamps = _Stamps(rows)
+        shift = int(stamps.shift[0])
+        other, trail = stamps.after(shift, 1)
+        names = sorted({shift} | {shift + int(x) for x in stamps.flights[0] if x == x}) if stamps.saved[0] else []
+        out |= {"at_key": [names], "at_value": [[stamps.after(s, 0, [(0, shift), *trail], other)[0] for s in names]], "other": [other]}
     return pd.DataFrame(out).astype({"other": "Int64"})
 
 
 def _judged(frame: pd.DataFrame) -> pd.DataFrame:
-    state, verdicts = int(frame["start"].iloc[0]), []
-    for r in _rows(frame):
-        state, verdict = _step(state, *r)
-        verdicts.append(verdict)
-    out = frame.sort_values(["t", "id"])[["k", "t", "id"]].copy()
-    out["agrees"] = pd.array(verdicts, dtype="boolean")
+    frame = frame.sort_values(["t", "id"])
+    stamps, state, at = _Stamps(frame), int(frame["start"].iloc[0]), 0
+    verdicts = np.zeros(len(frame), np.int8)
+    while (at := stamps.next_off(state, at, verdicts)) < len(frame):
+        state, at = int(stamps.shift[at]), at + 1
+    out = frame[["k", "t", "id"]].copy()
+    out["agrees"] = pd.arrays.BooleanArray(verdicts == 1, verdicts == -1)
     return out
 
 
@@ -149,7 +162,7 @@ def bankroll(walked: DataFrame, block: str = "month") -> DataFrame:
     heads = heads.select("k", "_block", F.flatten(F.collect_list("head").over(Window.partitionBy("k").orderBy("_block").rowsBetween(1, IN_FLIGHT))).alias("_after"))
     stamps = meet(inside, heads, ["k", "_block"]).where(F.col("bankroll_c").isNotNull() & (settled() | F.coalesce("skipped", F.lit(False))))
     thin = stamps.select(
-        "k", "t", "id", F.col("_block").alias("block"), (F.col("bankroll_c") - F.col("walk_c")).alias("shift"), F.slice(F.concat("_own", "_after"), 1, IN_FLIGHT).alias("next"),
+        "k", "t", "id", F.col("_block").alias("block"), (F.col("bankroll_c") - F.col("walk_c")).alias("shift"), *(F.get(F.concat("_own", "_after"), F.lit(i)).alias(f"next_{i + 1}") for i in range(IN_FLIGHT)),
         F.coalesce("skipped", F.lit(False)).alias("skipped"), (F.col("savings_c").isNull() | (F.col("savings_c") == F.col("saved_c"))).alias("saved"),
     )
     kind = walked.schema["k"].dataType.simpleString()
