@@ -112,24 +112,27 @@ def fit_bands(docs: DataFrame, labels: DataFrame, bands: Bands = Bands(), how: F
     """`bands` with narrower limits for the ranges of lengths of which there are enough labelled good texts and chunks.
 
     Fitted on all labelled good documents: texts are counted by range and ratio, and the quantiles of a range are those
-    of its counts; they come to the driver, a row for each range.
+    of its counts; they come to the driver, a row for each range. Every document is measured where it is read, so that
+    ids, ranges and ratios are shuffled to meet the labels, and never a text.
     Ranges with too few rows keep the given limits, all of them if nothing is labelled. Null ids, texts of under
     min_words words and empty texts say nothing. Limits never become wider than those given.
     """
-    chosen = labels.where(good).where(F.col(id_col).isNotNull()).select(id_col).distinct()
+    chosen = labels.where(good).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=bands.level)
-        for _, raw, at in K.slices(batches, text_col):
+        for rows, raw, at in K.slices(batches, text_col):
             whole = raw.tobytes()
-            texts = [t for a, b in zip(at[:-1], at[1:], strict=True) if len((t := whole[a:b]).split()) >= min_words]
-            parts = [p for t in texts for p in (t, *chunks_of(t, bands.chunk_bytes)) if p]
-            sizes = np.array([len(p) for p in parts], np.int64)
+            texts = [(k, t) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if len((t := whole[a:b]).split()) >= min_words]
+            parts = [(k, p) for k, t in texts for p in (t, *chunks_of(t, bands.chunk_bytes)) if p]
+            sizes = np.array([len(p) for _, p in parts], np.int64)
             steps = np.floor(np.log2(np.maximum(sizes, 1)) * how.steps + 1e-9).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array([len(p) / len(zip_.compress(p)) for p in parts], pa.float64())], ["step", "ratio"])
+            ids = rows.column(id_col).take(pa.array([k for k, _ in parts], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(steps), pa.array([len(p) / len(zip_.compress(p)) for _, p in parts], pa.float64())], ["_id", "step", "ratio"])
 
-    seen = docs.join(chosen, id_col, "left_semi").select(text_col).mapInArrow(work, "step long, ratio double")
-    seen = seen.groupBy("step", F.round("ratio", how.places).alias("ratio")).agg(F.count("*").alias("n"))
+    measured = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(work, f"_id {kind}, step long, ratio double")
+    seen = measured.join(chosen, "_id", "left_semi").groupBy("step", F.round("ratio", how.places).alias("ratio")).agg(F.count("*").alias("n"))
     ends = F.percentile("ratio", F.array(F.lit(how.outside), F.lit(1 - how.outside)), F.col("n"))
     # A row for each range of lengths: under 64 * how.steps.
     fitted = {r.step: r.ends for r in seen.groupBy("step").agg(ends.alias("ends"), F.sum("n").alias("n")).where(F.col("n") >= how.least_rows).collect()}
