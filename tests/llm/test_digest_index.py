@@ -53,3 +53,17 @@ def test_string_ids_come_in_one_batch(spark):
     for x in got:
         least[x.text_sha256] = min(least.get(x.text_sha256, x.name), x.name)
     assert len(got) == docs.count() and all(x.keep_id == least[x.text_sha256] and x.kept == (x.name == x.keep_id) for x in got)
+
+
+def test_repeated_groups_stay_off_the_driver(spark, tmp_path):
+    """Small groups are estimated under the limit of broadcasts, which their repetition may be far beyond."""
+    from tidewright.llm.digest_index import DigestIndex, digests, verdicts
+
+    rows = digests(spark.createDataFrame([(i, f"text {i // 2}") for i in range(400)], "doc_id long, text string"))
+    index = DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.add(rows, 0)
+    out = verdicts(rows, index.table())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(x.id, x.keep_id, x.group_size, x.kept) for x in out.collect()} == {(i, i // 2 * 2, 2, i % 2 == 0) for i in range(400)}
+    index.delete()

@@ -107,12 +107,15 @@ def verdicts(rows: DataFrame, index: DataFrame) -> DataFrame:
     Only texts with several rows, or whose stayer is not among these rows, need a look-up: their groups are repeated
     over SPREAD keys, and the rows of one text are dealt over those. Row numbers of other sessions may be the same, so
     the stayer is told by its id as well.
+
+    The repeated groups meet the rows by sort and merge: Spark takes their size for that of the groups, and would send
+    what is SPREAD times as large to the driver.
     """
     sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"), F.min("row").alias("own"), F.min("id").alias("own_id"))
     groups = written(sizes.join(index.select("digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row")), "digest").where("group_size > 1 or own <> keep_row or not own_id <=> keep_id"))
     spread = F.pmod(F.xxhash64("row"), F.lit(SPREAD)).cast("int")
     some = groups.select("digest", "group_size", "keep_id", "keep_row", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
-    out = rows.withColumn("spread", spread).join(some, ["digest", "spread"], "left")
+    out = rows.withColumn("spread", spread).join(some.hint("merge"), ["digest", "spread"], "left")
     alone = F.col("group_size").isNull()
     return out.select(
         "id",
