@@ -13,24 +13,26 @@ from tidewright.streaming import streams as S
 
 from .registry import add
 
-#: What comes before each time is a part of the feed.
-CUTS = ("2024-01-12 00:00:00", "2024-01-21 00:00:00", "2100-01-01 00:00:00")
+#: What comes before each time is a part of the feed, and so is the rest.
+CUTS = ("2024-01-12 00:00:00", "2024-01-21 00:00:00")
 #: Kinds of event as venues: the kind of their messages and how late a trade may come.
 VENUES = {"click": ("flagged", "10 minutes"), "purchase": ("batched", "20 minutes"), "signup": ("nested", "15 minutes"), "view": ("maker", "5 minutes"), "error": ("flagged", "10 minutes")}
 
 
 def _parts(feed, time):
-    """The feed's rows before each cut, from the one before."""
+    """The feed's rows before each cut, from the one before, and those from the last on."""
     rest = feed
     for cut in CUTS:
         yield rest.where(F.col(time) < F.lit(cut).cast("timestamp_ntz"))
         rest = rest.where(F.col(time) >= F.lit(cut).cast("timestamp_ntz"))
+    yield rest
 
 
 def _messages(spark, d):
     """Events as messages of four kinds, with the times of their receipt: seconds later, hours later, or too early by
-    the exchange's clock; some twice."""
-    x = T.ticks(spark, d).withColumn("ms", F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("t")))
+    the exchange's clock; some twice. Times are rounded to milliseconds, as the SQL does, not cut to them."""
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("t"))
+    x = T.ticks(spark, d).withColumn("ms", (F.round(us, -3) / 1000).cast("long"))
     delay = F.when(F.col("id") % 50 == 0, 3 * 3_600_000).when(F.col("id") % 77 == 0, -5000).otherwise(F.col("id") * 7919 % 90_000)
     x = x.withColumn("receive", F.col("ms") + delay).withColumn("received", F.timestamp_add("MILLISECOND", "receive", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")))
     px, qty, key = F.col("px").cast("string"), F.col("size").cast("string"), F.col("id").cast("string")
